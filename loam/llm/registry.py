@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.llm import simhash
+from loam.llm import repeats, simhash
 
-MODULES = [simhash]
+MODULES = [repeats, simhash]
 
 
 def queries() -> dict:
