@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.llm import repeats, simhash
+from loam.llm import decontaminate, langid, repeats, simhash
 
-MODULES = [repeats, simhash]
+MODULES = [decontaminate, langid, repeats, simhash]
 
 
 def queries() -> dict:
