@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, langid, repeats, simhash
+from loam.llm import decontaminate, langid, mixing, repeats, sharding, simhash
 
-MODULES = [decontaminate, langid, repeats, simhash]
+MODULES = [decontaminate, langid, mixing, repeats, sharding, simhash]
 
 
 def queries() -> dict:
