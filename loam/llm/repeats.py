@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +21,15 @@ from loam.llm.common import checkpointed, partitions, table
 CHUNK_BYTES = 1 << 20
 #: Hashes that a task matches at once, on average.
 BUCKET_WORDS = 2_000_000
-_WORDS_KEPT = 1_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, np.ndarray] = {}
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
+def _power(odd: int, n: int) -> np.ndarray:
+    """At least the first n powers of `odd`, modulo 2^64."""
+    if len(_powers.get(odd, ())) < n:
+        _powers[odd] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * n, odd, np.uint64)])
+    return _powers[odd]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -43,58 +38,64 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _rolling(words: np.ndarray, size: int, odd: int) -> np.ndarray:
-    """The polynomial hash, modulo 2^64, of each `size` consecutive words."""
-    n = len(words)
-    powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n - 1, 0), odd, np.uint64)])
-    back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n - size, 0), pow(odd, -1, 1 << 64), np.uint64)])
-    sums = np.r_[np.uint64(0), np.cumsum(words * powers[:n], dtype=np.uint64)]
-    return (sums[size:] - sums[:-size]) * back[: n - size + 1]
-
-
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _heads(*ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    new = np.zeros(len(ordered[0]), bool)
+    new[:1] = True
+    for x in ordered:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 class Chunk:
-    """The words of some whole documents, and where each document starts."""
+    """The words of some whole documents, joined by single spaces, and documents joined by line feeds."""
 
     def __init__(self, packed: bytes, sizes: list[int]) -> None:
-        self.words = zstandard.decompress(packed).split()
-        self.ends = np.cumsum(np.array(sizes, np.int64))
-        self.starts = self.ends - sizes
-        n = len(self.words)
-        self.hashed = np.fromiter(map(_hashes.__getitem__, self.words), np.uint64, n)
-        self.place = np.arange(n) - np.repeat(self.starts, sizes)  # within its document
-        self.left = np.repeat(self.ends, sizes) - np.arange(n)  # words to the document's end
+        self.data = zstandard.decompress(packed)
+        self.bytes = np.frombuffer(self.data, np.uint8)
+        word = np.r_[False, (self.bytes != 32) & (self.bytes != 10), False]
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        self.start, self.end = edge[::2], edge[1::2]  # of words, in bytes
+        first, n = np.cumsum(np.r_[0, sizes]).astype(np.int64), len(self.start)
+        self.first = first[:-1]  # words of documents
+        self.place = np.arange(n) - np.repeat(self.first, sizes)  # within its document
+        self.left = np.repeat(first[1:], sizes) - np.arange(n)  # words to the document's end
+
+    def hashed(self, at: np.ndarray, size: int, odd: int) -> np.ndarray:
+        """The hash of each `size` words from `at`: a polynomial of the bytes, modulo 2^64, mixed."""
+        n = len(self.bytes)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power(odd, n)[:n], out=sums[1:])
+        a, b = self.start[at], self.end[at + size - 1]
+        return _mixed((sums[b] - sums[a]) * _power(pow(odd, -1, 1 << 64), n)[a])
 
     def anchors(self, block: int) -> tuple[np.ndarray, ...]:
-        """Every rolling block: the positions, the hash of each, the order by hash, where a new hash begins in that order, flags of each distinct hash.
+        """Every rolling block: positions in the order of their hashes, these, where a new one begins, flags of each distinct one.
 
         Flags: 1 if it is an indexed block here, 2 if it occurs twice here.
         """
         at = np.flatnonzero(self.left >= block)
-        if not len(at):
-            return at, at.astype(np.uint64), at, at, at
-        h = _mixed(_rolling(self.hashed, block, _ODD[0])[at])
-        order = np.lexsort((h & np.uint64(0xFFFFFFFFFF), h >> np.uint64(32)))
-        ordered = h[order]
-        head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        indexed = np.bitwise_or.reduceat((self.place[at] % block == 0)[order], head)
-        many = np.diff(np.r_[head, len(at)]) > 1
-        return at, h, order, head, indexed * 1 + many * 2
+        h = self.hashed(at, block, _ODD[0])
+        order = np.argsort(h)
+        at, h = at[order], h[order]
+        head = _heads(h)
+        indexed = np.bitwise_or.reduceat(self.place[at] % block == 0, head) if len(at) else head
+        return at, h, head, indexed * 1 + (np.diff(np.r_[head, len(at)]) > 1) * 2
 
     def windows(self, live: np.ndarray, window: int, block: int) -> tuple[np.ndarray, ...]:
-        """The windows of whose one indexed block `live` is true: positions, two digests, the order by them, where new ones begin, flags (2 if twice)."""
+        """The windows of whose one indexed block `live` is true: positions in the order of their digests, both halves of these, where a new one begins, flags."""
         at = np.flatnonzero(self.left >= window)
         at = at[live[at + -self.place[at] % block]]
-        if not len(at):
-            return at, at.astype(np.uint64), at.astype(np.uint32), at, at, at
-        h = _mixed(_rolling(self.hashed, window, _ODD[0])[at])
-        g = (_mixed(_rolling(_mixed(self.hashed), window, _ODD[1])[at]) >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((g, h))
-        head = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
-        return at, h, g, order, head, (np.diff(np.r_[head, len(at)]) > 1) * 2
+        h = self.hashed(at, window, _ODD[0])
+        order = np.argsort(h)
+        at, h = at[order], h[order]
+        g = (self.hashed(at, window, _ODD[1]) >> np.uint64(32)).astype(np.uint32)
+        head = _heads(h, g)
+        return at, h, g, head, (np.diff(np.r_[head, len(at)]) > 1) * 2
 
 
 def _chunks(id_type: pa.DataType):
@@ -143,53 +144,52 @@ def _block_requests(n: int, block: int):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
-                _, h, order, head, flags = Chunk(row["packed"], row["sizes"]).anchors(block)
-                h = h[order][head]
-                # within a bucket the 40 low bits stand for a hash: 4 bytes, and a fifth that is almost constant in a row and so is compressed away
-                by = np.lexsort((h & np.uint64(0xFFFFFFFFFF), _buckets(h, n)))
-                h, flags = h[by], flags[by]
-                yield _requests(row["chunk"], n, h, flags, [h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)])
+                _, h, head, flags = Chunk(row["packed"], row["sizes"]).anchors(block)
+                h = h[head]
+                # its 48 high bits stand for a hash: 4 bytes, and 2 that ascend slowly and so are compressed away
+                yield _requests(row["chunk"], n, h, flags, [(h >> np.uint64(16)).astype(np.uint32), (h >> np.uint64(48)).astype(np.uint16)])
 
     return probe
 
 
-def _answers(make_key, needs_index: bool):
+def _joined(group: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in group[column]])
+
+
+def _block_keys(group: pa.Table) -> list[np.ndarray]:
+    return [_joined(group, "h1", np.uint16).astype(np.uint64) << np.uint64(32) | _joined(group, "h0", np.uint32)]
+
+
+def _window_keys(group: pa.Table) -> list[np.ndarray]:
+    return [_joined(group, "h0", np.uint64), _joined(group, "h1", np.uint32)]
+
+
+def _answers(make_keys, needs_index: bool):
     """For a bucket: which entries stand for a sequence that occurs twice (and, if needed, is an indexed block somewhere)."""
 
     def match(group: pa.Table) -> pa.Table:
         flags = [np.frombuffer(x.as_py(), np.uint8) for x in group["flags"]]
-        keys = make_key(group)
-        flag = np.concatenate(flags)
-        order = np.lexsort(keys)
-        new = np.zeros(len(order), bool)
-        for k in keys:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
-        new[:1] = True
-        head = np.flatnonzero(new)
-        f = flag[order]
+        keys = make_keys(group)
+        order = np.argsort(keys[0])
+        if len(keys) > 1 and len(_heads(keys[0][order])) < len(_heads(*(k[order] for k in keys))):  # equal in the first, not in the second
+            order = np.lexsort(keys[::-1])
+        head = _heads(*(k[order] for k in keys))
+        f = np.concatenate(flags)[order]
         hit = np.add.reduceat(1 + (f >> 1 & 1).astype(np.int64), head) > 1
         if needs_index:
             hit &= np.bitwise_or.reduceat(f & 1, head) > 0
         live = np.empty(len(order), bool)
         live[order] = np.repeat(hit, np.diff(np.r_[head, len(order)]))
         cuts = np.split(live, np.cumsum([len(x) for x in flags])[:-1])
-        some = [i for i, x in enumerate(cuts) if x.any()]
-        return pa.table({"chunk": group["chunk"].combine_chunks().take(pa.array(some, pa.int64())), "bucket": group["bucket"].combine_chunks().take(pa.array(some, pa.int64())), "bits": pa.array([zstandard.compress(np.packbits(cuts[i]).tobytes()) for i in some], pa.binary())})
+        some = pa.array([i for i, x in enumerate(cuts) if x.any()], pa.int64())
+        bits = pa.array([zstandard.compress(np.packbits(cuts[i]).tobytes()) for i in some.to_pylist()], pa.binary())
+        return pa.table({"chunk": group["chunk"].combine_chunks().take(some), "bucket": group["bucket"].combine_chunks().take(some), "bits": bits})
 
     return match
 
 
-def _block_key(group: pa.Table) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x.as_py(), d) for x in group[c]]) for c, d in (("h0", np.uint32), ("h1", np.uint8))]
-
-
-def _window_key(group: pa.Table) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x.as_py(), d) for x in group[c]]) for c, d in (("h1", np.uint32), ("h0", np.uint64))]
-
-
 def _hits(h: np.ndarray, n: int, bits: list[dict] | None) -> np.ndarray:
-    """The answer's bits for the hashes `h`, which ascend by bucket."""
+    """The answer's bits for the hashes `h`, which ascend."""
     hit, of = np.zeros(len(h), bool), _buckets(h, n)
     for x in bits or ():
         a, b = np.searchsorted(of, [x["bucket"], x["bucket"] + 1])
@@ -197,16 +197,11 @@ def _hits(h: np.ndarray, n: int, bits: list[dict] | None) -> np.ndarray:
     return hit
 
 
-def _live(chunk: Chunk, n: int, block: int, bits: list[dict] | None) -> np.ndarray:
+def _live(chunk: Chunk, n: int, block: int, bits: list[dict]) -> np.ndarray:
     """By position: the block that starts here is one of those hit."""
-    live = np.zeros(len(chunk.words), bool)
-    at, h, order, head, _ = chunk.anchors(block)
-    if bits and len(at):
-        distinct = h[order][head]
-        by = np.lexsort((distinct & np.uint64(0xFFFFFFFFFF), _buckets(distinct, n)))
-        hit = np.empty(len(by), bool)
-        hit[by] = _hits(distinct[by], n, bits)
-        live[at[order]] = np.repeat(hit, np.diff(np.r_[head, len(at)]))
+    live = np.zeros(len(chunk.start), bool)
+    at, h, head, _ = chunk.anchors(block)
+    live[at] = np.repeat(_hits(h[head], n, bits), np.diff(np.r_[head, len(at)]))
     return live
 
 
@@ -216,38 +211,38 @@ def _window_requests(n: int, window: int, block: int):
             for row in _rows(b):
                 if row["block_bits"]:
                     chunk = Chunk(row["packed"], row["sizes"])
-                    _, h, g, order, head, flags = chunk.windows(_live(chunk, n, block, row["block_bits"]), window, block)
-                    yield _requests(row["chunk"], n, h[order][head], flags, [h[order][head], g[order][head]])
+                    _, h, g, head, flags = chunk.windows(_live(chunk, n, block, row["block_bits"]), window, block)
+                    yield _requests(row["chunk"], n, h[head], flags, [h[head], g[head]])
 
     return extend
 
 
+def _left(chunk: Chunk, gone: np.ndarray, size: int, first: int) -> tuple[list[dict], bytes]:
+    """Of a document: the removed stretches, and what is left."""
+    edge = np.flatnonzero(np.diff(np.r_[False, gone[first : first + size], False].view(np.int8))).tolist()
+    spans = list(zip(edge[::2], edge[1::2]))
+    kept, last = [], 0
+    for a, b in [*spans, (size, size)]:
+        if last < a:
+            kept.append(chunk.data[chunk.start[first + last] : chunk.end[first + a - 1]])
+        last = b
+    return [{"start": a, "end": b} for a, b in spans], b" ".join(kept)
+
+
 def _results(n: int, window: int, block: int, id_type: pa.DataType):
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
-                words = zstandard.decompress(row["packed"]).split()
-                gone = np.zeros(len(words) + 1, np.int64)
+                chunk = Chunk(row["packed"], row["sizes"])
+                change = np.zeros(len(chunk.start) + 1, np.int64)
                 if row["window_bits"]:
-                    chunk = Chunk(row["packed"], row["sizes"])
-                    at, h, g, order, head, _ = chunk.windows(_live(chunk, n, block, row["block_bits"]), window, block)
-                    hit = at[order][np.repeat(_hits(h[order][head], n, row["window_bits"]), np.diff(np.r_[head, len(at)]))]
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + window, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                spans, kept, start = [], [], 0
-                for size in row["sizes"]:
-                    own = gone[start : start + size]
-                    edge = np.flatnonzero(np.diff(np.r_[False, own, False].view(np.int8)))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                    inner, last = [], 0
-                    for a, b in zip(edge[::2], edge[1::2]):
-                        inner += words[start + last : start + a]
-                        last = b
-                    kept.append(b" ".join(inner + words[start + last : start + size]))
-                    start += size
+                    at, h, g, head, _ = chunk.windows(_live(chunk, n, block, row["block_bits"]), window, block)
+                    at = at[np.repeat(_hits(h[head], n, row["window_bits"]), np.diff(np.r_[head, len(at)]))]
+                    change += np.bincount(at, minlength=len(change)) - np.bincount(at + window, minlength=len(change))
+                gone = np.cumsum(change)[:-1] > 0
+                spans, kept = zip(*(_left(chunk, gone, size, first) for size, first in zip(row["sizes"], chunk.first)))
                 yield pa.record_batch([pa.array(row["ids"], id_type), pa.array(row["sizes"], pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "spans", "kept_text"])
 
     return result
@@ -282,10 +277,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         return bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
     asked = chunks.mapInArrow(_block_requests(n, block), "bucket int, chunk bigint, flags binary, h0 binary, h1 binary")
-    hit = checkpointed(answers(asked, _block_key, True, "block_bits"))
+    hit = checkpointed(answers(asked, _block_keys, True, "block_bits"))
     found = chunks.join(hit, "chunk", "left")
     asked = found.mapInArrow(_window_requests(n, window, block), "bucket int, chunk bigint, flags binary, h0 binary, h1 binary")
-    found = found.join(answers(asked, _window_key, False, "window_bits"), "chunk", "left")
+    found = found.join(answers(asked, _window_keys, False, "window_bits"), "chunk", "left")
     out = found.mapInArrow(_results(n, window, block, id_type), f"id {id_ddl}, n_words bigint, spans array<struct<start:int,end:int>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
 
@@ -300,13 +295,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op10_repeats": op10_repeats}
 ORACLE_SQL = {
     "op10_repeats": r"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 p AS (SELECT r, len(words) AS n, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
 s AS (SELECT p.r, p.i, md5(array_to_string(w.words[p.i:p.i + 34], ' ')) AS h FROM p JOIN w USING (r)),
 d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1),
 g AS (SELECT DISTINCT r, i + k AS i FROM d, (SELECT unnest(range(0, 35)) AS k)),
 a AS (SELECT r, list(i) AS gone FROM g GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), z -> NOT list_contains(gone, z[2])), z -> z[1]) END, ' ')) AS kept_sha256
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN a USING (r)"""
 }

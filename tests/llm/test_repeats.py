@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from loam.llm import repeats as R
@@ -46,5 +47,8 @@ def test_brute_force(spark, monkeypatch, window, chunk):
 
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = [(d.doc_id, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, (n, g, k) in zip(docs, brute([d.text for d in docs], 35))]
     assert sorted(map(tuple, R.op10_repeats(spark, sf).collect())) == sorted(want)
+    assert sorted(db.execute(R.ORACLE_SQL["op10_repeats"]).fetchall()) == sorted(want)
