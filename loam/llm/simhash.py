@@ -11,32 +11,50 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import kept, table
+from loam.llm.common import checkpointed, kept, table
 from loam.llm.components import components
 
 #: Codes under a leaf and nodes under an upper node of the index.
 FAN = 8
-#: Codes searched together; bounds the memory of a search.
-BLOCK = 4096
+#: Codes searched together, and pairs where most pairs are compared; both bound the memory of a search.
+BLOCK, PAIRS = 4096, 1 << 20
 #: Rows of whole runs after which a task searches what it has read.
 ROWS = 200_000
 
 
-def text_fingerprint(text: bytes | None, words: int, seed: int) -> int:
+def _digests(text: bytes | None, words: int, seed: int) -> bytes:
+    """The XXH64 of each shingle, 8 bytes each, the highest first."""
     parts = text.lower().split() if text else []  # bytes: A-Z only, and ASCII white space only
     if not parts:
-        return 0
+        return b""
     joined = b" ".join(parts)
     n = len(parts) - words + 1
     if n <= 1:
-        digests = xxhash.xxh64_digest(joined, seed)
-    else:
-        starts = list(accumulate((len(p) + 1 for p in parts), initial=0))
-        digest = xxhash.xxh64_digest
-        digests = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:])])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)
-    return int.from_bytes(np.packbits(ones).tobytes(), "big", signed=True)
+        return xxhash.xxh64_digest(joined, seed)
+    starts = list(accumulate((len(p) + 1 for p in parts), initial=0))
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:])])
+
+
+def _majority(digests: np.ndarray) -> bytes:
+    bits = np.unpackbits(digests.reshape(-1, 8), axis=1)
+    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).tobytes()
+
+
+def text_fingerprint(text: bytes | None, words: int, seed: int) -> int:
+    return int.from_bytes(_majority(np.frombuffer(_digests(text, words, seed), np.uint8)), "big", signed=True)
+
+
+def wide_fingerprint(text: bytes | None, words: int, seed: int) -> bytes:
+    """256 bits: the fingerprint, and three more of hashes made from the shingles' XXH64."""
+    h = np.frombuffer(_digests(text, words, seed), ">u8").astype(np.uint64)
+    found = b""
+    for k in range(4):
+        found += _majority(h.byteswap().view(np.uint8))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(33)
+    return found
 
 
 def fingerprint(text: Column, words: int = 3, seed: int = 42) -> Column:
@@ -78,37 +96,34 @@ class GrayForest:
     """
 
     def __init__(self, codes: np.ndarray, runs: np.ndarray) -> None:
-        """codes: sorted by run, then Gray rank, each once in a run; runs: the run of each, ascending from 0 without gaps."""
+        """codes: (n, 64-bit words), sorted by run, then Gray rank, each once in a run; runs: the run of each, ascending from 0 without gaps."""
         self.codes, self.levels = codes, []
-        first = np.full(int(runs[-1]) + 1, -1, np.int64)
-        value, mask, run = codes, np.full(len(codes), ~np.uint64(0)), runs
-        while not self.levels or len(value) > len(first):
+        value, mask, run = codes, np.full(codes.shape, ~np.uint64(0)), runs
+        while not self.levels or len(value) > runs[-1] + 1:
             starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             within = np.arange(len(run)) - np.repeat(starts, np.diff(np.r_[starts, len(run)]))
             head = np.flatnonzero(within % FAN == 0)
             end = np.r_[head[1:], len(run)]
             top = value[head]
-            same = ~(value ^ np.repeat(top, end - head)) & mask
-            mask = np.bitwise_and.reduceat(same, head)
+            mask = np.bitwise_and.reduceat(~(value ^ np.repeat(top, end - head, axis=0)) & mask, head)
             value, run = top & mask, run[head]
             self.levels.append((head, end, value, mask))
-        self.root = np.arange(len(value))
 
     def pairs(self, queries: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(i, j), i < j, of codes of one run that differ in `radius` bits at most, for the i in `queries` (indexes), whose runs are `runs`."""
-        q, node = queries, self.root[runs]
-        above, far = np.zeros(len(q), np.uint64), np.zeros(len(q), np.int64)
+        q, node = queries, runs  # the root of a run has its number
+        above, far = np.zeros((len(q), self.codes.shape[1]), np.uint64), np.zeros(len(q), np.int64)
         for head, end, value, mask in reversed(self.levels):
-            far = far + np.bitwise_count((self.codes[q] ^ value[node]) & mask[node] & ~above)
+            far = far + np.bitwise_count((self.codes[q] ^ value[node]) & mask[node] & ~above).sum(axis=1, dtype=np.int64)
             stay = far <= radius
             q, node, far = q[stay], node[stay], far[stay]
             width = end[node] - head[node]
             offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
             child = np.repeat(head[node], width) + offset
-            above, q, far, node = np.repeat(mask[node], width), np.repeat(q, width), np.repeat(far, width), child
+            above, q, far, node = np.repeat(mask[node], width, axis=0), np.repeat(q, width), np.repeat(far, width), child
         stay = node > q
         q, node, above, far = q[stay], node[stay], above[stay], far[stay]
-        near = far + np.bitwise_count((self.codes[q] ^ self.codes[node]) & ~above) <= radius
+        near = far + np.bitwise_count((self.codes[q] ^ self.codes[node]) & ~above).sum(axis=1, dtype=np.int64) <= radius
         return q[near], node[near]
 
 
@@ -126,13 +141,18 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest_edges(codes: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, in each run, just the codes that links of `radius` bits at most connect: each code to the root of its set."""
+    """Edges (i, j) that connect, in each run, just the codes that links of `radius` bits at most connect: each code to the root of its set."""
     forest, parent = GrayForest(codes, runs), np.arange(len(codes))
-    for at in range(0, len(codes), BLOCK):
-        q = np.arange(at, min(at + BLOCK, len(codes)))
+    # where hardly a node can be left out, as many pairs are compared at once as before; never under 64 codes
+    cost = np.cumsum(np.bincount(runs)[runs] if radius > FAN else np.full(len(runs), PAIRS // BLOCK))
+    at = 0
+    while at < len(codes):
+        to = max(at + 64, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")))
+        q = np.arange(at, min(to, len(codes)))
         parent = _merge(parent, *forest.pairs(q, runs[q], radius))
+        at = to
     moved = np.flatnonzero(parent != np.arange(len(codes)))
-    return codes[moved], codes[parent[moved]]
+    return moved, parent[moved]
 
 
 def _search(radius: int):
@@ -144,8 +164,9 @@ def _search(radius: int):
         if len(code):
             run = np.unique(run, return_inverse=True)[1]
             order = np.lexsort((gray_rank(code), run))
-            u, v = forest_edges(code[order], run[order], radius)
-            yield pa.record_batch({"u": u.view(np.int64), "v": v.view(np.int64)})
+            code = code[order]
+            u, v = forest_edges(code[:, None], run[order], radius)
+            yield pa.record_batch({"u": code[u].view(np.int64), "v": code[v].view(np.int64)})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
@@ -194,10 +215,105 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
     return marked.join(classes, "code").select(F.col("id").alias(id_col), F.col("code").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, blocks: int = 6, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest; all columns. Rows that share that id all stay, and rows without an id stay."""
-    found = near_duplicates(docs, words, radius, blocks, id_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+#: Codes of a table's bucket above which it is searched in blocks, two at a time.
+CROWD = 4096
+
+
+def _tables(patterns: list[np.ndarray]):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 32), axis=1)
+                for mask, chosen in enumerate(patterns):
+                    key = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
+                    yield pa.record_batch([pa.array(np.full(len(key), mask, np.int32)), pa.array(key), batch.column(0), batch.column(1)], ["mask", "key", "node", "code"])
+
+    return spread
+
+
+def _wide_search(radius: int):
+    def whole(rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        """All runs of some rows at once."""
+        group = pa.concat_tables(rows)
+        keys = np.stack([group[c].to_numpy().astype(np.int64) for c in ("mask", "key", "p", "q")])
+        run = np.cumsum(np.r_[False, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        several = (np.bincount(run) > 1)[run]
+        if several.any():
+            run = np.unique(run[several], return_inverse=True)[1]
+            node = group["node"].to_numpy()[several]
+            code = np.frombuffer(b"".join(group["code"].filter(pa.array(several)).to_pylist()), ">u8").astype(np.uint64).reshape(-1, 4)
+            order = np.lexsort((gray_rank(code[:, 0]), run))
+            node = node[order]
+            u, v = forest_edges(code[order], run[order], radius)
+            yield pa.record_batch({"u": node[u], "v": node[v]})
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(x.num_rows for x in held) >= ROWS // 4:
+                group = pa.concat_tables(held)
+                keys = np.stack([group[c].to_numpy().astype(np.int64) for c in ("mask", "key", "p", "q")])
+                last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+                if last:
+                    yield from whole([group.slice(0, last)])
+                held = [group.slice(last)]
+        if held:
+            yield from whole(held)
+
+    return runs
+
+
+def wide_links(codes: DataFrame, radius: int, miss: float = 0.03) -> DataFrame:
+    """Edges (u, v) between the nodes of `codes` (node BIGINT, code BINARY(32), each code once) that connect codes within `radius` of 256 bits.
+
+    So wide a radius has no exact index; a table looks at some bits only, and links the codes that agree in these and are within the radius. Bits a
+    table looks at: enough for 64 codes a bucket on average. Tables: so many that a pair at the radius is missed by all with probability `miss`; their
+    number grows as about the fourth root of the number of codes. A pair is never dropped for its bucket's size: crowded buckets are cut into blocks,
+    and each two blocks meet in a task of their own.
+    """
+    n = codes.count()
+    bits = min(40, max(12, (n // 64).bit_length()))
+    agree = (1 - radius / 256) ** bits
+    rng, patterns = np.random.default_rng(7), []
+    while (1 - agree) ** len(patterns) > miss:
+        order = rng.permutation(256)
+        patterns += [np.sort(order[a : a + bits]) for a in range(0, 257 - bits, bits)]
+    spread = codes.select("node", "code").mapInArrow(_tables(patterns), "mask int, key bigint, node bigint, code binary")
+    crowded = checkpointed(spread.groupBy("mask", "key").count().where(F.col("count") > CROWD).select("mask", "key", F.ceil(F.col("count") / CROWD).cast("int").alias("m")))
+    small = crowded.limit(20_001).count() <= 20_000
+    met = spread.join(F.broadcast(crowded) if small else crowded, ["mask", "key"], "left")
+    own = F.pmod(F.xxhash64("code"), F.coalesce("m", F.lit(1))).cast("int")
+    met = met.withColumn("a", own).withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1)))
+    met = met.select("mask", "key", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "node", "code")
+    dealt = met.repartition("mask", "key", "p", "q").sortWithinPartitions("mask", "key", "p", "q")
+    return dealt.mapInArrow(_wide_search(radius), "u bigint, v bigint")
+
+
+def bit_radius(similarity: float, width: int = 256, spare: float = 1.25) -> int:
+    """Bits in which two texts of that Jaccard similarity differ, as expected, and `spare` standard deviations more."""
+    p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    return int(width * p + spare * np.sqrt(width * p * (1 - p)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without those that are near copies of one of a smaller id: shingles of `words` words, Jaccard similarity of about `similarity`.
+
+    Near copies are linked by SimHash fingerprints of 256 bits (see wide_links, bit_radius); of each connected group the rows of the smallest id stay,
+    with all columns. Equal texts have equal fingerprints and are always found; null and empty texts are one group. Rows that share an id are one
+    document; rows with a null id stay. No rows: no rows.
+    """
+
+    @F.arrow_udf("binary")
+    def wide(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_fingerprint(t.as_py(), words, 42) for t in texts.cast(pa.binary())], pa.binary())
+
+    marked = kept(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), wide(F.col(text_col)).alias("code")), "wide")
+    codes = checkpointed(marked.groupBy("code").agg(F.min("id").cast("long").alias("node")))
+    roots = components(wide_links(codes, bit_radius(similarity)))
+    firsts = codes.join(roots, "node", "left").select("code", F.coalesce("root", "node").alias("first"))
+    gone = marked.join(firsts, "code").where("id != first").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

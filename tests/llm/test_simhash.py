@@ -47,7 +47,7 @@ def test_forest_finds_every_link(radius):
     runs = (codes % 3).astype(np.int64)
     order = np.lexsort((S.gray_rank(codes), runs))
     codes, runs = codes[order], runs[order]
-    got = set(zip(*[x.tolist() for x in S.GrayForest(codes, runs).pairs(np.arange(len(codes)), runs, radius)]))
+    got = set(zip(*[x.tolist() for x in S.GrayForest(codes[:, None], runs).pairs(np.arange(len(codes)), runs, radius)]))
     want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if runs[i] == runs[j] and int(codes[i] ^ codes[j]).bit_count() <= radius}
     assert got == want
 
@@ -79,6 +79,34 @@ def test_whole_table(spark, sf):
     assert sorted(map(tuple, S.op4_simhash(spark, sf).collect())) == want
 
 
+def near_copies(n, rng):
+    """Texts with copies in which some words differ, and the word sets' similarities."""
+    say = lambda k: [f"w{rng.integers(5000)}" for _ in range(k)]
+    rows, similar = [], []
+    for i in range(n):
+        own = say(200)
+        rows.append((3 * i, " ".join(own)))
+        for j, edits in ((1, 2), (2, int(rng.integers(40, 60)))):
+            other = list(own)
+            for at in rng.choice(200, edits, replace=False):
+                other[at] = "new"
+            rows.append((3 * i + j, " ".join(other)))
+            a, b = ({tuple(x[k : k + 5]) for k in range(196)} for x in (own, other))
+            similar.append((3 * i + j, len(a & b) / len(a | b)))
+    return rows, similar
+
+
+@pytest.mark.parametrize("crowd", [4096, 3])
+def test_near_copies_go(spark, monkeypatch, crowd):
+    monkeypatch.setattr(S, "CROWD", crowd)
+    rows, similar = near_copies(60, np.random.default_rng(3))
+    left = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(3 * i in left for i in range(60))
+    near, far = [i for i, x in similar if x >= 0.8], [i for i, x in similar if x < 0.4]
+    assert len(near) >= 50 and sum(i in left for i in near) <= 1
+    assert len(far) >= 50 and all(i in left for i in far)
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, "other words here", "z"), (None, "a b c", "n")], "doc_id bigint, text string, root string")
     assert sorted((r.doc_id or 0, r.root) for r in S.keep_one(docs).collect()) == [(0, "n"), (1, "x"), (3, "z")]
