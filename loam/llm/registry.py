@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loam.llm import decontaminate, langid, mixing, repeats, sharding, simhash
 
-MODULES = [decontaminate, langid, mixing, repeats, sharding, simhash]
+MODULES = [mixing, langid, simhash, sharding, decontaminate, repeats]
 
 
 def queries() -> dict:
-    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()} | corpus_pipeline.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+    found = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
