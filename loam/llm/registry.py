@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loam.llm import decontaminate, langid, mixing, repeats, sharding, simhash
+from loam.llm import decontaminate, langid, mixing, repeats, sharding, simhash, warc
 
-MODULES = [mixing, langid, simhash, sharding, decontaminate, repeats]
+MODULES = [mixing, langid, simhash, sharding, decontaminate, warc, repeats]
 
 
 def queries() -> dict:
