@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loam.llm.common import checkpointed, partitions, table
 
 #: Bytes of words after which a chunk is closed; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 #: Hashes that a task matches at once, on average.
 BUCKET_WORDS = 2_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -130,13 +130,17 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
+def _ascending(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(x, prepend=x.dtype.type(0)).tobytes())
+
+
 def _requests(chunk: int, n: int, h: np.ndarray, flags: np.ndarray, more: list[np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket; `h`: ascending by bucket, `more`: further arrays in the same order."""
     of = _buckets(h, n)
     head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
     cut = list(zip(head, [*head[1:], len(of)]))
-    cols = [pa.array(of[head].astype(np.int32)), pa.array(np.full(len(head), chunk, np.int64)), pa.array([flags[a:b].astype(np.uint8).tobytes() for a, b in cut], pa.binary())]
-    cols += [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in more]
+    cols = [pa.array(of[head].astype(np.int32)), pa.array(np.full(len(head), chunk, np.int64)), pa.array([zstandard.compress(flags[a:b].astype(np.uint8).tobytes()) for a, b in cut], pa.binary())]
+    cols += [pa.array([_ascending(x[a:b]) if x.dtype == np.uint16 else x[a:b].tobytes() for a, b in cut], pa.binary()) for x in more]
     return pa.record_batch(cols, ["bucket", "chunk", "flags", *[f"h{i}" for i in range(len(more))]])
 
 
@@ -146,7 +150,7 @@ def _block_requests(n: int, block: int):
             for row in _rows(b):
                 _, h, head, flags = Chunk(row["packed"], row["sizes"]).anchors(block)
                 h = h[head]
-                # its 48 high bits stand for a hash: 4 bytes, and 2 that ascend slowly and so are compressed away
+                # its 48 high bits stand for a hash: 4 bytes, and 2 that ascend slowly and so are sent as compressed differences
                 yield _requests(row["chunk"], n, h, flags, [(h >> np.uint64(16)).astype(np.uint32), (h >> np.uint64(48)).astype(np.uint16)])
 
     return probe
@@ -157,7 +161,8 @@ def _joined(group: pa.Table, column: str, kind: type) -> np.ndarray:
 
 
 def _block_keys(group: pa.Table) -> list[np.ndarray]:
-    return [_joined(group, "h1", np.uint16).astype(np.uint64) << np.uint64(32) | _joined(group, "h0", np.uint32)]
+    high = [np.cumsum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint16), dtype=np.uint64) for x in group["h1"]]
+    return [np.concatenate(high) << np.uint64(32) | _joined(group, "h0", np.uint32)]
 
 
 def _window_keys(group: pa.Table) -> list[np.ndarray]:
@@ -168,7 +173,7 @@ def _answers(make_keys, needs_index: bool):
     """For a bucket: which entries stand for a sequence that occurs twice (and, if needed, is an indexed block somewhere)."""
 
     def match(group: pa.Table) -> pa.Table:
-        flags = [np.frombuffer(x.as_py(), np.uint8) for x in group["flags"]]
+        flags = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint8) for x in group["flags"]]
         keys = make_keys(group)
         order = np.argsort(keys[0])
         if len(keys) > 1 and len(_heads(keys[0][order])) < len(_heads(*(k[order] for k in keys))):  # equal in the first, not in the second
