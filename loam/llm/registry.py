@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loam.llm import decontaminate, langid, mixing, repeats, sharding, simhash, warc
+from loam.llm import decontaminate, langid, licences, mixing, repeats, sharding, simhash, warc
 
-MODULES = [mixing, langid, simhash, sharding, decontaminate, warc, repeats]
+MODULES = [mixing, langid, simhash, sharding, decontaminate, warc, licences, repeats]
 
 
 def queries() -> dict:
