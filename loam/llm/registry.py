@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loam.llm import decontaminate, langid, licences, mixing, neighbours, repeats, sharding, simhash, warc
+from loam.llm import decontaminate, html, langid, licences, mixing, neighbours, repeats, sharding, simhash, warc
 
-MODULES = [mixing, langid, simhash, neighbours, sharding, decontaminate, warc, licences, repeats]
+MODULES = [mixing, html, langid, simhash, neighbours, sharding, decontaminate, warc, licences, repeats]
 
 
 def queries() -> dict:
