@@ -214,12 +214,12 @@ def users_per_share(spark, sf_dir):
     return per.groupBy("num_users").agg(F.count("*").alias("n_shares"))
 
 
-_REFS = ", r AS (SELECT DISTINCT fp, user_id FROM h WHERE doc_id % 2 = 0), q AS (SELECT * FROM h WHERE doc_id % 2 = 1) "
+_REFS = ", r AS (SELECT DISTINCT fp, user_id FROM h WHERE doc_id % 40 < 20), q AS (SELECT * FROM h WHERE doc_id % 40 >= 20) "
 
 
 def _halves(spark, sf_dir):
     shares = _shares(spark, sf_dir)
-    return shares.where("seq % 2 = 1"), dedup.user_refs(dedup.share_index(shares.where("seq % 2 = 0")))
+    return shares.where("seq % 40 >= 20"), dedup.user_refs(dedup.share_index(shares.where("seq % 40 < 20")))
 
 
 @query(S + _REFS + "SELECT doc_id, secret_id FROM q WHERE EXISTS (SELECT 1 FROM r WHERE r.fp = q.fp AND r.user_id = q.user_id)")
