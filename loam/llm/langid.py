@@ -33,7 +33,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learn(labelled: DataFrame, rows: int = 400, row_chars: int = 4096, dictionary_bytes: int = 32768, max_languages: int = 200) -> dict[str, bytes]:
     """A raw-content dictionary for each language of `labelled` (text, lang), most frequent language first.
 
-    The bounded sample behind it: of each language `rows` distinct texts, those of the smallest hash, and of each up to `row_chars` characters; the
+    The bounded sample behind it: of each language `rows` distinct texts, chosen by hash, and of each up to `row_chars` characters; the
     dictionary keeps `dictionary_bytes`. That is all that reaches the driver, for `max_languages` languages at most (more raise ValueError). Null
     texts and langs and texts without a letter teach nothing; copies of a text count once.
     """
@@ -42,7 +42,12 @@ def learn(labelled: DataFrame, rows: int = 400, row_chars: int = 4096, dictionar
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.sum("n").alias("n")).limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
         raise ValueError(f"over {max_languages} languages")
-    chosen = texts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows).select("lang", "h")
+    if not sizes:
+        return {}
+    # a share of the hashes that holds about four times the texts needed, so that no task ranks a whole language
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, -(-(rows << 22) // n)))])
+    some = texts.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")])
+    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows).select("lang", "h")
     sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, row_chars)).alias("text")).orderBy("lang", "h").collect()
     found: dict[str, bytes] = {}
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
