@@ -74,9 +74,11 @@ def _byte_tables() -> np.ndarray:
 
 def rabin_fingerprints(data: np.ndarray) -> np.ndarray:
     """At each byte, the Rabin fingerprint, below 2^63, of the up to 48 bytes that end there."""
-    found = np.zeros(len(data), np.uint64)
+    at, found, part = data.astype(np.intp), np.zeros(len(data), np.uint64), np.empty(len(data), np.uint64)
     for t, table in enumerate(_byte_tables()[: len(data)]):
-        found[t:] ^= table[data[: len(data) - t]]
+        n = len(data) - t
+        np.take(table, at[:n], out=part[:n], mode="clip")
+        found[t:] ^= part[:n]
     return found
 
 

@@ -6,7 +6,7 @@ Rows are unique shares: cloud, share_fp, seq, secret_id, share_size and features
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import delta as D
@@ -28,6 +28,11 @@ def last_bases(shares: DataFrame) -> DataFrame:
     return _chosen(found)
 
 
+def _spread(column: str) -> Column:
+    """A column to join on of which many rows are null: each null is a value of its own that joins nothing, so that they don't meet in one task."""
+    return F.coalesce(F.col(column), F.concat(F.lit("-"), F.col("share_fp")))
+
+
 def _chosen(found: DataFrame) -> DataFrame:
     slot = F.coalesce(*[F.when(F.col(f"_{s}").isNotNull(), F.lit(i)) for i, s in enumerate(SLOTS, 1)])
     return found.withColumns({"candidate": F.coalesce(*[F.col(f"_{s}") for s in SLOTS]), "slot": slot}).drop(*[f"_{s}" for s in SLOTS])
@@ -53,8 +58,8 @@ def select_bases(shares: DataFrame, policy: str = "first_seen") -> DataFrame:
     if policy != "first_seen":
         raise ValueError(f"no policy {policy!r} here; see strict_deltas")
     found = first_bases(shares)
-    roots = found.where(F.col("candidate").isNull()).select("cloud", F.col("share_fp").alias("base_fp"))
-    joined = found.withColumn("_c", F.col("candidate")).join(roots.withColumnRenamed("cloud", "_cloud"), (F.col("cloud") == F.col("_cloud")) & (F.col("_c") == F.col("base_fp")), "left")
+    roots = found.where(F.col("candidate").isNull()).select(F.col("cloud").alias("_cloud"), F.col("share_fp").alias("base_fp"))
+    joined = found.join(roots, (F.col("cloud") == F.col("_cloud")) & (_spread("candidate") == F.col("base_fp")), "left")
     return joined.select(*shares.columns, "base_fp", F.when(F.col("base_fp").isNotNull(), F.col("slot")).alias("slot"))
 
 
@@ -68,16 +73,16 @@ def feature_index(shares: DataFrame) -> DataFrame:
 def with_deltas(shares: DataFrame, data: DataFrame, secondary: str = "none") -> DataFrame:
     """Rows of select_bases as they are stored: delta_depth, delta_size (null if whole), base_fp, stored (the bytes); data: (cloud, share_fp, data).
 
-    Sizes are judged before bytes are fetched: only shares that may become a delta meet their base's bytes.
+    Sizes are judged before bytes are fetched, and only bytes of shares that are a base are fetched as such.
     """
     sizes = shares.select(F.col("cloud").alias("_c"), F.col("share_fp").alias("_b"), F.col("share_size").alias("base_size"))
-    judged = shares.join(sizes, (F.col("cloud") == F.col("_c")) & (F.col("base_fp") == F.col("_b")), "left").drop("_c", "_b")
+    judged = shares.join(sizes, (F.col("cloud") == F.col("_c")) & (_spread("base_fp") == F.col("_b")), "left").drop("_c", "_b")
     fit = (F.col("base_size") >= D.LEAST_BASE) & (F.col("share_size") >= D.LEAST_SOURCE)
     judged = judged.withColumn("base_fp", F.when(fit, F.col("base_fp"))).drop("base_size").join(data, ["cloud", "share_fp"])
-    base = data.select(F.col("cloud").alias("_c"), F.col("share_fp").alias("_b"), F.col("data").alias("base_data"))
-    wanted = judged.where("base_fp is not null").join(base, (F.col("cloud") == F.col("_c")) & (F.col("base_fp") == F.col("_b"))).drop("_c", "_b")
-    tried = wanted.withColumn("delta", delta_encode(F.col("base_data"), F.col("data"), secondary)).drop("base_data")
-    every = tried.unionByName(judged.where("base_fp is null").withColumn("delta", F.lit(None).cast("binary")))
+    wanted = judged.where("base_fp is not null").select("cloud", F.col("base_fp").alias("share_fp")).distinct()
+    base = data.join(wanted, ["cloud", "share_fp"], "left_semi").select(F.col("cloud").alias("_c"), F.col("share_fp").alias("_b"), F.col("data").alias("base_data"))
+    joined = judged.join(base, (F.col("cloud") == F.col("_c")) & (_spread("base_fp") == F.col("_b")), "left")
+    every = joined.withColumn("delta", delta_encode(F.col("base_data"), F.col("data"), secondary))
     is_delta = F.col("delta").isNotNull()
     return every.select(
         *[c for c in shares.columns if c not in ("base_fp", "slot")],

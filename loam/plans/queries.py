@@ -533,7 +533,9 @@ def _featured(spark, sf_dir, method: str = "finesse") -> tuple[DataFrame, DataFr
     """(unique shares of 2 KiB with features, their bytes)."""
     found = _secrets(spark, sf_dir, ChunkSpec("fixed", 2048))
     data = _stored(found)
-    features = data.select("cloud", "share_fp", super_features(F.col("data"), method).alias("features"))
+    path = new_folder(spark, "features")  # used many times: computed once
+    data.select("cloud", "share_fp", super_features(F.col("data"), method).alias("features")).write.parquet(path)
+    features = spark.read.parquet(path)
     return dedup.unique_shares(dedup.plain_shares(found)).join(features, ["cloud", "share_fp"]), data
 
 

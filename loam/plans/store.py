@@ -68,7 +68,9 @@ class DedupStore:
         place = ["cloud", "share_fp", "seq", "secret_id"]
         data = whole.join(unique.select(*place), place, "left_semi").groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data"))
         if self.config.delta:
-            features = data.select("cloud", "share_fp", super_features(F.col("data"), self.config.features).alias("features"))
+            path = f"{self.folder}/features/ingest={n}"  # used many times: computed once
+            data.select("cloud", "share_fp", super_features(F.col("data"), self.config.features).alias("features")).write.parquet(path)
+            features = self.spark.read.parquet(path)
             stored = similarity.with_deltas(similarity.select_bases(unique.join(features, ["cloud", "share_fp"])), data).drop("features")
         else:
             none = {"delta_depth": F.lit(0), "delta_size": F.lit(None).cast("long"), "base_fp": F.lit(None).cast("string")}
