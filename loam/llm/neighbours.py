@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.llm.common import checkpointed, kept, table
@@ -94,7 +94,7 @@ def _nearest(k: int):
     return match
 
 
-def valid(column: str) -> F.Column:
+def valid(column: str) -> Column:
     """True for vectors that have no null or non-finite component, and one that isn't zero."""
     finite = lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
     c = F.col(column)
