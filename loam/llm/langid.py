@@ -17,7 +17,7 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Bytes encoded at a time, each time from the dictionary alone: late parts of a long text count like early ones.
 BLOCK = 4096
 #: Texts below this many bytes of letters aren't rejected by margin: one byte, the least difference there is, would decide.
-SHORT = 64
+SHORT = 256
 UNKNOWN = "und"
 
 
@@ -30,10 +30,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, rows: int = 400, row_chars: int = 4096, dictionary_bytes: int = 32768, max_languages: int = 200) -> dict[str, bytes]:
+def learn(labelled: DataFrame, rows: int = 500, row_chars: int = 128, dictionary_bytes: int = 65536, max_languages: int = 200) -> dict[str, bytes]:
     """A raw-content dictionary for each language of `labelled` (text, lang), most frequent language first.
 
-    The bounded sample behind it: of each language `rows` distinct texts, chosen by hash, and of each up to `row_chars` characters; the
+    The bounded sample behind it: of each language `rows` distinct texts, chosen by hash, and of each `row_chars` consecutive characters; the
     dictionary keeps `dictionary_bytes`. That is all that reaches the driver, for `max_languages` languages at most (more raise ValueError). Null
     texts and langs and texts without a letter teach nothing; copies of a text count once.
     """
@@ -48,7 +48,9 @@ def learn(labelled: DataFrame, rows: int = 400, row_chars: int = 4096, dictionar
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, -(-(rows << 22) // n)))])
     some = texts.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")])
     chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows).select("lang", "h")
-    sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, row_chars)).alias("text")).orderBy("lang", "h").collect()
+    # a short piece of many texts, from anywhere in each: no single odd text fills a dictionary
+    piece = F.substring(F.col("text"), (F.pmod("h", F.greatest(F.length("text") - row_chars, F.lit(0)) + 1) + 1).cast("int"), F.lit(row_chars))
+    sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(piece).alias("text")).orderBy("lang", "h").collect()
     found: dict[str, bytes] = {}
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
         content = b"".join(x for r in sample if r["lang"] == lang and (x := letters(r["text"])).strip())[:dictionary_bytes]
@@ -82,7 +84,7 @@ def identify(text: Column, dictionaries: dict[str, bytes], narrow: float = 0.01)
     """struct<lang_pred string, score double, rejected boolean> of a whole text.
 
     score: by which share the best language's encoding is smaller than the second's, 0 to 1; with one language only, 1. Null texts and texts without a
-    letter are `und`, 0.0, rejected, as is everything if no language was learned. A text with at least 64 bytes of letters is rejected if its score is
+    letter are `und`, 0.0, rejected, as is everything if no language was learned. A text with at least 256 bytes of letters is rejected if its score is
     below `narrow`, but lang_pred still names the best. Ties go to the language with the most learned texts.
     """
     made: list[Encoders] = []
