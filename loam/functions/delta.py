@@ -175,6 +175,16 @@ def delta_decode(base: Column, delta: Column, secondary: str = "none") -> Column
     return sources(base, delta)
 
 
+def delta_merge(first: Column, second: Column) -> Column:
+    """One delta for two: the second made of what the first makes; null if one is null."""
+
+    @F.arrow_udf("binary")
+    def merged(firsts: pa.Array, seconds: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else pack(merge(unpack(a), unpack(b))) for a, b in zip(firsts.to_pylist(), seconds.to_pylist())], pa.binary())
+
+    return merged(first, second)
+
+
 def delta_instructions(delta: Column) -> Column:
     """array<struct<op, offset, length>>: what a delta does, to be exploded."""
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from loam.functions import delta as D
 from loam.functions import hashing as H
+from loam.functions import layout as L
 from loam.functions import text as T
 from loam.functions.chunking import ChunkSpec
 from loam.functions.features import super_features
 from loam.operators import chunks, codec, dedup, metrics, packing, recipes, similarity
 from loam.operators.codec import CodecSpec
 from loam.operators.kv import KV, bloom_build, bloom_probe
+from loam.plans.sql import register_functions
 from loam.plans.store import DedupStore, StoreConfig
 from loam.sources.files import conversation_files, document_files, page_files, table
 from loam.sources.shared import new_folder
@@ -214,12 +216,13 @@ def users_per_share(spark, sf_dir):
     return per.groupBy("num_users").agg(F.count("*").alias("n_shares"))
 
 
-_REFS = ", r AS (SELECT DISTINCT fp, user_id FROM h WHERE doc_id % 40 < 20), q AS (SELECT * FROM h WHERE doc_id % 40 >= 20) "
+_REFS = ", g AS (SELECT * REPLACE (user_id % 3 AS user_id) FROM h), r AS (SELECT DISTINCT fp, user_id FROM g WHERE doc_id % 2 = 0), q AS (SELECT * FROM g WHERE doc_id % 2 = 1) "
 
 
 def _halves(spark, sf_dir):
-    shares = _shares(spark, sf_dir)
-    return shares.where("seq % 40 >= 20"), dedup.user_refs(dedup.share_index(shares.where("seq % 40 < 20")))
+    """Odd and even documents' shares, of three users."""
+    shares = _shares(spark, sf_dir).withColumn("user_id", F.col("user_id") % 3)
+    return shares.where("seq % 2 = 1"), dedup.user_refs(dedup.share_index(shares.where("seq % 2 = 0")))
 
 
 @query(S + _REFS + "SELECT doc_id, secret_id FROM q WHERE EXISTS (SELECT 1 FROM r WHERE r.fp = q.fp AND r.user_id = q.user_id)")
@@ -361,6 +364,35 @@ def container_read(spark, sf_dir):
     return packing.read_slices(packed, packing.container_payloads(packed, data)).select("share_fp", F.md5("data").alias("digest"))
 
 
+@query(S + """SELECT doc_id, count(*)::BIGINT AS n, md5(string_agg(fp || printf('%02X%02X%02X%02X', secret_id & 255, secret_id >> 8 & 255, secret_id >> 16 & 255, secret_id >> 24 & 255)
+|| repeat(printf('%02X%02X%02X%02X', size & 255, size >> 8 & 255, size >> 16 & 255, size >> 24 & 255), 2), '' ORDER BY secret_id)) AS digest, sum(secret_id * size)::BIGINT AS checked FROM h GROUP BY doc_id""")
+def recipe_bytes(spark, sf_dir):
+    """Recipes as packed bytes, and a sum over what is unpacked of them."""
+    entries = _doc(recipes.recipe_entries(_shares(spark, sf_dir)))
+    packed = entries.withColumn("data", L.pack_entry(F.col("share_fp"), F.col("secret_id"), F.col("secret_size"), F.col("share_size")))
+    whole = recipes.reassemble(packed, ["doc_id"]).withColumn("e", L.unpack_entries(F.col("content")))
+    shown = F.array_join(F.transform("e", lambda x: F.concat(x["share_fp"], *[F.hex(H.little_endian(x[c])) for c in ("secret_id", "secret_size", "share_size")])), "")
+    checked = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["secret_id"] * x["share_size"])
+    return whole.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(shown).alias("digest"), checked.alias("checked"))
+
+
+@query(S + "SELECT doc_id, (secret_id // 3 - CASE WHEN secret_id > 0 AND secret_id % 3 = 0 AND size + 12 <= 4095 - 3 * 1036 THEN 1 ELSE 0 END)::INTEGER AS frame, count(*)::BIGINT AS n_shares, sum(size + 12)::BIGINT AS bytes FROM h GROUP BY ALL")
+def restore_frames(spark, sf_dir):
+    """The frames in which a file is sent back: shares with a head of 12 bytes, flushed before they would fill 4 KiB."""
+    rows = _shares(spark, sf_dir).select("seq", "secret_id", (F.col("share_size") + 12).alias("n"))
+    return _doc(packing.pack(rows, ["seq"], ["secret_id"], "n", FRAGMENT - 1, "frame")).groupBy("doc_id", "frame").agg(F.count("*").alias("n_shares"), F.sum("n").alias("bytes"))
+
+
+@query("SELECT doc_id, count(*)::BIGINT AS n_chunks, md5(text) AS digest FROM documents, unnest(range(0, (octet_length(encode(text)) + 4095) // 4096)) GROUP BY doc_id, text")
+def sql_chunks(spark, sf_dir):
+    """Chunks by a table function, in SQL."""
+    register_functions(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    found = spark.sql("SELECT doc_id, c.secret_id, c.data FROM documents, LATERAL fixed_chunks(encode(text, 'UTF-8'), 4096) c")
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return counts.join(recipes.reassemble(found, ["doc_id"], "secret_id"), "doc_id").select("doc_id", "n_chunks", F.md5("content").alias("digest"))
+
+
 # restore
 
 _DIGESTS = "SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''"
@@ -618,6 +650,16 @@ def delta_listing(spark, sf_dir):
     return found.select("share_fp", "n", "i.*")
 
 
+@query(S.replace("1024", "2048").replace("1023", "2047") + "SELECT doc_id, true AS same FROM f WHERE octet_length(b) >= 2048")
+def delta_merged(spark, sf_dir):
+    """Each document with a line more, and one more still: a delta merged out of two makes the second out of the document."""
+    base = F.encode("text", "UTF-8")
+    once, twice = F.encode(F.concat(F.lit("a first line\n"), "text"), "UTF-8"), F.encode(F.concat(F.lit("a first line\n"), "text", F.lit("\na last line")), "UTF-8")
+    rows = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 2048).select("doc_id", base.alias("base"), once.alias("once"), twice.alias("twice"))
+    merged = D.delta_merge(D.delta_encode(F.col("base"), F.col("once")), D.delta_encode(F.col("once"), F.col("twice")))
+    return rows.select("doc_id", (D.delta_decode(F.col("base"), merged) == F.col("twice")).alias("same"))
+
+
 @query()
 def delta_report(spark, sf_dir):
     found = _secrets(spark, sf_dir, ChunkSpec("fixed", 2048))

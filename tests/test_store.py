@@ -171,3 +171,26 @@ def test_laps():
         with laps("a"):
             pass
     assert laps.seconds["a"] >= 0
+
+
+def test_sql_functions(spark, sf):
+    from loam.plans.sql import register_functions, register_views
+
+    register_views(spark, sf, ("documents", "orders"))
+    register_functions(spark)
+    got = spark.sql("SELECT length(rabin_key(encode(text, 'UTF-8'))) AS n, size(super_features_finesse(encode(repeat(text, 9), 'UTF-8'))) AS f FROM documents").distinct().collect()
+    assert all(r.n == 16 for r in got) and {r.f for r in got} <= {3, None}
+    back = spark.sql("SELECT count(*) AS n FROM (SELECT encode(text, 'UTF-8') AS a, encode(concat('x', text), 'UTF-8') AS b FROM documents) WHERE delta_decode(a, delta_encode(a, b)) = b")
+    assert back.first().n == spark.table("documents").count()
+    cut = spark.sql("SELECT count(*) AS n, max(c.secret_size) AS m FROM documents, LATERAL cdc_chunks(encode(text, 'UTF-8'), 256) c").first()
+    assert cut.n > 200 and cut.m <= 512
+
+
+def test_layout(spark):
+    from loam.functions.layout import pack_entry, unpack_entry
+
+    rows = [("ab" * 32, 0, -1, 2**31 - 1), ("cd" * 32, 70000, 8192, 2736), (None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "f string, a int, b int, c int")
+    packed = df.withColumn("p", pack_entry(F.col("f"), F.col("a"), F.col("b"), F.col("c")))
+    got = packed.withColumn("u", unpack_entry(F.col("p"))).collect()
+    assert [tuple(r.u) for r in got[:2]] == rows[:2] and got[2].p is None and len(got[0].p) == 44
