@@ -133,6 +133,10 @@ class Tree:
             self._close(*_ENDS[name])
         elif name[0] == "h" and name in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.open.pop()
+        if name == "table":  # straight within a table it ends that one
+            within = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in ("table", "td", "th", "caption")), 0)
+            if self.open[within].tag == "table" and all(n.tag in ("table", "thead", "tbody", "tfoot", "tr", "colgroup") for n in self.open[within:]):
+                del self.open[within:]
         if name in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr"))
         node = Node(name, raw)
@@ -142,9 +146,9 @@ class Tree:
             self._push(node)
 
     def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
         if len(self.open) >= DEPTH:
             self.open.pop()
+        self.open[-1].children.append(node)
         self.open.append(node)
 
     def _end(self, name: str) -> None:
@@ -345,6 +349,7 @@ class Renderer:
             used += widths[column] + 2 if widths.get(column) else 0
         lines = []
         for row in grid:
+            own = []
             for k in range(max((len(x) for _, _, x in row), default=0)):
                 line = ""
                 for column, _, cell in row:
@@ -352,8 +357,9 @@ class Renderer:
                         at = starts.get(column, used)
                         line = line.ljust(at) if len(line) + 2 <= at or not line else line + "  "
                         line += cell[k]
-                lines.append(line.rstrip())
-        return self.block(loose, depth) if loose.children else [], [x for x in lines if x]
+                own.append(line.rstrip())
+            lines += own if any(own) else []
+        return self.block(loose, depth) if loose.children else [], lines
 
 
 def render(html: str | None) -> str:

@@ -101,3 +101,11 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame([(1, None, "c"), (1, "<p>x", "c"), (1, "<p>x", "c"), (None, "", "c")], "page_id bigint, html string, text string")
     assert sorted(r.t for r in pages.select(H.visible_text(H.F.col("html")).alias("t")).collect()) == ["", "", "x", "x"]
     assert pages.limit(0).select(H.visible_text(H.F.col("html"))).count() == 0
+
+
+def test_nested_tables_and_limits():
+    assert H.render("<table>" * 3000 + "<tr><td>x") == "x"
+    assert H.render("<table><tr><td>a<table><tr><td>b<td>c</table></table>") == "a\n\nb  c"
+    assert H.render("<table><tr><td>" * 2000 + "x").strip() == "x"
+    assert H.render("<table><div>" * 2000 + "x").strip() == "x"
+    assert H.render("<table><tr><td>a<table>" + "<tr><td>b" * 3).split() == ["a", "b", "b", "b"]
