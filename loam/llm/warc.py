@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import kept, shared_folder, table
+from loam.llm.common import checkpointed, kept, shared_folder, table
 
 #: Payloads below this many bytes are always stored.
 REVISIT_FROM = 1000
 #: Records a file has at most; a reader holds one file at a time.
 FILE_RECORDS = 2048
+#: Groups of equal payloads that are sent to all tasks; more are joined, which shuffles the payloads.
+BROADCAST_GROUPS = 100_000
 #: Lines of an index block.
 BLOCK_LINES = 1000
 #: Directory entries that a lookup takes to the driver for its binary search; a larger directory is searched where it is.
@@ -50,7 +52,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     own = own.withColumns({"digest": F.sha1("payload"), "sha256": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
     groups = own.where(F.col("bytes") >= REVISIT_FROM).groupBy("sha256").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    own = own.join(groups, "sha256", "left")
+    groups = checkpointed(groups)
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    own = own.join(F.broadcast(groups) if few else groups, "sha256", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.col("bytes") >= REVISIT_FROM)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
     safe = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit("about:blank"))

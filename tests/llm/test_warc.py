@@ -29,8 +29,10 @@ ROWS = [
 ]
 
 
-def test_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("groups", [0, 100])
+def test_round_trip(spark, monkeypatch, groups):
     monkeypatch.setattr(W, "BLOCK_LINES", 3)
+    monkeypatch.setattr(W, "BROADCAST_GROUPS", groups)
     pages = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], "page_id bigint, url string, html string, digest string, first int")
     at = folder(spark)
     got = sorted(map(tuple, W.archive(pages, at).collect()), key=str)
