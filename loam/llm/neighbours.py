@@ -55,15 +55,15 @@ def probes(vectors: np.ndarray, table_: int, hashes: int, n: int, seed: int) ->
     return cells
 
 
-def _hash(tables: int, hashes: int, n: int, seed: int):
-    """(cls, vector) -> (table, cell, cls, vector), a row for each of the n cells of each table."""
+def _hash(tables: int, hashes: int, n: int, seed: int, kind: str):
+    """(cls, vector) -> (table, cell, cls, packed), a row for each of the n cells of each table; packed: the components as `kind`, float32 or float64."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 vectors = np.array(batch.column(1).to_pylist(), np.float64)
-                packed = [v.tobytes() for v in vectors]
+                packed = [v.tobytes() for v in vectors.astype(kind)]
                 for t in range(tables):
                     cells = probes(vectors, t, hashes, n, seed)
                     for k in range(cells.shape[1]):
@@ -72,11 +72,11 @@ def _hash(tables: int, hashes: int, n: int, seed: int):
     return spread
 
 
-def _nearest(k: int):
+def _nearest(k: int, kind: str):
     def match(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if rows.num_rows and queries.num_rows:
-            of = lambda x: np.frombuffer(b"".join(x["packed"].to_pylist()), np.float64).reshape(x.num_rows, -1)
+            of = lambda x: np.frombuffer(b"".join(x["packed"].to_pylist()), kind).reshape(x.num_rows, -1).astype(np.float64)
             x, q = of(rows), of(queries)
             names, asked = rows["cls"].to_pylist(), queries["cls"].to_pylist()
             some = min(k + 8, len(x))  # rounding may swap near ties, so a few more are measured exactly
@@ -123,8 +123,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6
     wanted = asked.select("cls", "id").distinct()
     query_classes = asked.groupBy("cls").agg(F.any_value("vector").alias("vector"))
     spread = "table int, cell bigint, cls string, packed binary"
-    index = classes.mapInArrow(_hash(tables, hashes, 1, seed), spread)
-    probe = kept(query_classes.mapInArrow(_hash(tables, hashes, probed, seed), spread), "probes")
+    kind = "float32" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "float64"
+    index = classes.mapInArrow(_hash(tables, hashes, 1, seed, kind), spread)
+    probe = kept(query_classes.mapInArrow(_hash(tables, hashes, probed, seed, kind), spread), "probes")
     # how many rows meet in each cell: at most tables * (2 * length) ** hashes numbers
     sizes = index.groupBy("table", "cell").agg(F.count("*").alias("n")).join(probe.groupBy("table", "cell").agg(F.count("*").alias("m")), ["table", "cell"])
     sizes = checkpointed(sizes.select("table", "cell", F.ceil(F.col("n") / CELL_VECTORS).cast("int").alias("n"), F.ceil(F.col("m") / CELL_QUERIES).cast("int").alias("m")))
@@ -133,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6
     index = index.join(shared, ["table", "cell"]).withColumn("a", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     probe = probe.join(shared, ["table", "cell"]).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     index, probe = (x.select(*keys, "cls", "packed") for x in (index, probe))
-    met = index.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInArrow(_nearest(k + 1), "query string, cls string, score double")
+    met = index.groupBy(*keys).cogroup(probe.groupBy(*keys)).applyInArrow(_nearest(k + 1, kind), "query string, cls string, score double")
     found = met.distinct().join(ids.groupBy("cls").agg(F.min("id").alias("least")), "cls")
     best = F.row_number().over(Window.partitionBy("query").orderBy("score", "least"))
     found = kept(found.withColumn("r", best).where(F.col("r") <= k + 1).select("query", "cls", "score"), "found")
