@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import kept, table
+from loam.llm.common import dropped, kept, mark, table
 from loam.llm.decontaminate import decontaminate
 from loam.llm.langid import held_out, identify, learn
 from loam.llm.mixing import mixed, plan_mix
@@ -53,10 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each written to the shared folder and read again by the next; what went before is then removed there."""
+    docs, start = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), name)
+        dropped(spark, start, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -36,14 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The folders that kept() has written and dropped() hasn't removed, in order.
+_written: list[str] = []
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once as a table of the shared folder and read again: later uses neither recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place among the tables that kept() has written, for dropped()."""
+    return len(_written)
+
+
+def dropped(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Removes the tables that kept() has written since a mark, but for the last `but`. Results that read them can't be run any more."""
+    paths = _written[since : len(_written) - but]
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _written[since : len(_written) - but]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, reliably checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
