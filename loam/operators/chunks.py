@@ -11,9 +11,10 @@ from loam.functions.chunking import ChunkSpec, chunk_ranges
 def secrets(files: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
     """A row for each chunk of each file: user_id, file_name, seq, file_size, secret_id, secret_size, is_last, data. No shuffle."""
     ranges = files.withColumn("ranges", chunk_ranges(F.col("content"), spec))
-    each = ranges.select("*", F.size("ranges").alias("n"), F.posexplode("ranges").alias("secret_id", "range"))
-    data = F.substring(F.col("content"), F.col("range.start") + 1, F.col("range.size"))
-    return each.select("user_id", "file_name", "seq", "file_size", "secret_id", F.col("range.size").alias("secret_size"), (F.col("secret_id") == F.col("n") - 1).alias("is_last"), data.alias("data"))
+    # cut before the explosion, which would copy the whole content to every chunk's row
+    cut = F.transform("ranges", lambda r: F.struct(r["size"].alias("size"), F.substring(F.col("content"), r["start"] + 1, r["size"]).alias("data")))
+    each = ranges.select("user_id", "file_name", "seq", "file_size", F.size("ranges").alias("n"), F.posexplode(cut).alias("secret_id", "chunk"))
+    return each.select("user_id", "file_name", "seq", "file_size", "secret_id", F.col("chunk.size").alias("secret_size"), (F.col("secret_id") == F.col("n") - 1).alias("is_last"), F.col("chunk.data").alias("data"))
 
 
 def expected_chunks(file_size: Column, avg: int) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from loam.functions import delta as D
 from loam.functions.delta import delta_decode, delta_encode
-from loam.operators.dedup import place
 
 SLOTS = ("sf1", "sf2", "sf3")
 
@@ -48,7 +47,7 @@ def first_bases(shares: DataFrame) -> DataFrame:
         feature = F.col(f"features.{s}")
         first = shares.where(feature.isNotNull()).groupBy("cloud", feature.alias("_f")).agg(F.min(F.struct("seq", "secret_id", "share_fp")).alias("_first"))
         joined = found.withColumn("_f", feature).join(first, ["cloud", "_f"], "left")
-        own = F.when(F.struct("_first.seq", "_first.secret_id") < place(), F.col("_first.share_fp"))
+        own = F.when(F.struct("_first.seq", "_first.secret_id") < F.struct("seq", "secret_id"), F.col("_first.share_fp"))
         found = joined.withColumn(f"_{s}", own).drop("_f", "_first")
     return _chosen(found).select(*shares.columns, "candidate", "slot")
 

@@ -399,7 +399,7 @@ _DIGESTS = "SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''"
 
 
 def _stored(found: DataFrame) -> DataFrame:
-    return found.select(F.lit(0).alias("cloud"), F.sha2("data", 256).alias("share_fp"), "data").groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data"))
+    return found.select(F.lit(0).alias("cloud"), dedup.fingerprint(F.col("data")).alias("share_fp"), "data").groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data"))
 
 
 @query(_DIGESTS)

@@ -48,7 +48,7 @@ class DedupStore:
             found = found.withColumns({"cloud": F.lit(0), "share_size": F.col("secret_size")})
         else:
             found = encode_shares(found, self.config.codec)
-        return found.withColumn("share_fp", F.sha2("data", 256))
+        return found.withColumn("share_fp", dedup.fingerprint(F.col("data")))
 
     def ingest(self, files: DataFrame) -> None:
         """Stores `files` (see sources.files.FILES); seq has to be larger than in earlier ingests for a name's new version to hold."""
