@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -100,15 +101,26 @@ class Tests:
 _FOUND = "array<struct<item_id: {}, distance: int, n_chars: int, start: int, end: int>>"
 
 
+#: Of the last parts that this process searched for: a worker runs many tasks, and making the automaton of a large part takes time.
+_made: dict[str, Tests] = {}
+
+
+def _tests(key: str, items: list[tuple], rate: float) -> Tests:
+    if key not in _made:
+        if len(_made) >= 4:
+            _made.clear()
+        _made[key] = Tests(items, rate)
+    return _made[key]
+
+
 def _matcher(items: list[tuple], rate: float, id_type: pa.DataType, id_ddl: str):
-    made: list[Tests] = []
+    key = hashlib.sha256(repr((rate, items)).encode("utf-8", "replace")).hexdigest()
     kind = pa.list_(pa.struct([("item_id", id_type), *((c, pa.int32()) for c in ("distance", "n_chars", "start", "end"))]))
 
     @F.arrow_udf(_FOUND.format(id_ddl))
     def match(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(Tests(items, rate))
-        return pa.array([made[0].matches(t) for t in texts.to_pylist()], kind)
+        tests = _tests(key, items, rate)
+        return pa.array([tests.matches(t) for t in texts.to_pylist()], kind)
 
     return match
 
