@@ -45,9 +45,14 @@ def text_fingerprint(text: bytes | None, words: int, seed: int) -> int:
     return int.from_bytes(_majority(np.frombuffer(_digests(text, words, seed), np.uint8)), "big", signed=True)
 
 
-def wide_fingerprint(text: bytes | None, words: int, seed: int) -> bytes:
-    """256 bits: the fingerprint, and three more of hashes made from the shingles' XXH64."""
-    h = np.frombuffer(_digests(text, words, seed), ">u8").astype(np.uint64)
+def shingle_set(text: bytes | None, words: int, seed: int) -> np.ndarray:
+    """The XXH64 of each different shingle, ascending."""
+    return np.unique(np.frombuffer(_digests(text, words, seed), ">u8").astype(np.uint64))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """256 bits of a shingle_set: four majorities, of its hashes and of three more made from each. How often a shingle comes doesn't count."""
+    h = shingles
     found = b""
     for k in range(4):
         found += _majority(h.byteswap().view(np.uint8))
@@ -266,7 +271,7 @@ def _wide_search(radius: int):
 
 
 def wide_links(codes: DataFrame, radius: int, miss: float = 0.03) -> DataFrame:
-    """Edges (u, v) between the nodes of `codes` (node BIGINT, code BINARY(32), each code once) that connect codes within `radius` of 256 bits.
+    """Edges (u, v) between the nodes of `codes` (node BIGINT, code BINARY(32)) that connect codes within `radius` of 256 bits.
 
     So wide a radius has no exact index; a table looks at some bits only, and links the codes that agree in these and are within the radius. Bits a
     table looks at: enough for 64 codes a bucket on average. Tables: so many that a pair at the radius is missed by all with probability `miss`; their
@@ -291,29 +296,117 @@ def wide_links(codes: DataFrame, radius: int, miss: float = 0.03) -> DataFrame:
     return dealt.mapInArrow(_wide_search(radius), "u bigint, v bigint")
 
 
+#: Documents, and shingles, of a block in which candidates are confirmed, on average: larger groups are cut into blocks, and every two meet.
+GROUP, GROUP_SHINGLES = 2048, 1 << 22
+
+
+def confirmed_edges(codes: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect just the sets that pairs of at least that Jaccard similarity, with codes within `radius`, connect.
+
+    Of pairs that are connected already none is measured again, so that a group of copies costs as many measurements as it has sets.
+    """
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    label, held, found = np.arange(len(sets)), np.zeros(int(ids.max(initial=-1)) + 1, bool), []
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, len(sets))
+        small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+        rest = rest[(label[rest] != label[i]) & (small >= similarity * large - 1e-9)]
+        rest = rest[np.bitwise_count(codes[rest] ^ codes[i]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(rest):
+            continue
+        own = ids[start[i] : start[i] + size[i]]
+        held[own] = True
+        common = np.array([np.count_nonzero(held[ids[start[j] : start[j] + size[j]]]) for j in rest])
+        held[own] = False
+        near = rest[common >= similarity * (size[i] + size[rest] - common) - 1e-9]
+        roots, first = np.unique(label[near], return_index=True)
+        found += [(i, int(j)) for j in near[first]]
+        label[np.isin(label, roots)] = label[i]
+    return found
+
+
+def _confirm(radius: int, similarity: float):
+    def of_run(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            codes = np.frombuffer(b"".join(r[1] for r in rows), ">u8").astype(np.uint64).reshape(-1, 4)
+            found = confirmed_edges(codes, [np.frombuffer(r[2], np.uint64) for r in rows], radius, similarity)
+            if found:
+                yield pa.record_batch({"u": pa.array([rows[j][0] for _, j in found], pa.int64()), "v": pa.array([rows[i][0] for i, _ in found], pa.int64())})
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                root, p, q, node, code, shingles = (batch.column(c)[at].as_py() for c in range(6))
+                if (root, p, q) != key:
+                    yield from of_run(held)
+                    key, held = (root, p, q), []
+                held.append((node, code, shingles))
+        yield from of_run(held)
+
+    return runs
+
+
+def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between documents of `docs` (id, text) whose shingle sets have the Jaccard similarity; looked for in each group of `candidates`.
+
+    candidates: (node, root), a row for each id but the root of each group. The sets are made again from the texts of the groups' documents alone, as
+    64-bit hashes, and each pair of a group that is within `radius` bits is measured, or connected by such pairs.
+    """
+
+    @F.arrow_udf("struct<key: binary, code: binary, n: int, shingles: binary>")
+    def described(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t.as_py(), words, 42) for t in texts.cast(pa.binary())]
+        columns = [[set_key(x) for x in sets], [wide_fingerprint(x) for x in sets], [len(x) for x in sets], [x.tobytes() for x in sets]]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.binary()))], ["key", "code", "n", "shingles"])
+
+    members = candidates.select("node", "root").union(candidates.select(F.col("root").alias("node"), "root")).distinct()
+    sets = docs.join(members, docs["id"].cast("long") == members["node"]).select("node", "root", described("text").alias("s"))
+    sets = sets.groupBy("node", "root", "s.key").agg(F.first("s.code").alias("code"), F.first("s.n").alias("n"), F.first("s.shingles").alias("shingles"))
+    sets = kept(sets, "shingles")
+    blocks = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("m"))
+    met = sets.join(blocks.withColumn("m", F.greatest("m", F.lit(1))), "root")
+    met = met.withColumn("a", F.pmod(F.xxhash64("key"), F.col("m")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    met = met.select("root", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "node", "code", "shingles")
+    dealt = met.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return dealt.mapInArrow(_confirm(radius, similarity), "u bigint, v bigint")
+
+
 def bit_radius(similarity: float, width: int = 256, spare: float = 1.25) -> int:
     """Bits in which two texts of that Jaccard similarity differ, as expected, and `spare` standard deviations more."""
     p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     return int(width * p + spare * np.sqrt(width * p * (1 - p)))
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a shingle_set."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without those that are near copies of one of a smaller id: shingles of `words` words, Jaccard similarity of about `similarity`.
+    """The rows of `docs` without those that are near copies of one of a smaller id: sets of shingles of `words` words, Jaccard similarity from `similarity`.
 
-    Near copies are linked by SimHash fingerprints of 256 bits (see wide_links, bit_radius); of each connected group the rows of the smallest id stay,
-    with all columns. Equal texts have equal fingerprints and are always found; null and empty texts are one group. Rows that share an id are one
-    document; rows with a null id stay. No rows: no rows.
+    Candidates are linked by SimHash fingerprints of 256 bits, made from the different shingles (see wide_links, bit_radius); a pair of candidates counts
+    only if the sets themselves, as 64-bit hashes, are as similar (see confirmed_links). Of each group connected by such pairs the rows of the smallest
+    id stay, with all columns. Equal sets are one node and always found; null and empty texts are one group. Rows that share an id are one document; rows
+    with a null id stay. No rows: no rows.
     """
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<key: binary, code: binary>")
     def wide(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(t.as_py(), words, 42) for t in texts.cast(pa.binary())], pa.binary())
-
-    marked = kept(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), wide(F.col(text_col)).alias("code")), "wide")
-    codes = checkpointed(marked.groupBy("code").agg(F.min("id").cast("long").alias("node")))
-    roots = components(wide_links(codes, bit_radius(similarity)))
-    firsts = codes.join(roots, "node", "left").select("code", F.coalesce("root", "node").alias("first"))
-    gone = marked.join(firsts, "code").where("id != first").select(F.col("id").alias(id_col)).distinct()
+        sets = [shingle_set(t.as_py(), words, 42) for t in texts.cast(pa.binary())]
+        return pa.StructArray.from_arrays([pa.array([set_key(x) for x in sets], pa.binary()), pa.array([wide_fingerprint(x) for x in sets], pa.binary())], ["key", "code"])
+
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = kept(own.select("id", wide("text").alias("s")).select("id", "s.key", "s.code"), "wide")
+    classes = checkpointed(marked.groupBy("key").agg(F.min("id").cast("long").alias("node"), F.min("code").alias("code")))
+    radius = bit_radius(similarity)
+    candidates = components(wide_links(classes.select("node", "code"), radius))
+    roots = components(confirmed_links(own, candidates, words, radius, similarity))
+    firsts = classes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("first"))
+    gone = marked.join(firsts, "key").where("id != first").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

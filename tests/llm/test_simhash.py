@@ -110,3 +110,43 @@ def test_near_copies_go(spark, monkeypatch, crowd):
 def test_keep_one(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, "other words here", "z"), (None, "a b c", "n")], "doc_id bigint, text string, root string")
     assert sorted((r.doc_id or 0, r.root) for r in S.keep_one(docs).collect()) == [(0, "n"), (1, "x"), (3, "z")]
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_a_shared_repeated_line_makes_no_copies(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(f"line{i}" for i in range(10))
+    texts = [" ".join([line] * int(rng.integers(10, 40)) + [f"w{rng.integers(10**6)}" for _ in range(100)]) for _ in range(30)]
+    copies = [" ".join([line] * 40 + x.split(line + " ")[-1].split()) for x in texts]  # the same sets, with the line more often
+    assert max(jaccard(texts[0], x) for x in texts[1:]) < 0.2 and min(map(jaccard, texts, copies)) == 1
+    rows = list(enumerate(texts + copies))
+    left = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert left == set(range(30))
+
+
+@pytest.mark.parametrize("group", [2048, 3])
+def test_confirmed_edges_connect_as_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(4):  # copies of one another, and chains in which each step is near the threshold
+        words = [f"c{c}w{i}" for i in range(200)]
+        for _ in range(12):
+            words = list(words)
+            for at in rng.choice(200, int(rng.integers(1, 9)), replace=False):
+                words[at] = f"x{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    nodes = spark.createDataFrame([(i, i // 12 * 12) for i, _ in rows if i % 12], "node bigint, root bigint")
+    docs = spark.createDataFrame(rows + rows[:3], "id bigint, text string")
+    root = {r.node: r.root for r in S.components(S.confirmed_links(docs, nodes, 5, 256, 0.8)).collect()}
+    want = list(range(len(rows)))
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if jaccard(a, b) >= 0.8 and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert [root.get(i, i) for i in range(len(rows))] == want and 4 < len(set(want)) < len(rows)
