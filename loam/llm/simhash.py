@@ -374,7 +374,7 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, radius:
     return dealt.mapInArrow(_confirm(radius, similarity), "u bigint, v bigint")
 
 
-def bit_radius(similarity: float, width: int = 256, spare: float = 1.25) -> int:
+def bit_radius(similarity: float, width: int = 256, spare: float = 3.0) -> int:
     """Bits in which two texts of that Jaccard similarity differ, as expected, and `spare` standard deviations more."""
     p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     return int(width * p + spare * np.sqrt(width * p * (1 - p)))

@@ -150,3 +150,17 @@ def test_confirmed_edges_connect_as_all_pairs(spark, monkeypatch, group):
                 low, high = sorted((want[i], want[j]))
                 want = [low if x == high else x for x in want]
     assert [root.get(i, i) for i in range(len(rows))] == want and 4 < len(set(want)) < len(rows)
+
+
+def test_pairs_near_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for i in range(200):  # words other from some place on: a similarity of (200 - n) / (200 + n)
+        own = [f"w{rng.integers(10**6)}" for _ in range(204)]
+        n = int(rng.choice([21, 22, 23, 24, 28]))
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-n] + [f"w{rng.integers(10**6)}" for _ in range(n)]))]
+        pairs.append((2 * i + 1, jaccard(rows[-2][1], rows[-1][1])))
+    left = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near, far = [i for i, x in pairs if x >= 0.8], [i for i, x in pairs if x < 0.8]
+    assert min(len(near), len(far)) >= 40
+    assert sum(i in left for i in near) <= 1 and all(i in left for i in far)
