@@ -79,21 +79,55 @@ def _nearest(k: int, kind: str):
             of = lambda x: np.frombuffer(b"".join(x["packed"].to_pylist()), kind).reshape(x.num_rows, -1).astype(np.float64)
             x, q = of(rows), of(queries)
             names, asked = rows["cls"].to_pylist(), queries["cls"].to_pylist()
-            some = min(k + 8, len(x))  # rounding may swap near ties, so a few more are measured exactly
-            for at in range(0, len(q), 256):
-                part = q[at : at + 256]
-                rough = (x * x).sum(axis=1)[None, :] - 2 * part @ x.T
-                best = np.argpartition(rough, some - 1, axis=1)[:, :some] if some < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
-                exact = np.sqrt(((x[best] - part[:, None, :]) ** 2).sum(axis=2))
-                for i, (ids, far) in enumerate(zip(best, exact)):
+            length = np.sqrt((x * x).sum(axis=1))
+            for at in range(0, len(q), 128):
+                part = q[at : at + 128]
+                rough = (length * length)[None, :] - 2 * part @ x.T
+                # more than rounding can make of the squares here and of the exact distances below: all that may be among the k stay, ties included
+                slack = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (length[None, :] + np.sqrt((part * part).sum(axis=1))[:, None]) ** 2
+                edge = np.partition(rough + slack, min(k, len(x)) - 1, axis=1)[:, [min(k, len(x)) - 1]]
+                stay = ~(rough - slack > edge)
+                for i in range(len(part)):
+                    best = np.flatnonzero(stay[i])
+                    far = np.sqrt(((x[best] - part[i]) ** 2).sum(axis=1))
                     order = np.argsort(far, kind="stable")
                     cut = far[order[min(k, len(order)) - 1]]  # ties at the edge all stay
-                    found += [(asked[at + i], names[ids[j]], float(far[j])) for j in order if far[j] <= cut]
+                    found += [(asked[at + i], names[best[j]], float(far[j])) for j in order if far[j] <= cut]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [(), (), ()], (pa.string(), pa.string(), pa.float64()))], ["query", "cls", "score"])
 
     return match
 
 
+def _scanned(k: int):
+    def match(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        """For each query the k nearest different ids of the rows, by exact distances; ties go to the smaller id."""
+        found: list[tuple] = []
+        if rows.num_rows and queries.num_rows:
+            rows = rows.sort_by("id")
+            ids, x = rows["id"].to_pylist(), np.array(rows["vector"].to_pylist(), np.float64)
+            for cls, q in zip(queries["cls"].to_pylist(), queries["vector"].to_pylist()):
+                far, seen = np.sqrt(((x - np.array(q)) ** 2).sum(axis=1)), set()
+                for j in np.argsort(far, kind="stable"):
+                    if ids[j] not in seen:
+                        seen.add(ids[j])
+                        found.append((cls, ids[j], float(far[j])))
+                        if len(seen) == k:
+                            break
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [(), (), ()], (pa.string(), rows.schema.field("id").type, pa.float64()))], ["query", "id", "score"])
+
+    return match
+
+
+def scanned(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, score): at least the k nearest different ids among `points` (id, vector) of each of `queries` (cls, vector), in blocks that all meet."""
+    n, m = max(1, -(-points.count() // CELL_VECTORS)), max(1, -(-queries.count() // CELL_QUERIES))
+    points = points.withColumn("a", F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    queries = queries.withColumn("b", F.pmod(F.xxhash64("cls"), F.lit(m)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    points, queries = points.select("a", "b", "id", "vector"), queries.select("a", "b", "cls", "vector")
+    id_type = points.schema["id"].dataType.simpleString()
+    return points.groupBy("a", "b").cogroup(queries.groupBy("a", "b")).applyInArrow(_scanned(k), f"query string, id {id_type}, score double")
+
+
 def valid(column: str) -> Column:
     """True for vectors that have no null or non-finite component, and one that isn't zero."""
     finite = lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
@@ -138,10 +172,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6
     found = met.distinct().join(ids.groupBy("cls").agg(F.min("id").alias("least")), "cls")
     best = F.row_number().over(Window.partitionBy("query").orderBy("score", "least"))
     found = kept(found.withColumn("r", best).where(F.col("r") <= k + 1).select("query", "cls", "score"), "found")
-    pairs = wanted.select(F.col("id").alias("query_id"), F.col("cls").alias("query")).join(found, "query").join(ids, "cls").where("id != query_id")
+    named = wanted.select(F.col("id").alias("query_id"), F.col("cls").alias("query"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    out = pairs.groupBy("query_id", "id").agg(F.min("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        out = pairs.where("id != query_id").groupBy("query_id", "id").agg(F.min("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+        return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+    out = kept(ranked(named.join(found, "query").join(ids, "cls")), "ranked")
+    full = out.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short = kept(named.join(full, "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return out
+    points = ids.join(classes, "cls").select("id", "vector")
+    again = scanned(points, query_classes.join(short.select(F.col("query").alias("cls")).distinct(), "cls"), k + 1)
+    return out.join(full, "query_id").select(*out.columns).union(ranked(short.join(again, "query")))
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

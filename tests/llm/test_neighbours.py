@@ -69,3 +69,35 @@ def test_edge_cases(spark):
     assert N.nearest(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (1, 2, 3)")
     assert N.nearest(few, few, probed=16, tables=8).count() == 6
+
+
+def listed(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: [(i, round(s, 12)) for _, i, s in sorted(x)] for q, x in got.items()}
+
+
+@pytest.mark.parametrize("limits", [(20_000, 2000), (4, 2)])
+def test_few_vectors_are_all_met(spark, monkeypatch, limits):
+    monkeypatch.setattr(N, "CELL_VECTORS", limits[0])
+    monkeypatch.setattr(N, "CELL_QUERIES", limits[1])
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(9)] + [(100, (rng.normal(size=64) * 50).tolist())]
+    rows += [(3, rng.normal(size=64).tolist()), (4, rows[4][1])]  # an id with two vectors, a repeated row
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = listed(N.nearest(df, df))
+    assert set(got) == {*range(9), 100} and all(len(x) == 9 for x in got.values())
+    for q in (0, 5, 100):
+        want = {}
+        for s, i in brute(rows, {q}, len(rows))[q]:
+            want.setdefault(i, round(s, 12))
+        assert got[q] == list(want.items())
+
+
+def test_ties_at_the_edge_of_a_cell(spark):
+    rows = [(0, [1.0] * 64)] + [(1000 - i, [1.0] * i + [0.0] + [1.0] * (63 - i)) for i in range(64)]  # all equally far
+    rows += [(2000 + i, [-1.0] * 63 + [float(i)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = listed(N.nearest(df, df.where("vec_id = 0"), probed=128))
+    assert got == {0: [(i, 1.0) for i in range(937, 947)]}
