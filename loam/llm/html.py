@@ -17,14 +17,22 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_HIDING = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_STYLE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[{};]|(?:(?!/\*)[^{};"'])+|["']""", re.S)
+_SHOWS_OR_HIDES = re.compile(r"\s*(display|visibility)\s*:\s*(.*?)\s*(!\s*important)?\s*", re.I | re.S)
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+#: Media queries that hold on every screen.
+_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+(?:print|speech))?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their end tag.
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = set("head script style template noscript iframe noembed noframes title datalist audio video canvas svg math".split())
+HIDDEN = set("head script style template noscript iframe noembed noframes title datalist audio video canvas svg annotation annotation-xml".split())
+#: Values of display and visibility; a declaration with another has no effect.
+_VALUES = {
+    "display": set("none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group table-footer-group table-column table-column-group table-caption list-item flow flow-root contents run-in ruby math initial inherit unset -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex".split()),
+    "visibility": set("visible hidden collapse initial inherit unset".split()),
+}
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 FORMATTING = set("a b big code em font i nobr s small strike strong tt u span".split())
 #: Elements on lines of their own, and those that a blank line parts from their neighbours.
@@ -97,7 +105,9 @@ class Tree:
         m = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
         content, end = (html[at : m.start()], m.end()) if m else (html[at:], len(html))
         if name == "style":
-            self.styles.append(content)
+            a = self.open[-1].attributes
+            if on_screen(a.get("media", "")) and a.get("type", "").strip().lower() in ("", "text/css"):
+                self.styles.append(content)
         elif name in ("textarea", "xmp"):
             self.open[-1].children.append(content if name == "xmp" else unescape(content))
         self._end(name)
@@ -168,28 +178,83 @@ class Tree:
                 return
 
 
+def on_screen(media: str) -> bool:
+    """True if one of the media queries holds on every screen, of whatever size."""
+    return any(_SCREEN.fullmatch(q.strip()) for q in media.split(","))
+
+
+def declared(text: str) -> tuple[str, bool, bool] | None:
+    """(property, hides, important) of a declaration of display or visibility."""
+    if not (m := _SHOWS_OR_HIDES.fullmatch(text)):
+        return None
+    name, value = m[1].lower(), m[2].lower()
+    if not value or not all(x in _VALUES[name] for x in value.split()):
+        return None
+    return name, value in ("none", "hidden", "collapse"), bool(m[3])
+
+
+def rules(style: str) -> list[tuple[str, tuple[str, bool, bool]]]:
+    """(selectors, declared) in order, without what stands under a condition that not every screen fulfils, or within another selector's block."""
+    found, text = [], ""
+    open_: list[tuple[bool, str | None]] = [(True, None)]  # whether it holds, and for what
+    for m in _STYLE.finditer(style + "}"):
+        token = m[0]
+        if token not in ("{", "}", ";"):
+            text += " " if token.startswith("/*") else token
+            continue
+        holds, selectors = open_[-1]
+        if token == "{":
+            if text.strip().startswith("@"):
+                name, condition = re.match(r"(@[\w-]*)(.*)", text.strip(), re.S).groups()
+                open_.append((holds and (name.lower() == "@layer" or name.lower() == "@media" and on_screen(condition)), selectors))
+            else:
+                open_.append((holds and selectors is None, text))
+        else:
+            if holds and selectors is not None and (what := declared(text)):
+                found.append((selectors, what))
+            if token == "}" and len(open_) > 1:
+                open_.pop()
+        text = ""
+    return found
+
+
 class Visibility:
-    """What a page doesn't show, by tag, attribute, and style rules with a single tag, class or id."""
+    """What a page doesn't show, by tag, attribute, and style rules with a tag, classes and ids of the element itself.
+
+    Of the declarations for an element the important ones win, then its own style, then rules with more ids, classes, tags, then the last.
+    """
 
     def __init__(self, styles: list[str]) -> None:
-        self.tags, self.classes, self.ids = set(), set(), set()
-        for style in styles:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", style, flags=re.S)):
-                if _HIDING.search(body):
-                    for s in selectors.split(","):
-                        if m := re.fullmatch(r"\s*([.#]?)([\w-]+)\s*", s):
-                            {"": self.tags, ".": self.classes, "#": self.ids}[m[1]].add(m[2] if m[1] else m[2].lower())
+        self.rules: dict[str, list] = {}
+        for order, (selectors, what) in enumerate(x for style in styles for x in rules(style)):
+            for s in selectors.split(","):
+                if (m := _SIMPLE.fullmatch(s.strip())) and s.strip():
+                    tag, parts = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
+                    ids = sum(x[0] == "#" for x in parts)
+                    rank = (what[2], False, ids, len(parts) - ids, tag != "*", order)
+                    self.rules.setdefault(parts[-1] if parts else tag, []).append((tag, set(parts), rank, what))
 
     def hides(self, node: Node) -> bool:
-        if node.tag in HIDDEN or node.tag in self.tags:
+        if node.tag in HIDDEN:
             return True
-        raw = node.raw
-        if not raw or raw.isspace():
+        plain = not node.raw or node.raw.isspace()
+        if plain and not self.rules:
             return node.tag == "dialog"
-        a = node.attributes
-        if "hidden" in a or node.tag == "dialog" and "open" not in a or "style" in a and _HIDING.search(a["style"]):
-            return True
-        return bool(self.classes and self.classes.intersection(a.get("class", "").split()) or self.ids and a.get("id") in self.ids)
+        a = {} if plain else node.attributes
+        best = {"display": ((), "hidden" in a or node.tag == "dialog" and "open" not in a), "visibility": ((), False)}
+        if self.rules:
+            own = {"." + c for c in a.get("class", "").split()} | ({"#" + a["id"]} if "id" in a else set())
+            for key in (*own, node.tag, "*"):
+                for tag, parts, rank, (name, hiding, _) in self.rules.get(key, ()):
+                    if rank > best[name][0] and tag in ("*", node.tag) and parts <= own:
+                        best[name] = rank, hiding
+        if "style" in a:
+            for order, text in enumerate(a["style"].split(";")):
+                if what := declared(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
+                    name, hiding, important = what
+                    if (rank := (important, True, 0, 0, False, order)) > best[name][0]:
+                        best[name] = rank, hiding
+        return best["display"][1] or best["visibility"][1]
 
 
 class Lines:
@@ -378,8 +443,10 @@ def render(html: str | None) -> str:
 def visible_text(html: Column) -> Column:
     """All text that a page shows, as lines.
 
-    Shown is all text but that of head, script, style, template, noscript, embedded media and closed dialogs, and of elements with a hidden attribute,
-    with display:none or visibility:hidden in their style, or in a style rule for a single tag, class or id. Blocks have their own lines; paragraphs,
+    Shown is all text but that of head, script, style, template, noscript, svg, embedded media and closed dialogs, and of elements with a hidden
+    attribute, or with display:none or visibility:hidden in their style or in a style rule for their tag, classes or id, where no stronger or later
+    declaration shows them (see Visibility). Rules for print or for some screens only, and rules with combinators, attributes or states, don't count; what
+    is within a hidden element is hidden. Blocks have their own lines; paragraphs,
     headings, lists, tables and the like have a blank line around. List items have `* ` or their number, and nested ones are indented; cells of a table
     start at common columns, for which cells of over 120 characters don't count; pre keeps its white space, and elsewhere a run of it is one space.
     Null and empty pages give an empty text; text outside any tag is shown; a tag that the end of the page cuts off is not. Nesting deeper than 512 is

@@ -109,3 +109,37 @@ def test_nested_tables_and_limits():
     assert H.render("<table><tr><td>" * 2000 + "x").strip() == "x"
     assert H.render("<table><div>" * 2000 + "x").strip() == "x"
     assert H.render("<table><tr><td>a<table>" + "<tr><td>b" * 3).split() == ["a", "b", "b", "b"]
+
+
+RULES = {
+    "@media print {.x{display:none}}": True,
+    "@media (max-width:600px){.y{color:red} .x{display:none}}": True,
+    "@media screen and (max-width:600px){@media all{.x{display:none}}}": True,
+    "@media screen{.x{display:none}}": False,
+    "@media print{.x{display:block}} .x{display:none} @media print{.x{display:block}}": False,
+    ".x{display:none} .x{display:block}": True,
+    ".x{display:none; display:block}": True,
+    ".x{display:none; display:unknown}": False,
+    ".x{display:block} .x{display:none}": False,
+    ".x{display:none !important} .x{display:block}": False,
+    "#i{display:block} .x{display:none}": True,
+    ".x{display:none} p{display:block}": False,
+    ".x{display:none} .x.y{display:block}": True,
+    ".x{display:none} .x.z{display:block}": False,
+    ".x{visibility:hidden} .x{display:block}": False,
+    "@import 'a.css'; @font-face{src:url(x)} .q::before{content:'}'} .x{display:none": False,
+    ".x .q{display:none} .q{.x{display:none}}": True,
+    "@supports (display:grid){.x{display:none}} /* .x{display:none} */": True,
+}
+
+
+@pytest.mark.parametrize("style", RULES)
+def test_style_rules(style):
+    assert H.render(f"<style>{style}</style><p class='y x' id=i>text</p>end") == ("text\n\nend" if RULES[style] else "end")
+
+
+def test_styles_of_elements():
+    assert H.render("<style media=print>p{display:none}</style><p>a") == "a"
+    assert H.render("<style>p{display:none}</style><p style='display:block'>a<p>b") == "a"
+    assert H.render("<style>p{display:none!important}</style><p style='display:block'>a<p>b") == ""
+    assert H.render("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>") == "a x=2"
