@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from loam.llm.common import table
 #: Phrases that give a label wherever their words stand consecutively. Fixed values.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: Statements of which a text has to hold most words, in order.
-TEMPLATES = [
+STATEMENTS = [
     ("released under the mit license", "mit"),
     ("this project is available under the terms of the mit license", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
@@ -27,6 +29,27 @@ TEMPLATES = [
     ("released under a two clause bsd license", "bsd-2"),
     ("dedicated to the public domain under the cc0 1 0 universal dedication", "cc0"),
 ]
+_WARRANTY = "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {0} for more details"
+_GNU = "{0} is free software you can redistribute it and or modify it under the terms of the {1} as published by the free software foundation either version {2} of the license or at your option any later version " + _WARRANTY.replace("{0}", "{1}")
+_GPL, _LGPL = "gnu general public license", "gnu lesser general public license"
+#: What the files of a work say at their head.
+HEADERS = [
+    (_GNU.format("this program", _GPL, "3"), "gpl-3"),
+    (_GNU.format("this program", _GPL, "2"), "gpl-2"),
+    (_GNU.format("this library", _LGPL, "3").replace("this program is", "this library is"), "lgpl-3"),
+    (_GNU.format("this library", _LGPL, "2 1").replace("this program is", "this library is"), "lgpl-2.1"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache-2"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl-2"),
+]
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution {0}this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+#: Whole licences: short ones here, long ones in the folder licence_texts.
+BODIES = [
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
+    (_BSD.format("3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "), "bsd-3"),
+    (_BSD.format(""), "bsd-2"),
+    *((pkgutil.get_data("loam.llm", f"licence_texts/{x}.txt").decode(), x) for x in ("apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "mpl-2", "cc0")),
+]
+TEMPLATES = STATEMENTS + HEADERS + BODIES
 #: A byte of a word stays, A-Z in lower case; others part words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -193,7 +216,7 @@ def scan(text: Column, phrases: list[tuple[str, str]] = PHRASES, templates: list
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence phrases and statements of each document; see scan."""
+    """Licence phrases, statements, headers and whole licences of each document; see scan."""
     s = F.col("s")
     found = table(spark, sf_dir, "documents").select("doc_id", scan(F.col("text")).alias("s"))
     named = lambda *arrays: F.array_join(F.array_sort(F.array_distinct(F.concat(*[a["label"] for a in arrays]))), ",")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -60,3 +61,27 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, "c"), (1, "", "c"), (None, "cc by nc", "c"), (None, "cc by nc", "c")], "doc_id bigint, text string, s string")
     assert sorted((r.doc_id or 0, r.f.n_words, len(r.f.base)) for r in docs.select("doc_id", L.scan(L.F.col("text")).alias("f")).collect()) == [(0, 3, 1), (0, 3, 1), (1, 0, 0), (1, 0, 0)]
     assert docs.limit(0).select(L.scan(L.F.col("text"))).count() == 0
+
+
+def test_whole_texts_headers_and_altered_copies():
+    scanner = L.Scanner(L.PHRASES, L.TEMPLATES, 3, 4, 0.8)
+    spans = lambda t: [(x["label"], x["start"], x["end"]) for x in scanner.scan(t.encode())["spans"]]
+    rng = random.Random(1)
+    for text, label in L.HEADERS + L.BODIES:
+        words = [w.decode() for w in L.words_of(text.encode())]
+        n = len(words)
+        assert spans("before it " + text + " behind it") == [(label, 2, n + 2)]
+        altered = [w if rng.random() > 0.03 else "changed" for w in words]
+        (found,) = spans(" ".join(altered))
+        assert found[0] == label and found[2] - found[1] > 0.8 * n
+        assert label not in [x[0] for x in spans(" ".join(rng.sample(words, n)))]
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+    assert [x[0] for x in spans(gpl)] == ["gpl-3"] and [x[0] for x in spans(gpl.replace("version 3", "version 2"))] == ["gpl-2"]
