@@ -16,8 +16,6 @@ from loam.llm.common import table
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Bytes encoded at a time, each time from the dictionary alone: late parts of a long text count like early ones.
 BLOCK = 4096
-#: Texts below this many bytes of letters aren't rejected by margin: one byte, the least difference there is, would decide.
-SHORT = 256
 UNKNOWN = "und"
 
 
@@ -77,15 +75,15 @@ class Encoders:
         best = int(np.argmin(sizes))  # ties: the language with the most texts
         second = min((s for i, s in enumerate(sizes) if i != best), default=None)
         margin = 1.0 if second is None else 1 - sizes[best] / second
-        return self.langs[best], margin, margin < narrow and len(data) >= SHORT
+        return self.langs[best], margin, margin < narrow
 
 
 def identify(text: Column, dictionaries: dict[str, bytes], narrow: float = 0.01) -> Column:
     """struct<lang_pred string, score double, rejected boolean> of a whole text.
 
     score: by which share the best language's encoding is smaller than the second's, 0 to 1; with one language only, 1. Null texts and texts without a
-    letter are `und`, 0.0, rejected, as is everything if no language was learned. A text with at least 256 bytes of letters is rejected if its score is
-    below `narrow`, but lang_pred still names the best. Ties go to the language with the most learned texts.
+    letter are `und`, 0.0, rejected, as is everything if no language was learned. A text of any length is rejected if its score is below `narrow`,
+    as that of a tie, 0, is; lang_pred still names the best, and of tied languages the one with the most learned texts.
     """
     made: list[Encoders] = []
 

@@ -31,3 +31,11 @@ def test_labels_and_held_out_rows_are_not_used(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
     docs = spark.createDataFrame([(i, f"mot de la langue {i}", "zz" if i in held else "fr") for i in range(200)], "doc_id bigint, text string, lang string")
     assert list(L.learn(docs.where(~L.held_out()))) == ["fr"]
+
+
+def test_short_ties_are_rejected():
+    e = L.Encoders({"en": L.letters("the dog and the cat are here with the other animals " * 9), "de": L.letters("der hund und die katze sind hier bei den anderen tieren " * 9)})
+    assert e.predict("the dog and the cat are here", 0.01)[0::2] == ("en", False)
+    assert e.predict("der hund und die katze sind hier", 0.01)[0::2] == ("de", False)
+    for text in ("qwrt zzxv kkpl", "xq", "q" * 300):
+        assert e.predict(text, 0.01)[1:] == (0.0, True)
