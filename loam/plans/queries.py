@@ -652,7 +652,7 @@ def delta_listing(spark, sf_dir):
 
 @query(S.replace("1024", "2048").replace("1023", "2047") + "SELECT doc_id, true AS same FROM f WHERE octet_length(b) >= 2048")
 def delta_merged(spark, sf_dir):
-    """Each document with a line more, and one more still: a delta merged out of two makes the second out of the document."""
+    """Each document of 2048 bytes or more, with a line more, and one more still: a delta merged out of two makes the second out of the document."""
     base = F.encode("text", "UTF-8")
     once, twice = F.encode(F.concat(F.lit("a first line\n"), "text"), "UTF-8"), F.encode(F.concat(F.lit("a first line\n"), "text", F.lit("\na last line")), "UTF-8")
     rows = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 2048).select("doc_id", base.alias("base"), once.alias("once"), twice.alias("twice"))
