@@ -7,10 +7,12 @@ hashes, one sorted array of distinct hashes there and one array of bits back, so
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,21 +23,49 @@ from loam.llm.common import checkpointed, partitions, table
 CHUNK_BYTES = 2 << 20
 #: Hashes that a task matches at once, on average.
 BUCKET_WORDS = 2_000_000
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of words that are hashed at a time.
+PIECE_BYTES = 4 << 20
 
 
-def _power(odd: int, n: int) -> np.ndarray:
-    """At least the first n powers of `odd`, modulo 2^64."""
-    if len(_powers.get(odd, ())) < n:
-        _powers[odd] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * n, odd, np.uint64)])
-    return _powers[odd]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits, in place."""
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+class _Words(dict):
+    """The hash of each word, made when it is first asked for."""
+
+    def __init__(self, seed: int) -> None:
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        return h
+
+
+def _sequences(words: np.ndarray, size: int, odd: int) -> np.ndarray:
+    """The hash of each `size` words in a row, from those of the words.
+
+    By doubling: that of 2n words is made of those of its halves, by a product with `odd`, a sum and a mix of bits, which no sum over powers of a base
+    is; what is left of `size` is put together out of the powers of two in it.
+    """
+    odd, whole, covered, power, n = np.uint64(odd), None, 0, words, 1
+    while True:
+        count = len(words) - covered - n + 1  # places at which what is covered and this power fit one after the other
+        if count < 1:
+            return words[:0]
+        if size & n:
+            whole = power[:count].copy() if whole is None else _mixed(whole[:count] * odd + power[covered : covered + count])
+            covered += n
+        if covered == size:
+            return whole
+        power = _mixed(power[: max(0, len(power) - n)] * odd + power[n:])
+        n *= 2
 
 
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
@@ -54,8 +84,9 @@ def _heads(*ordered: np.ndarray) -> np.ndarray:
 class Chunk:
     """The words of some whole documents, joined by single spaces, and documents joined by line feeds."""
 
-    def __init__(self, packed: bytes, sizes: list[int]) -> None:
-        self.data = zstandard.decompress(packed)
+    def __init__(self, packed: bytes, sizes: list[int], seeds: tuple[int, int, int]) -> None:
+        """seeds: of the words' hashes, and two odd numbers for those of sequences."""
+        self.data, self.seeds = zstandard.decompress(packed), seeds
         self.bytes = np.frombuffer(self.data, np.uint8)
         word = np.r_[False, (self.bytes != 32) & (self.bytes != 10), False]
         edge = np.flatnonzero(word[1:] != word[:-1])
@@ -65,13 +96,17 @@ class Chunk:
         self.place = np.arange(n) - np.repeat(self.first, sizes)  # within its document
         self.left = np.repeat(first[1:], sizes) - np.arange(n)  # words to the document's end
 
-    def hashed(self, at: np.ndarray, size: int, odd: int) -> np.ndarray:
-        """The hash of each `size` words from `at`: a polynomial of the bytes, modulo 2^64, mixed."""
-        n = len(self.bytes)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power(odd, n)[:n], out=sums[1:])
-        a, b = self.start[at], self.end[at + size - 1]
-        return _mixed((sums[b] - sums[a]) * _power(pow(odd, -1, 1 << 64), n)[a])
+    def words(self) -> np.ndarray:
+        """The hash of each word."""
+        found, known, at = np.empty(len(self.start), np.uint64), _Words(self.seeds[0]), 0
+        while at < len(found):
+            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + PIECE_BYTES)))
+            part = self.data[self.start[at] : self.end[to - 1]].split()
+            found[at:to] = np.fromiter(map(known.__getitem__, part), np.uint64, to - at)
+            if len(known) > 1 << 18:
+                known.clear()
+            at = to
+        return found
 
     def anchors(self, block: int) -> tuple[np.ndarray, ...]:
         """Every rolling block: positions in the order of their hashes, these, where a new one begins, flags of each distinct one.
@@ -79,7 +114,7 @@ class Chunk:
         Flags: 1 if it is an indexed block here, 2 if it occurs twice here.
         """
         at = np.flatnonzero(self.left >= block)
-        h = self.hashed(at, block, _ODD[0])
+        h = _sequences(self.words(), block, self.seeds[1])[at]
         order = np.argsort(h)
         at, h = at[order], h[order]
         head = _heads(h)
@@ -90,10 +125,11 @@ class Chunk:
         """The windows of whose one indexed block `live` is true: positions in the order of their digests, both halves of these, where a new one begins, flags."""
         at = np.flatnonzero(self.left >= window)
         at = at[live[at + -self.place[at] % block]]
-        h = self.hashed(at, window, _ODD[0])
+        words = self.words()
+        h = _sequences(words, window, self.seeds[1])[at]
         order = np.argsort(h)
         at, h = at[order], h[order]
-        g = (self.hashed(at, window, _ODD[1]) >> np.uint64(32)).astype(np.uint32)
+        g = (_sequences(words, window, self.seeds[2])[at] >> np.uint64(32)).astype(np.uint32)
         head = _heads(h, g)
         return at, h, g, head, (np.diff(np.r_[head, len(at)]) > 1) * 2
 
@@ -144,11 +180,11 @@ def _requests(chunk: int, n: int, h: np.ndarray, flags: np.ndarray, more: list[n
     return pa.record_batch(cols, ["bucket", "chunk", "flags", *[f"h{i}" for i in range(len(more))]])
 
 
-def _block_requests(n: int, block: int):
+def _block_requests(n: int, block: int, seeds: tuple):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
-                _, h, head, flags = Chunk(row["packed"], row["sizes"]).anchors(block)
+                _, h, head, flags = Chunk(row["packed"], row["sizes"], seeds).anchors(block)
                 h = h[head]
                 # its 48 high bits stand for a hash: 4 bytes, and 2 that ascend slowly and so are sent as compressed differences
                 yield _requests(row["chunk"], n, h, flags, [(h >> np.uint64(16)).astype(np.uint32), (h >> np.uint64(48)).astype(np.uint16)])
@@ -210,12 +246,12 @@ def _live(chunk: Chunk, n: int, block: int, bits: list[dict]) -> np.ndarray:
     return live
 
 
-def _window_requests(n: int, window: int, block: int):
+def _window_requests(n: int, window: int, block: int, seeds: tuple):
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
                 if row["block_bits"]:
-                    chunk = Chunk(row["packed"], row["sizes"])
+                    chunk = Chunk(row["packed"], row["sizes"], seeds)
                     _, h, g, head, flags = chunk.windows(_live(chunk, n, block, row["block_bits"]), window, block)
                     yield _requests(row["chunk"], n, h[head], flags, [h[head], g[head]])
 
@@ -234,13 +270,13 @@ def _left(chunk: Chunk, gone: np.ndarray, size: int, first: int) -> tuple[list[d
     return [{"start": a, "end": b} for a, b in spans], b" ".join(kept)
 
 
-def _results(n: int, window: int, block: int, id_type: pa.DataType):
+def _results(n: int, window: int, block: int, seeds: tuple, id_type: pa.DataType):
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
-                chunk = Chunk(row["packed"], row["sizes"])
+                chunk = Chunk(row["packed"], row["sizes"], seeds)
                 change = np.zeros(len(chunk.start) + 1, np.int64)
                 if row["window_bits"]:
                     at, h, g, head, _ = chunk.windows(_live(chunk, n, block, row["block_bits"]), window, block)
@@ -253,7 +289,7 @@ def _results(n: int, window: int, block: int, id_type: pa.DataType):
     return result
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int | None = None) -> DataFrame:
     """(id, n_words, spans array<struct<start,end>>, kept_text) of every row of `docs`; other columns are not read.
 
     A word, a run without ASCII white space, is removed if one of the `window` consecutive words that cover it is a sequence that starts anywhere else
@@ -262,11 +298,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     words are kept; repeated rows, null ids included, are repeats of one another. No rows: no rows.
 
     Any repeated window holds, in its own document, one whole block at a multiple of (window + 1) / 2 words, which the other place's rolling blocks hit.
-    Hit blocks are extended to windows, which are compared by 96 bits. The chunks, compressed, are dealt out and checkpointed once; both exchanges
+    Hit blocks are extended to windows, which are compared by 96 bits. Hashes are seeded, with a number drawn for each run if `seed` is None, so that no
+    text can be made to collide with another. A task holds one chunk, and so one document, at a time, however long. The chunks, compressed, are dealt out and checkpointed once; both exchanges
     bring their answers to them.
     """
     if window < 1:
         raise ValueError("window must be positive")
+    draw = random.Random(seed)
+    seeds = draw.getrandbits(64), draw.getrandbits(64) | 1, draw.getrandbits(64) | 1
     spark, block = docs.sparkSession, (window + 1) // 2
     id_ddl = docs.schema[id_col].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
@@ -281,12 +320,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         bits = requests.groupBy("bucket").applyInArrow(_answers(key, needs_index), "chunk bigint, bucket int, bits binary")
         return bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
-    asked = chunks.mapInArrow(_block_requests(n, block), "bucket int, chunk bigint, flags binary, h0 binary, h1 binary")
+    asked = chunks.mapInArrow(_block_requests(n, block, seeds), "bucket int, chunk bigint, flags binary, h0 binary, h1 binary")
     hit = checkpointed(answers(asked, _block_keys, True, "block_bits"))
     found = chunks.join(hit, "chunk", "left")
-    asked = found.mapInArrow(_window_requests(n, window, block), "bucket int, chunk bigint, flags binary, h0 binary, h1 binary")
+    asked = found.mapInArrow(_window_requests(n, window, block, seeds), "bucket int, chunk bigint, flags binary, h0 binary, h1 binary")
     found = found.join(answers(asked, _window_keys, False, "window_bits"), "chunk", "left")
-    out = found.mapInArrow(_results(n, window, block, id_type), f"id {id_ddl}, n_words bigint, spans array<struct<start:int,end:int>>, kept_text string")
+    out = found.mapInArrow(_results(n, window, block, seeds, id_type), f"id {id_ddl}, n_words bigint, spans array<struct<start:int,end:int>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
 
 

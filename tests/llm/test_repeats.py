@@ -52,3 +52,27 @@ def test_whole_table(spark, sf):
     want = [(d.doc_id, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, (n, g, k) in zip(docs, brute([d.text for d in docs], 35))]
     assert sorted(map(tuple, R.op10_repeats(spark, sf).collect())) == sorted(want)
     assert sorted(db.execute(R.ORACLE_SQL["op10_repeats"]).fetchall()) == sorted(want)
+
+
+@pytest.mark.parametrize("window", [5, 35])
+def test_sequences_that_collide_under_powers_of_a_base(spark, window):
+    """A Thue-Morse word and its complement, as letters of one word and as words."""
+    letters = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = letters.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(window - 1))
+    texts = [f"{rest} {letters}", f"{rest} {other}", " ".join(letters), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for seed in (None, 0, 1):
+        got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.kept_text) for r in R.remove_repeats(docs, window, seed=seed).collect()}
+        assert got == dict(enumerate(brute(texts, window)))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 18, 35])
+def test_hashes_of_sequences(size):
+    rng = random.Random(size)
+    words = [rng.choice("ab") for _ in range(400)]
+    h = R._sequences(R.np.array([1 << 63 if w == "a" else 2 for w in words], R.np.uint64), size, 0x9E3779B97F4A7C15)
+    of = {}
+    for i in range(len(words) - size + 1):
+        of.setdefault(tuple(words[i : i + size]), set()).add(int(h[i]))
+    assert len(h) == len(words) - size + 1 and all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
