@@ -119,9 +119,9 @@ class Tree:
         self.open[-1].children.append(unescape(text) if "&" in text else text)
 
     def _close(self, names: set[str], shields: set[str]) -> None:
-        """Ends the outermost open element of those names within the shields."""
+        """Ends the outermost open element of those names within the shields; a template shields everything."""
         at, found = len(self.open) - 1, None
-        while at > 0 and self.open[at].tag not in shields:
+        while at > 0 and self.open[at].tag not in shields and self.open[at].tag != "template":
             found = at if self.open[at].tag in names else found
             at -= 1
         if found is not None:
@@ -302,10 +302,10 @@ class Renderer:
             if self.hides(child):
                 continue
             if tag == "br":
-                if out.inline and not "".join(out.inline).isspace():
+                if any(not x.isspace() for x in out.inline if x):
                     out.end_line()
                 else:
-                    out.gap = True
+                    out.inline, out.gap = [], True  # what is only white space would be looked through at each br
             elif tag == "wbr" or tag == "img":
                 pass
             elif tag == "input":
@@ -449,7 +449,8 @@ def visible_text(html: Column) -> Column:
     is within a hidden element is hidden. Blocks have their own lines; paragraphs,
     headings, lists, tables and the like have a blank line around. List items have `* ` or their number, and nested ones are indented; cells of a table
     start at common columns, for which cells of over 120 characters don't count; pre keeps its white space, and elsewhere a run of it is one space.
-    Null and empty pages give an empty text; text outside any tag is shown; a tag that the end of the page cuts off is not. Nesting deeper than 512 is
+    Null and empty pages give an empty text, equal pages equal ones, no rows no rows; other columns aren't read; a page of any length is one task's work,
+    which grows with its length; text outside any tag is shown; a tag that the end of the page cuts off is not. Nesting deeper than 512 is
     flattened. Tags that HTML lets authors leave out are implied, and stray end tags are ignored.
     """
 
