@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pkgutil
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,26 +171,57 @@ class Scanner:
 
     def _chained(self, matches: list[tuple[int, int, int]]) -> list[dict]:
         """Spans of which enough of a template's words stand, in order, in matches not too far apart; of overlapping spans the one with the most words."""
-        open_: dict[int, list] = {}
-        done = []
+        by: dict[int, list[tuple[int, int, int, int]]] = {}  # of each template (start and end in text, end in template, words), by ends in text
         for start, n, s in matches:
             for i, end in self.places[s]:
-                chain = open_.get(i)  # [start in text, end in text, end in template, words]
-                own = end - n
-                if chain and start <= chain[1] + self.gap and end > chain[2] and start + n > chain[1]:
-                    new = min(n, end - chain[2], start + n - chain[1])
-                    chain[1], chain[2], chain[3] = start + n, end, chain[3] + new
-                elif not chain or start > chain[1] + self.gap or own == 0 or n > chain[3]:
-                    if chain:
-                        done.append((i, *chain))
-                    open_[i] = [start, start + n, end, n]
-        done += [(i, *chain) for i, chain in open_.items()]
-        good = [(n, n / len(self.sequences[i][0]), start, end, i) for i, start, end, _, n in done if n >= self.covered * len(self.sequences[i][0])]
+                by.setdefault(i, []).append((start, start + n, end, n))
+        good = []
+        for i, rows in by.items():
+            size = len(self.sequences[i][0])
+            breaks = [k for k in range(1, len(rows)) if rows[k][0] > rows[k - 1][1] + self.gap]
+            for a, b in zip([0, *breaks], [*breaks, len(rows)]):
+                good += [(n, n / size, start, end, i) for n, start, end in self._best_chains(rows[a:b], size)]
+        starts: list[int] = []
         taken: list[tuple] = []
-        for x in sorted(good, key=lambda x: (-x[0], -x[1], x[2], x[4])):
-            if all(x[3] <= y[2] or x[2] >= y[3] for y in taken):
-                taken.append(x)
-        return [{"label": self.sequences[i][1], "start": a, "end": b, "covered": min(1.0, c)} for _, c, a, b, i in sorted(taken, key=lambda x: x[2])]
+        for x in sorted(good, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2], x[4])):
+            at = bisect_right(starts, x[2])
+            if (at == 0 or taken[at - 1][3] <= x[2]) and (at == len(taken) or taken[at][2] >= x[3]):
+                starts.insert(at, x[2])
+                taken.insert(at, x)
+        return [{"label": self.sequences[i][1], "start": a, "end": b, "covered": min(1.0, c)} for _, c, a, b, i in taken]
+
+    def _best_chains(self, rows: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+        """(words, start, end) of the best chain that ends with each match, if it holds enough of a template of `size` words.
+
+        A match follows an earlier one that ends before it in text and template and at most the gap away; of overlapping words it counts the new ones.
+        Whatever the chains, they hold no more words of the template than all matches together, and that is looked at first.
+        """
+        need, seen = self.covered * size, bytearray(size)
+        for _, _, end, n in rows:
+            seen[end - n : end] = b"\1" * n
+        if sum(seen) < need:
+            return []
+        found, recent, at = [], [], 0  # recent: matches by end in text: (it, ends in template, best (words, -length, start) up to each, and of each)
+        while at < len(rows):
+            text_end, to = rows[at][1], at
+            while to < len(rows) and rows[to][1] == text_end:
+                to += 1
+            recent = [g for g in recent if g[0] >= rows[at][0] - self.gap]
+            own = []
+            for start, _, end, n in sorted(rows[at:to], key=lambda r: r[2]):
+                best = n, start
+                for before, ends, most, each in recent:
+                    new, k = min(n, text_end - before), bisect_right(ends, end - n)
+                    if k:
+                        best = max(best, (most[k - 1][0] + new, most[k - 1][1]))
+                    for j in range(k, bisect_left(ends, end)):
+                        best = max(best, (each[j][0] + min(new, end - ends[j]), each[j][1]))
+                own.append((end, best))
+            recent.append((text_end, [x[0] for x in own], list(accumulate((x[1] for x in own), max)), [x[1] for x in own]))
+            if (top := max(x[1] for x in own))[0] >= need:
+                found.append((top[0], top[1], text_end))
+            at = to
+        return found
 
 
 _FOUND = "struct<n_words: bigint, base: array<struct<label: string, start: bigint, end: bigint>>, spans: array<struct<label: string, start: bigint, end: bigint, covered: double>>>"
@@ -199,8 +232,10 @@ def scan(text: Column, phrases: list[tuple[str, str]] = PHRASES, templates: list
 
     Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. A text is streamed through the automaton: its matching statistics
     give phrases, where a whole one ends, and matches of at least `least` words, which are chained, at most `gap` words apart, into spans that hold
-    the share `covered` of a template's words, in order. Overlapping spans: the one with the most words. Null and empty texts have no words, and
-    empty arrays. The automaton is made of the parameters alone; tasks make it once.
+    the share `covered` of a template's words, in order; of all chains that with the most words. Overlapping spans: the one with the most words; ties go
+    to the one that covers most of its template, then the shorter, the earlier, the first template given. Null and empty texts have no words, and empty
+    arrays; equal texts equal results; no rows no rows. Texts of any length are read once, in time that grows with them. No other column is read. The
+    automaton is made of the parameters alone; tasks make it once.
     """
     made: list[Scanner] = []
     place = [("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]

@@ -85,3 +85,54 @@ def test_whole_texts_headers_and_altered_copies():
 # MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 # GNU General Public License for more details."""
     assert [x[0] for x in spans(gpl)] == ["gpl-3"] and [x[0] for x in spans(gpl.replace("version 3", "version 2"))] == ["gpl-2"]
+
+
+def brute_spans(words, templates, least, gap, covered):
+    """Of every chain of matches the one with the most words that ends at each place: a plain programme over all pairs of equal stretches."""
+    good = []
+    for i, (t, _) in enumerate(templates):
+        hits = []  # maximal to the left and right as the longest of any template
+        for end in range(1, len(words) + 1):
+            longest = max((k for k in range(end + 1) if any(words[end - k : end] == x[j : j + k] for x, _ in templates for j in range(len(x) - k + 1))), default=0)
+            after = max((k for k in range(end + 2) if end < len(words) and any(words[end + 1 - k : end + 1] == x[j : j + k] for x, _ in templates for j in range(len(x) - k + 1))), default=0)
+            if longest >= least and (end == len(words) or after <= longest):
+                hits += [(end - longest, end, j + longest, longest) for j in range(len(t) - longest + 1) if words[end - longest : end] == t[j : j + longest]]
+        chains = []
+        for start, end, at, n in hits:
+            best = n
+            for (s2, e2, a2, _), f in zip(hits, chains):
+                if e2 < end and a2 < at and start <= e2 + gap:
+                    best = max(best, f + min(n, at - a2, end - e2))
+            chains.append(best)
+        good += [f for f in chains if f >= covered * len(t)]
+    return max(good, default=0)
+
+
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=3, max_size=12), min_size=1, max_size=3), st.lists(st.sampled_from("abcdx"), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_chains_equal_brute_force(templates, words):
+    given_ = [(t, f"l{i}") for i, t in enumerate(templates)]
+    scanner = L.Scanner([], [(" ".join(t), label) for t, label in given_], 2, 3, 0.6)
+    got = scanner.scan(" ".join(words).encode())["spans"]
+    want = brute_spans(words, given_, 2, 3, 0.6)
+    most = max((round(x["covered"] * len(templates[int(x["label"][1:])])) for x in got), default=0)
+    assert most == min(want, max((len(t) for t in templates), default=0)) or most == want
+    assert all(a["end"] <= b["start"] for a, b in zip(got, got[1:]))
+
+
+def test_a_better_start_that_comes_later():
+    """The chain of the whole template, though its first words stand earlier too, with others of its words behind them."""
+    words = "a b c d e f g h i j k l".split()
+    scanner = L.Scanner([], [(" ".join(words), "x")], 3, 4, 0.8)
+    text = "a b c x g h i " + " ".join(words)
+    assert [(x["start"], x["end"], x["covered"]) for x in scanner.scan(text.encode())["spans"]] == [(7, 19, 1.0)]
+
+
+def test_long_texts_of_licence_words():
+    import time
+
+    scanner = L.Scanner(L.PHRASES, L.TEMPLATES, 3, 4, 0.8)
+    began = time.perf_counter()
+    assert scanner.scan(b"of this license " * 30_000 + b"to the extent permitted by applicable law " * 10_000)["spans"] == []
+    assert len(scanner.scan(b"released under the mit license " * 5_000)["spans"]) == 5_000
+    assert time.perf_counter() - began < 60
