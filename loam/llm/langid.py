@@ -28,12 +28,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, rows: int = 500, row_chars: int = 128, dictionary_bytes: int = 65536, max_languages: int = 200) -> dict[str, bytes]:
+def learn(labelled: DataFrame, rows: int = 500, row_chars: int = 128, dictionary_bytes: int = 65536, full_languages: int = 200, max_languages: int = 10_000) -> dict[str, bytes]:
     """A raw-content dictionary for each language of `labelled` (text, lang), most frequent language first.
 
     The bounded sample behind it: of each language `rows` distinct texts, chosen by hash, and of each `row_chars` consecutive characters; the
-    dictionary keeps `dictionary_bytes`. That is all that reaches the driver, for `max_languages` languages at most (more raise ValueError). Null
-    texts and langs and texts without a letter teach nothing; copies of a text count once.
+    dictionary keeps `dictionary_bytes`. With more than `full_languages` languages, rows and bytes of each shrink in proportion, so that what reaches
+    the driver and the tasks is bounded whatever their number; over `max_languages` raise ValueError, as a column of so many values holds no languages.
+    Null texts and langs and texts without a letter teach nothing; copies of a text count once.
     """
     known = labelled.select("lang", "text", F.xxhash64("text").alias("h")).where("lang is not null and text is not null")
     texts = known.groupBy("lang", "h").agg(F.count("*").alias("n"))
@@ -42,6 +43,8 @@ def learn(labelled: DataFrame, rows: int = 500, row_chars: int = 128, dictionary
         raise ValueError(f"over {max_languages} languages")
     if not sizes:
         return {}
+    if len(sizes) > full_languages:
+        rows, dictionary_bytes = (max(1, x * full_languages // len(sizes)) for x in (rows, dictionary_bytes))
     # a share of the hashes that holds about four times the texts needed, so that no task ranks a whole language
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, -(-(rows << 22) // n)))])
     some = texts.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")])

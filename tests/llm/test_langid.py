@@ -39,3 +39,31 @@ def test_short_ties_are_rejected():
     assert e.predict("der hund und die katze sind hier", 0.01)[0::2] == ("de", False)
     for text in ("qwrt zzxv kkpl", "xq", "q" * 300):
         assert e.predict(text, 0.01)[1:] == (0.0, True)
+
+
+def test_more_languages_than_full_dictionaries(spark):
+    rows = [(i, f"wort{lang} mot{lang} palabra{lang} " * 3, f"l{lang:03}") for lang in range(12) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    small = L.learn(docs, rows=4, dictionary_bytes=120, full_languages=3)
+    assert len(small) == 12 and all(len(x) <= 30 for x in small.values())
+    import pytest
+
+    with pytest.raises(ValueError):
+        L.learn(docs, max_languages=11)
+
+
+def test_narrow_margins_are_rejected_in_the_table(spark):
+    """Texts half in one language and half in another are rejected at a margin that their halves pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 400")
+    dictionaries = L.learn(docs.where(~L.held_out()))
+    e = L.Encoders(dictionaries)
+    first = {lang: next(r.text for r in docs.where(L.held_out() & (F.col("lang") == lang)).orderBy("doc_id").collect())[:400] for lang in dictionaries}
+    own = {lang: e.predict(t, 0.01) for lang, t in first.items()}
+    assert all(own[lang][0] == lang and not own[lang][2] for lang in own)
+    pairs = [(a, b) for a in first for b in first if a < b]
+    mixed = [min(e.predict(first[a] + " " + first[b], 0.01)[1], e.predict(first[b] + " " + first[a], 0.01)[1]) for a, b in pairs]
+    assert all(m < min(own[a][1], own[b][1]) for (a, b), m in zip(pairs, mixed))
+    narrow = max(mixed) + 1e-9
+    got = docs.sparkSession.createDataFrame([(first[a] + " " + first[b],) for a, b in pairs] + [(t,) for t in first.values()], "t string")
+    rejected = [r.p.rejected for r in got.select(L.identify(F.col("t"), dictionaries, narrow).alias("p")).collect()]
+    assert any(rejected[: len(pairs)]) and not all(rejected[len(pairs) :])
