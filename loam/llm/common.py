@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: The folders that kept() has written and dropped() hasn't removed, in order.
-_written: list[str] = []
+class _Written(threading.local):
+    """The folders that kept() has written in a thread and dropped() hasn't removed, in order: jobs of two threads leave each other's tables alone."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
@@ -45,22 +52,23 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
     """A place among the tables that kept() has written, for dropped()."""
-    return len(_written)
+    return len(_written.paths)
 
 
 def dropped(spark: SparkSession, since: int = 0, but: int = 0) -> None:
     """Removes the tables that kept() has written since a mark, but for the last `but`. Results that read them can't be run any more."""
-    paths = _written[since : len(_written) - but]
+    to = len(_written.paths) - but
+    paths = _written.paths[since:to]
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    del _written[since : len(_written) - but]
+    del _written.paths[since:to]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

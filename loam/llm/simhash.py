@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -224,7 +225,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
 CROWD = 4096
 
 
-def _tables(patterns: list[np.ndarray]):
+def _tables(patterns: list[np.ndarray], codes: bool):
+    """A row for each code and table: the table, the bits it looks at, and, if `codes`, the node and its code."""
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -232,7 +235,8 @@ def _tables(patterns: list[np.ndarray]):
                 bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 32), axis=1)
                 for mask, chosen in enumerate(patterns):
                     key = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(len(chosen), dtype=np.int64))
-                    yield pa.record_batch([pa.array(np.full(len(key), mask, np.int32)), pa.array(key), batch.column(0), batch.column(1)], ["mask", "key", "node", "code"])
+                    found = [pa.array(np.full(len(key), mask, np.int32)), pa.array(key), *([batch.column(0), batch.column(1)] if codes else [])]
+                    yield pa.record_batch(found, ["mask", "key", "node", "code"][: len(found)])
 
     return spread
 
@@ -270,23 +274,39 @@ def _wide_search(radius: int):
     return runs
 
 
-def wide_links(codes: DataFrame, radius: int, miss: float = 0.03) -> DataFrame:
-    """Edges (u, v) between the nodes of `codes` (node BIGINT, code BINARY(32)) that connect codes within `radius` of 256 bits.
+def tables_for(bits: int, similarity: float, miss: float, width: int = 256) -> int:
+    """How many tables that look at `bits` bits each let a pair of that Jaccard similarity be missed by all with probability `miss` at most.
+
+    The pair differs in each bit with the same chance; the mean is over the binomial law of the bits in which it differs.
+    """
+    p, d = bit_chance(similarity), np.arange(width + 1)
+    of = lambda x: np.array([lgamma(k + 1) for k in np.atleast_1d(x)])
+    law = np.exp(of(width) - of(d) - of(width - d) + d * np.log(max(p, 1e-12)) + (width - d) * np.log1p(-p))
+    apart, n = 1 - (1 - d / width) ** bits, 1
+    while (law * apart**n).sum() > miss:
+        n += 1
+    return n
+
+
+def wide_links(codes: DataFrame, similarity: float, miss: float = 0.005) -> DataFrame:
+    """Edges (u, v) between the nodes of `codes` (node BIGINT, code BINARY(32)) that connect codes within bit_radius(similarity) of 256 bits.
 
     So wide a radius has no exact index; a table looks at some bits only, and links the codes that agree in these and are within the radius. Bits a
-    table looks at: enough for 64 codes a bucket on average. Tables: so many that a pair at the radius is missed by all with probability `miss`; their
-    number grows as about the fourth root of the number of codes. A pair is never dropped for its bucket's size: crowded buckets are cut into blocks,
-    and each two blocks meet in a task of their own.
+    table looks at: enough for 512 codes a bucket on average, and 12 at least. Tables: see tables_for; 45 up to 2 million codes, then more, as about the
+    power 0.3 of the number of codes: 84 at 16 million, 241 at 10^9. A pair is never dropped for its bucket's size: crowded buckets are cut into blocks, and each two blocks meet in a
+    task of their own.
     """
-    n = codes.count()
-    bits = min(40, max(12, (n // 64).bit_length()))
-    agree = (1 - radius / 256) ** bits
+    n, radius = codes.count(), bit_radius(similarity)
+    bits = min(40, max(12, (n // 512).bit_length()))
+    number = tables_for(bits, similarity, miss)
     rng, patterns = np.random.default_rng(7), []
-    while (1 - agree) ** len(patterns) > miss:
+    while len(patterns) < number:
         order = rng.permutation(256)
-        patterns += [np.sort(order[a : a + bits]) for a in range(0, 257 - bits, bits)]
-    spread = codes.select("node", "code").mapInArrow(_tables(patterns), "mask int, key bigint, node bigint, code binary")
-    crowded = checkpointed(spread.groupBy("mask", "key").count().where(F.col("count") > CROWD).select("mask", "key", F.ceil(F.col("count") / CROWD).cast("int").alias("m")))
+        patterns += [np.sort(order[a : a + bits]) for a in range(0, 257 - bits, bits)][: number - len(patterns)]
+    codes = codes.select("node", "code")
+    spread = codes.mapInArrow(_tables(patterns, True), "mask int, key bigint, node bigint, code binary")
+    keys = codes.mapInArrow(_tables(patterns, False), "mask int, key bigint")
+    crowded = checkpointed(keys.groupBy("mask", "key").count().where(F.col("count") > CROWD).select("mask", "key", F.ceil(F.col("count") / CROWD).cast("int").alias("m")))
     small = crowded.limit(20_001).count() <= 20_000
     met = spread.join(F.broadcast(crowded) if small else crowded, ["mask", "key"], "left")
     own = F.pmod(F.xxhash64("code"), F.coalesce("m", F.lit(1))).cast("int")
@@ -374,9 +394,14 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, radius:
     return dealt.mapInArrow(_confirm(radius, similarity), "u bigint, v bigint")
 
 
+def bit_chance(similarity: float) -> float:
+    """The chance that two texts of that Jaccard similarity differ in a bit."""
+    return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+
+
 def bit_radius(similarity: float, width: int = 256, spare: float = 3.0) -> int:
     """Bits in which two texts of that Jaccard similarity differ, as expected, and `spare` standard deviations more."""
-    p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    p = bit_chance(similarity)
     return int(width * p + spare * np.sqrt(width * p * (1 - p)))
 
 
@@ -403,7 +428,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     marked = kept(own.select("id", wide("text").alias("s")).select("id", "s.key", "s.code"), "wide")
     classes = checkpointed(marked.groupBy("key").agg(F.min("id").cast("long").alias("node"), F.min("code").alias("code")))
     radius = bit_radius(similarity)
-    candidates = components(wide_links(classes.select("node", "code"), radius))
+    candidates = components(wide_links(classes.select("node", "code"), similarity))
     roots = components(confirmed_links(own, candidates, words, radius, similarity))
     firsts = classes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("first"))
     gone = marked.join(firsts, "key").where("id != first").select(F.col("id").alias(id_col)).distinct()
