@@ -123,19 +123,25 @@ def repeats(docs: DataFrame, plan: DataFrame, seed: int = 0, blocks: int = 1024,
     return joined.withColumn("mix", F.struct(block.alias("block"), times.alias("repeats"), p["weight"].alias("weight"), p["exponent"].alias("exponent"))).drop("_plan")
 
 
-def mixed(docs: DataFrame, plan: DataFrame, seed: int = 0, blocks: int = 1024, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Every row of `docs` as often as the mix has it, with its place in the permutation: order by epoch, block_turn, document_turn. No shuffle."""
+def mixed(docs: DataFrame, plan: DataFrame, seed: int = 0, blocks: int = 1024, id_col: str = "doc_id", source_col: str = "source", keep_mix: bool = False) -> DataFrame:
+    """Every row of `docs` as often as the mix has it, with its place in the permutation: order by epoch, block_turn, document_turn. No shuffle.
+
+    keep_mix: with the column `mix` of repeats, too.
+    """
     found = repeats(docs, plan, seed, blocks, id_col, source_col).where(F.col("mix.repeats") > 0)
     each = found.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix.repeats") - 1)))
     places = {"block_turn": block_turn(F.col(source_col), F.col("mix.block"), F.col("epoch"), seed), "document_turn": document_turn(F.col(id_col), F.col("epoch"), seed)}
-    return each.withColumns(places).drop("mix")
+    return each.withColumns(places).drop(*([] if keep_mix else ["mix"]))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a mix of the corpus' size, with no source repeated more than twice, has each document; see plan_mix."""
+    """A mix of the corpus' size, with no source repeated more than twice: each document as often as the mix has it, with its place; see mixed, plan_mix.
+
+    Of a source, the rows in the order of epoch, block_turn and document_turn are its passes as block permutations.
+    """
     docs = table(spark, sf_dir, "documents")
-    found = repeats(docs, plan_mix(docs, budget_passes=1.0, max_repeats=2.0))
-    return found.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.col("mix.block").alias("block"), F.col("mix.repeats").alias("repeats"), F.round("mix.weight", 9).alias("weight"), F.round("mix.exponent", 9).alias("exponent"))
+    found = mixed(docs, plan_mix(docs, budget_passes=1.0, max_repeats=2.0), keep_mix=True)
+    return found.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.col("mix.block").alias("block"), "epoch", "block_turn", "document_turn", F.round("mix.weight", 9).alias("weight"), F.round("mix.exponent", 9).alias("exponent"))
 
 
 _SQL_DRAW = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -156,6 +162,8 @@ k AS (SELECT source, block, sum(n) AS n FROM d GROUP BY ALL HAVING sum(n) > 0),
 o AS (SELECT k.*, passes, rest, sum(n) OVER (PARTITION BY k.source ORDER BY {_SQL_DRAW.format("'0|block|' || passes || '|' || coalesce(k.source, 'null') || '|' || block")}, block) AS c FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source),
 g AS (SELECT d.doc_id, d.source, d.n, d.block, passes, c, rest, rest - c + o.n AS room, {_SQL_DRAW.format("'0|document|' || passes || '|' || doc_id")} AS h FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.block = o.block),
 f AS (SELECT *, c > rest AND room >= 0 AS edge, sum(n) OVER (PARTITION BY source, block ORDER BY h) AS m FROM g)
-SELECT f.doc_id, f.source, f.n AS n_tokens, f.block, (f.passes + CASE WHEN c <= f.rest OR (edge AND m <= room) THEN 1 ELSE 0 END)::BIGINT AS repeats, round(weight, 9) AS weight, round(a, 9) AS exponent
-FROM f JOIN p ON f.source IS NOT DISTINCT FROM p.source"""
+SELECT doc_id, source, n_tokens, block, epoch, {_SQL_DRAW.format("'0|block|' || epoch || '|' || coalesce(source, 'null') || '|' || block")} AS block_turn,
+       {_SQL_DRAW.format("'0|document|' || epoch || '|' || doc_id")} AS document_turn, weight, exponent
+FROM (SELECT f.doc_id, f.source, f.n AS n_tokens, f.block, unnest(range(0, (f.passes + CASE WHEN c <= f.rest OR (edge AND m <= room) THEN 1 ELSE 0 END)::BIGINT)) AS epoch, round(weight, 9) AS weight, round(a, 9) AS exponent
+FROM f JOIN p ON f.source IS NOT DISTINCT FROM p.source)"""
 }
