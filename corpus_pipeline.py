@@ -18,18 +18,25 @@ MAX_REPEATS = 2.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language is rejected: no letter at all, or two languages fit alike. Learned from the documents not held out."""
+    """Without the documents whose language is rejected: no letter at all, or two languages fit alike. Learned from the documents not held out.
+
+    Null and empty texts are rejected; of all other columns only lang, null for rows that teach nothing, and doc_id are read, null ids teaching nothing.
+    Repeated rows share their fate; long texts are encoded whole. No rows: no rows.
+    """
     dictionaries = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return docs.where(~identify(F.col("text"), dictionaries)["rejected"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity from 0.8."""
+    """One document of each group of near copies, that of the smallest id: shingles of five words, similarity from 0.8.
+
+    Null and empty texts are copies of one another; rows with a null id stay; rows that repeat an id are one document, and go or stay together. See keep_one.
+    """
     return keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in which an item of `benchmark` occurs within its edit budget."""
+    """Without the documents in which an item of `benchmark` occurs within its edit budget. Null and empty texts and items match nothing."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With the shard, 0 to 15, of each document."""
+    """With the shard, 0 to 15, of each document; of null ids that of 0. A column `shard` is replaced; repeats of a row are in one shard."""
     return add_shard(docs, SHARDS)
 
 
