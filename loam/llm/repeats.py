@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,6 @@ from loam.llm.common import checkpointed, partitions, table
 CHUNK_BYTES = 2 << 20
 #: Hashes that a task matches at once, on average.
 BUCKET_WORDS = 2_000_000
-#: Bytes of words that are hashed at a time.
-PIECE_BYTES = 4 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -37,17 +36,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Words(dict):
-    """The hash of each word, made when it is first asked for."""
-
-    def __init__(self, seed: int) -> None:
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-
 def _sequences(words: np.ndarray, size: int, odd: int) -> np.ndarray:
     """The hash of each `size` words in a row, from those of the words.
 
@@ -96,17 +84,16 @@ class Chunk:
         self.place = np.arange(n) - np.repeat(self.first, sizes)  # within its document
         self.left = np.repeat(first[1:], sizes) - np.arange(n)  # words to the document's end
 
+    @cached_property
     def words(self) -> np.ndarray:
-        """The hash of each word."""
-        found, known, at = np.empty(len(self.start), np.uint64), _Words(self.seeds[0]), 0
-        while at < len(found):
-            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + PIECE_BYTES)))
-            part = self.data[self.start[at] : self.end[to - 1]].split()
-            found[at:to] = np.fromiter(map(known.__getitem__, part), np.uint64, to - at)
-            if len(known) > 1 << 18:
-                known.clear()
-            at = to
-        return found
+        """The hash of each word; equal words are found first, and hashed once."""
+        offsets = np.r_[self.start, len(self.data)].astype(np.int64)  # each with the white space behind it
+        every = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(self.data)]).dictionary_encode()
+        of = every.indices.to_numpy()
+        first = np.empty(len(every.dictionary), np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        digest, seed, data = xxhash.xxh3_64_intdigest, self.seeds[0], self.data
+        return np.array([digest(data[a:b], seed) for a, b in zip(self.start[first].tolist(), self.end[first].tolist())], np.uint64)[of]
 
     def anchors(self, block: int) -> tuple[np.ndarray, ...]:
         """Every rolling block: positions in the order of their hashes, these, where a new one begins, flags of each distinct one.
@@ -114,7 +101,7 @@ class Chunk:
         Flags: 1 if it is an indexed block here, 2 if it occurs twice here.
         """
         at = np.flatnonzero(self.left >= block)
-        h = _sequences(self.words(), block, self.seeds[1])[at]
+        h = _sequences(self.words, block, self.seeds[1])[at]
         order = np.argsort(h)
         at, h = at[order], h[order]
         head = _heads(h)
@@ -125,11 +112,10 @@ class Chunk:
         """The windows of whose one indexed block `live` is true: positions in the order of their digests, both halves of these, where a new one begins, flags."""
         at = np.flatnonzero(self.left >= window)
         at = at[live[at + -self.place[at] % block]]
-        words = self.words()
-        h = _sequences(words, window, self.seeds[1])[at]
+        h = _sequences(self.words, window, self.seeds[1])[at]
         order = np.argsort(h)
         at, h = at[order], h[order]
-        g = (_sequences(words, window, self.seeds[2])[at] >> np.uint64(32)).astype(np.uint32)
+        g = (_sequences(self.words, window, self.seeds[2])[at] >> np.uint64(32)).astype(np.uint32)
         head = _heads(h, g)
         return at, h, g, head, (np.diff(np.r_[head, len(at)]) > 1) * 2
 
