@@ -101,3 +101,60 @@ def test_ties_at_the_edge_of_a_cell(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = listed(N.nearest(df, df.where("vec_id = 0"), probed=128))
     assert got == {0: [(i, 1.0) for i in range(937, 947)]}
+
+
+def test_128_ties(spark):
+    """The 128 neighbours along the axes are all as far: those with the smallest ids are found."""
+    middle = [3.0] * 64
+    rng = np.random.default_rng(9)
+    ids = rng.permutation(np.arange(1, 129)).tolist()
+    rows = [(1000, middle)] + [(ids[2 * i + s], [x + (2 * s - 1) * (j == i) for j, x in enumerate(middle)]) for i in range(64) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert listed(N.nearest(df, df.where("vec_id = 1000"), probed=128)) == {1000: [(i, 1.0) for i in range(1, 11)]}
+    assert listed(N.nearest(df, df.where("vec_id = 1000"), recall=1.0)) == {1000: [(i, 1.0) for i in range(1, 11)]}
+
+
+def test_close_vectors_far_away(spark):
+    """Doubles around one far point, of which squares lose the differences."""
+    rng = np.random.default_rng(10)
+    point = rng.normal(size=16) * 1e6
+    rows = [(i, (point * (1 + 1e-9 * rng.normal(size=16))).tolist()) for i in range(1, 2001)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for how in (dict(probed=32), dict(recall=1.0)):
+        got = {}
+        for r in N.nearest(df, df.where("vec_id % 500 = 0"), **how).collect():
+            got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        assert {q: sorted(x) for q, x in got.items()} == brute(rows, {500, 1000, 1500, 2000})
+
+
+def test_share_that_is_measured(spark):
+    """On the largest table under 0.2 of the vectors are measured for a recall of 0.9 of the queries' neighbours."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], np.float32)
+    names = [str(r.vec_id).encode() for r in rows]
+    classes = spark.createDataFrame(list(zip(map(bytearray, names), (bytearray(v.tobytes()) for v in x))), "cls binary, packed binary")
+    queries = classes.where("cast(cast(cls AS string) AS int) % 100 = 0")
+    plan, met = N.calibrated(classes, queries, 10, N.Plan(1, 16, 1, 4, 0, "float32"), 0.95)
+    assert met >= 0.95
+    q = [i for i, r in enumerate(rows) if r.vec_id % 100 == 0]
+    loss, code = N.losses(x[q].astype(np.float64), 0, 16, 0), N.codes(x.astype(np.float64), 0, 16, 0)
+    each = np.stack([loss[:, h][:, code[:, h]] for h in range(16)])
+    within = (each[0] <= plan.cell_cut) & (each.sum(axis=0) <= plan.cut)
+    assert within.mean() < 0.2
+    far = ((x[q][:, None].astype(np.float64) - x[None]) ** 2).sum(axis=2)
+    far[np.arange(len(q)), q] = np.inf
+    best = np.argsort(far, axis=1)[:, :10]
+    assert np.take_along_axis(within, best, 1).mean() >= 0.9
+
+
+def test_queries_from_elsewhere_and_more_hashes_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_VECTORS", 2)  # two hashes a cell, of 16 axes each, for 300 vectors
+    rng = np.random.default_rng(12)
+    middles = rng.normal(size=(10, 8)) * 4
+    rows = [(i, (middles[i % 10] + rng.normal(size=8)).tolist()) for i in range(300)]
+    asked = [(1000 + i, (middles[i] + rng.normal(size=8)).tolist()) for i in range(10)]
+    df, queries = (spark.createDataFrame(x, "vec_id bigint, embedding array<double>") for x in (rows, asked))
+    got = listed(N.nearest(df, queries, recall=1.0, tables=2, hashes=6))
+    for q, v in asked:
+        want = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows)[:10]
+        assert got[q] == [(i, round(s, 12)) for s, i in want]
