@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import lzma
 import zlib
+from bisect import bisect_right
+from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,41 +32,66 @@ class Op(NamedTuple):
 
 def _literal(data: bytes) -> list[Op]:
     """Added bytes, with runs told apart."""
-    found, start, at = [], 0, 0
-    while at < len(data):
-        end = at + 1
-        while end < len(data) and data[end] == data[at]:
-            end += 1
-        if end - at >= RUN:
-            if start < at:
-                found.append(Op("ADD", 0, at - start, data[start:at]))
-            found.append(Op("RUN", 0, end - at, data[at : at + 1]))
-            start = end
-        at = end
+    if len(data) < RUN:
+        return [Op("ADD", 0, len(data), data)] if data else []
+    held = np.frombuffer(data, np.uint8)
+    edges = np.r_[0, np.flatnonzero(held[1:] != held[:-1]) + 1, len(data)]
+    found, start = [], 0
+    for k in np.flatnonzero(np.diff(edges) >= RUN).tolist():
+        at, end = int(edges[k]), int(edges[k + 1])
+        if start < at:
+            found.append(Op("ADD", 0, at - start, data[start:at]))
+        found.append(Op("RUN", 0, end - at, data[at : at + 1]))
+        start = end
     return found + ([Op("ADD", 0, len(data) - start, data[start:])] if start < len(data) else [])
 
 
+def _block_keys(data: np.ndarray, step: int) -> np.ndarray:
+    """A 64-bit key of the block at each `step` bytes; equal blocks have equal keys."""
+    words = np.zeros(max(0, len(data) - 7), np.uint64)
+    for k in range(8):
+        words |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
+    first, second = words[: len(data) - BLOCK + 1 : step], words[8 : len(data) - 7 : step]
+    return first * np.uint64(0x9E3779B97F4A7C15) + (second ^ second >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bytes two arrays begin with in common."""
+    n, at, width = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at : min(at + width, n)] != b[at : min(at + width, n)])
+        if len(differ):
+            return at + int(differ[0])
+        at, width = at + width, width * 4
+    return n
+
+
 def instructions(base: bytes, source: bytes) -> list[Op]:
-    """Makes `source` out of `base`: blocks of the base that occur in the source are extended both ways."""
-    index: dict[bytes, int] = {}
-    for at in range(len(base) - BLOCK, -1, -BLOCK) if len(base) >= BLOCK else ():
-        index[base[at - at % BLOCK : at - at % BLOCK + BLOCK]] = at - at % BLOCK
+    """Makes `source` out of `base`: blocks of the base that occur in the source are extended both ways.
+
+    The blocks of the base and every window of the source have keys, looked up all at once; only where one is found bytes are compared.
+    """
+    if len(base) < BLOCK or len(source) < BLOCK:
+        return _literal(source)
+    old, new = np.frombuffer(base, np.uint8), np.frombuffer(source, np.uint8)
+    keys, offsets = np.unique(_block_keys(old, BLOCK), return_index=True)  # the first block of each key
+    wanted = _block_keys(new, 1)
+    slot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hits = np.flatnonzero(keys[slot] == wanted)
+    places = offsets[slot[hits]] * BLOCK
     ops: list[Op] = []
-    at = added = 0
-    while at + BLOCK <= len(source):
-        found = index.get(source[at : at + BLOCK])
-        if found is None:
-            at += 1
+    added = k = 0
+    while k < len(hits):
+        at, found = int(hits[k]), int(places[k])
+        if base[found : found + BLOCK] != source[at : at + BLOCK]:
+            k += 1
             continue
-        back = 0
-        while back < at - added and back < found and source[at - back - 1] == base[found - back - 1]:
-            back += 1
-        ahead = BLOCK
-        while at + ahead < len(source) and found + ahead < len(base) and source[at + ahead] == base[found + ahead]:
-            ahead += 1
+        back = _common(new[added:at][::-1], old[:found][::-1])
+        ahead = BLOCK + _common(new[at + BLOCK :], old[found + BLOCK :])
         ops += _literal(source[added : at - back])
         ops.append(Op("COPY", found - back, back + ahead, b""))
-        at = added = at + ahead
+        added = at + ahead
+        k = int(np.searchsorted(hits, added))
     return ops + _literal(source[added:])
 
 
@@ -130,19 +158,19 @@ def decode(base: bytes, delta: bytes) -> bytes:
 
 def merge(first: list[Op], second: list[Op]) -> list[Op]:
     """One delta for two: `first` makes an intermediate out of the base, `second` the result out of that."""
-    starts, at = [], 0
-    for o in first:
-        starts.append(at)
-        at += o.length
+    starts = list(accumulate((o.length for o in first), initial=0))
     merged: list[Op] = []
     for o in second:
         if o.op != "COPY":
             merged.append(o)
             continue
-        for start, f in zip(starts, first):
+        k = max(0, bisect_right(starts, o.offset) - 1)
+        while k < len(first) and starts[k] < o.offset + o.length:
+            f, start = first[k], starts[k]
             a, b = max(o.offset, start), min(o.offset + o.length, start + f.length)
             if a < b:
                 merged.append(Op(f.op, f.offset + (a - start) * (f.op == "COPY"), b - a, f.data[a - start : b - start] if f.op == "ADD" else f.data))
+            k += 1
     return merged
 
 

@@ -128,10 +128,20 @@ def _key(filled: Column, name: Column | None, spec: CodecSpec) -> Column:
 def _groups(filled: bytes, spec: CodecSpec) -> np.ndarray:
     """crsss: the k data blocks; column i holds the words and hashes of group i."""
     w, own = spec.word, spec.k - spec.r
-    groups = [filled[i : i + w * own] for i in range(0, len(filled), w * own)]
-    blocks = [b"".join(g[w * j : w * (j + 1)] for g in groups) for j in range(own)]
-    blocks += [b"".join(spec.digest(g + bytes([j])) for g in groups) for j in range(spec.r)]
-    return np.stack([np.frombuffer(b, np.uint8) for b in blocks])
+    n, hashed = w * own, hashlib.md5 if spec.security == "low" else hashlib.sha256
+    words = np.frombuffer(filled, np.uint8).reshape(-1, own, w).transpose(1, 0, 2).reshape(own, -1)
+    begun = [hashed(filled[i : i + n]) for i in range(0, len(filled), n)]
+
+    def row(j: int) -> bytes:
+        out = []
+        for h in begun:
+            h = h.copy()
+            h.update(bytes([j]))
+            out.append(h.digest())
+        return b"".join(out)
+
+    hashes = np.frombuffer(b"".join(row(j) for j in range(spec.r)), np.uint8).reshape(spec.r, -1)
+    return np.concatenate([words, hashes])
 
 
 def encode_shares(secrets: DataFrame, spec: CodecSpec = CodecSpec()) -> DataFrame:

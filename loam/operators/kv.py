@@ -96,7 +96,7 @@ def _probes(hashes: np.ndarray, bits: int, k: int) -> np.ndarray:
 def bloom_build(keys: DataFrame, bits_per_key: int = 20, expected: int | None = None, max_bytes: int = 64 << 20) -> bytes:
     """A Bloom filter of the keys' 64-bit hashes.
 
-    Each task sets bits in a filter of the final size, bounded by `max_bytes` (ValueError beyond), and the parts are ORed in aggregates.
+    Each task sets bits in a filter of the final size, bounded by `max_bytes` (ValueError beyond), and holds no more; the parts are ORed in aggregates.
     """
     n = expected if expected is not None else keys.count()
     size = max(8, -(-n * bits_per_key // 8))
@@ -105,10 +105,12 @@ def bloom_build(keys: DataFrame, bits_per_key: int = 20, expected: int | None =
     k = max(1, min(30, int(bits_per_key * 0.69)))
 
     def local(batches):
-        bitmap = np.zeros(size * 8, bool)
+        found = np.zeros(size, np.uint8)
         for b in batches:
-            bitmap[_probes(b.column(0).to_numpy().view(np.uint64), size * 8, k).ravel().astype(np.int64)] = True
-        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([np.packbits(bitmap).tobytes()], pa.binary())], ["g", "part"])
+            for at in range(0, b.num_rows, 4096):
+                places = _probes(b.column(0).slice(at, 4096).to_numpy().view(np.uint64), size * 8, k).ravel()
+                np.bitwise_or.at(found, (places >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (places & np.uint64(7)).astype(np.uint8))
+        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["g", "part"])
 
     def union(batches):
         found = np.zeros(size, np.uint8)

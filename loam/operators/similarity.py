@@ -18,11 +18,12 @@ SLOTS = ("sf1", "sf2", "sf3")
 def last_bases(shares: DataFrame) -> DataFrame:
     """`shares` with candidate and slot: of the features in turn, the first that an earlier share had, and the last such share.
 
-    As an index would answer whose entries the last writer holds. A feature's shares are ordered by one task.
+    As an index would answer whose entries the last writer holds. A feature's shares are ordered by one task; shares without a feature are spread out.
     """
     found = shares
     for s in SLOTS:
-        earlier = Window.partitionBy("cloud", f"features.{s}").orderBy("seq", "secret_id").rowsBetween(Window.unboundedPreceding, -1)
+        alone = F.when(F.col(f"features.{s}").isNull(), F.col("share_fp"))
+        earlier = Window.partitionBy("cloud", f"features.{s}", alone).orderBy("seq", "secret_id").rowsBetween(Window.unboundedPreceding, -1)
         found = found.withColumn(f"_{s}", F.when(F.col(f"features.{s}").isNotNull(), F.last_value("share_fp").over(earlier)))
     return _chosen(found)
 
@@ -108,7 +109,8 @@ def strict_deltas(shares: DataFrame, by: list[str] | None = None, max_depth: int
     """(cloud, share_fp, base_fp, delta_depth, delta_size, stored) as a server gives that takes shares one by one: rows need data too.
 
     A share's base is the last earlier one with its sf1, else sf2, else sf3, whether usable or not; features are noted even of shares stored as deltas.
-    Each answer depends on all before, so a group (`by`, a cloud) is one task's work; select_bases is the parallel way.
+    Each answer depends on all before, so a group (`by`, a cloud) is one task's work, which holds the group's bytes: a mode to compare with such a server
+    on tables of its size. select_bases is the parallel way.
     """
 
     def fold(group: pa.Table) -> pa.Table:
