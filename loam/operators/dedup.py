@@ -32,9 +32,15 @@ def plain_shares(secrets: DataFrame) -> DataFrame:
     return secrets.select(F.lit(0).alias("cloud"), fingerprint(F.col("data")).alias("share_fp"), "user_id", "file_name", "seq", "file_size", "secret_id", "secret_size", F.col("secret_size").alias("share_size"), "is_last")
 
 
-def classify(shares: DataFrame) -> DataFrame:
-    """`shares` with dup_class: `new` for the first of a fingerprint, `intra` if its user had it before, else `inter`."""
-    by_user = shares.groupBy(*KEY, "user_id").agg(F.min(place()).alias("first_user"))
+def classify(shares: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """`shares` with dup_class: `new` for the first of a fingerprint, `intra` if its user had it before, else `inter`.
+
+    owners: (cloud, share_fp, user_id) of what was there before all of `shares`; rows may repeat.
+    """
+    places = shares.select(*KEY, "user_id", place().alias("_p"))
+    if owners is not None:
+        places = places.unionByName(owners.select(*KEY, "user_id", F.lit(-1).cast(places.schema["_p"].dataType).alias("_p")))
+    by_user = places.groupBy(*KEY, "user_id").agg(F.min("_p").alias("first_user"))
     first = by_user.groupBy(*KEY).agg(F.min("first_user").alias("first"))
     firsts = by_user.join(first, KEY).select(F.col("cloud").alias("_c"), F.col("share_fp").alias("_s"), F.col("user_id").alias("_u"), "first_user", "first")
     joined = shares.join(firsts, (F.col("cloud") == F.col("_c")) & (F.col("share_fp") == F.col("_s")) & F.col("user_id").eqNullSafe(F.col("_u")))
@@ -94,11 +100,15 @@ def share_index(shares: DataFrame) -> DataFrame:
     return shares.groupBy(*KEY).agg(F.max("share_size").alias("share_size"), users.alias("users")).withColumn("num_users", F.size("users"))
 
 
+def merge_index(parts: DataFrame) -> DataFrame:
+    """The index of which `parts` holds several parts, as rows: an entry for each share, with the owners of all its rows."""
+    users = F.sort_array(F.array_distinct(F.flatten(F.collect_list("users"))))
+    return parts.groupBy(*KEY).agg(F.max("share_size").alias("share_size"), users.alias("users")).withColumn("num_users", F.size("users"))
+
+
 def upsert_index(index: DataFrame, shares: DataFrame) -> DataFrame:
     """The index with further shares: new entries, and further owners of those that are there."""
-    both = index.select(*KEY, "share_size", "users").unionByName(share_index(shares).select(*KEY, "share_size", "users"))
-    users = F.sort_array(F.array_distinct(F.flatten(F.collect_list("users"))))
-    return both.groupBy(*KEY).agg(F.max("share_size").alias("share_size"), users.alias("users")).withColumn("num_users", F.size("users"))
+    return merge_index(index.select(*KEY, "share_size", "users").unionByName(share_index(shares).select(*KEY, "share_size", "users")))
 
 
 def status_lists(shares: DataFrame, flag: str) -> DataFrame:
