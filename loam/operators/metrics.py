@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.layout import ENTRY_BYTES, RECIPE_HEAD
 from loam.functions.text import percent
 
 
@@ -37,6 +38,11 @@ def dedup_report(shares: DataFrame, by: list[str] | None = None) -> DataFrame:
     return counts.withColumns(ratios)
 
 
+def recipe_bytes(files: Column, shares: Column) -> Column:
+    """Bytes of the recipes of so many files with so many shares in all."""
+    return (files * RECIPE_HEAD.size + shares * ENTRY_BYTES).cast("long")
+
+
 def client_report(shares: DataFrame, seconds: float | None = None) -> DataFrame:
     """Total, sent and zero bytes of first-stage shares (share_size, owned, is_zero), and bytes a second if a time is given."""
     out = shares.agg(F.sum("share_size").alias("total_bytes"), _sum(F.col("share_size"), ~F.col("owned")).alias("unique_bytes"), _sum(F.col("share_size"), F.col("is_zero")).alias("zero_bytes"))

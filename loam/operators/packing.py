@@ -15,7 +15,8 @@ def pack(df: DataFrame, by: list[str], order: list[str], size: str, capacity: in
     """`df` with the bin and the offset of each row: a row that would pass `capacity` opens the next bin of its group.
 
     Where a bin opens depends on all rows before it, so a group is filled in order by one task. Only the columns named here should be in `df`: keep
-    payloads out, and give large stores several lanes (`by` with a hash of the file), which fill containers of their own.
+    payloads out, and give large stores several lanes (`by` with a hash of the file), which fill containers of their own; as many, by the bytes there
+    are, that a lane stays small (see DedupStore).
     """
     names = [*df.columns, bin_, offset]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{bin_}` int, `{offset}` bigint"
@@ -46,13 +47,13 @@ def fixed_fragments(secret_id: Column, chunk: int, capacity: int = FRAGMENT) ->
     return F.floor(secret_id / max(1, capacity // chunk)).cast("int")
 
 
-def read_slices(slices: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Rows (cloud, lane, container, offset, length) with their bytes out of (cloud, lane, container, payload)."""
-    return slices.join(payloads, ["cloud", "lane", "container"]).withColumn("data", F.substring(F.col("payload"), (F.col("offset") + 1).cast("int"), F.col("length"))).drop("payload")
+def read_slices(slices: DataFrame, payloads: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Rows (cloud, lane, container, offset, length) with their bytes out of (cloud, lane, container, payload); `key`: what names a container."""
+    cut = F.substring(F.col("payload"), (F.col("offset") + 1).cast("int"), F.col("length"))
+    return slices.join(payloads, key or ["cloud", "lane", "container"]).withColumn("data", cut).drop("payload")
 
 
 def container_payloads(packed: DataFrame, data: DataFrame) -> DataFrame:
     """The bytes of each container, of rows of `containers` and (cloud, share_fp, data); a container is bounded by its capacity."""
-    parts = F.array_sort(F.collect_list(F.struct("offset", F.hex("data").alias("hex"))))
-    joined = packed.join(data, ["cloud", "share_fp"]).groupBy("cloud", "lane", "container").agg(parts.alias("parts"))
-    return joined.select("cloud", "lane", "container", F.unhex(F.array_join(F.col("parts.hex"), "")).alias("payload"))
+    joined = packed.join(data, ["cloud", "share_fp"]).groupBy("cloud", "lane", "container")
+    return joined.agg(F.expr("listagg(data, x'') WITHIN GROUP (ORDER BY offset)").alias("payload"))

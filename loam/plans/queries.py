@@ -18,7 +18,7 @@ from loam.operators.codec import CodecSpec
 from loam.operators.kv import KV, bloom_build, bloom_probe
 from loam.plans.sql import register_functions
 from loam.plans.store import DedupStore, StoreConfig
-from loam.sources.files import conversation_files, document_files, page_files, table
+from loam.sources.files import conversation_files, document_files, export_files, page_files, table
 from loam.sources.shared import new_folder
 from loam.streaming.ingest import run_index, stream_files
 
@@ -99,7 +99,27 @@ def chunk_cdc(spark, sf_dir):
     return whole.select(F.col("seq").alias("page_id"), F.md5("content").alias("digest"), F.octet_length("content").cast("long").alias("size"))
 
 
-@query()
+_M = 1 << 23
+
+
+def _power(base: int, exponent: str, bits: int = 24) -> str:
+    """`base` to the power of an expression below 2^bits, modulo 2^23."""
+    found = "1::BIGINT"
+    for k in range(bits):
+        found = f"({found} * CASE WHEN ({exponent} >> {k}) & 1 = 1 THEN {pow(base, 1 << k, _M)} ELSE 1 END % {_M})"
+    return found
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text))::BIGINT AS n FROM documents WHERE text <> ''),
+p AS (SELECT i, {_power(257, 'i')} AS up, {_power(pow(257, -1, _M), 'i')} AS down FROM (SELECT unnest(range(0, (SELECT max(n) FROM f))) AS i)),
+y AS (SELECT doc_id, i, ('0x' || hex(b[i + 1 : i + 1]))::BIGINT AS v FROM f, unnest(range(0, n)) AS u(i)),
+w AS (SELECT doc_id, y.i, up, sum(v * down % {_M}) OVER (PARTITION BY doc_id ORDER BY y.i ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS s FROM y JOIN p ON y.i = p.i),
+a AS (SELECT doc_id, list(i + 1 ORDER BY i) AS anchors FROM w WHERE i >= 47 AND (s % {_M})::BIGINT * up % {_M} % 1024 = 0 GROUP BY doc_id),
+g AS (SELECT f.*, coalesce(anchors, []) AS anchors FROM f LEFT JOIN a ON f.doc_id = a.doc_id),
+c AS (SELECT doc_id, b, n, anchors, -1 AS secret_id, 0::BIGINT AS start, 0::BIGINT AS stop FROM g
+      UNION ALL
+      SELECT doc_id, b, n, anchors, secret_id + 1, stop, CASE WHEN stop + 256 > n THEN n ELSE least(stop + 4096, n, coalesce(list_min(list_filter(anchors, lambda x: x >= stop + 256)), n)) END FROM c WHERE stop < n)
+SELECT doc_id, secret_id::INTEGER AS secret_id, (stop - start)::INTEGER AS secret_size, md5(b[start + 1 : stop]) AS digest FROM c WHERE secret_id >= 0""")
 def chunk_cdc_cuts(spark, sf_dir):
     found = chunks.secrets(document_files(table(spark, sf_dir, "documents")), ChunkSpec("cdc", 1024, 256, 4096, 48))
     return _doc(found).select("doc_id", "secret_id", "secret_size", F.md5("data").alias("digest"))
@@ -138,21 +158,33 @@ def index_key(spark, sf_dir):
     return _shares(spark, sf_dir).select("share_fp").distinct().select(H.hex_dump(H.index_key(F.col("share_fp"))).alias("index_key"))
 
 
-@query()
+#: Of each chunk the bytes, v at place i.
+_BYTES = ", y AS (SELECT doc_id, secret_id, size, i, ('0x' || hex(d[i + 1 : i + 1]))::BIGINT AS v FROM h, unnest(range({0}, size)) AS u(i))"
+
+
+@query(S.replace("WITH f", "WITH RECURSIVE f") + _BYTES.format("greatest(0, size - 48)") + f""", x AS (SELECT 0 AS k, 1::UBIGINT AS v UNION ALL SELECT k + 1, CASE WHEN v >= 1::UBIGINT << 62 THEN xor(v * 2, {H.POLYNOMIAL}::UBIGINT) ELSE v * 2 END FROM x WHERE k < 383)
+SELECT doc_id, secret_id, coalesce(bit_xor(x.v), 0)::BIGINT AS fingerprint FROM y LEFT JOIN x ON x.k // 8 = size - 1 - i AND (y.v >> (x.k % 8)) & 1 = 1 GROUP BY doc_id, secret_id""")
 def rabin_fp(spark, sf_dir):
-    return _doc(_secrets(spark, sf_dir)).select("doc_id", "secret_id", H.rabin_fingerprint(F.col("data")).alias("fingerprint"), H.hex_dump(H.rabin_key(F.col("data"))).alias("key"))
+    """The fingerprint of the last 48 bytes of each chunk."""
+    return _doc(_secrets(spark, sf_dir)).select("doc_id", "secret_id", H.rabin_fingerprint(F.col("data")).alias("fingerprint"))
 
 
 @query()
+def rabin_key(spark, sf_dir):
+    """The key of each chunk: of its largest fingerprint of all windows."""
+    return _doc(_secrets(spark, sf_dir)).select("doc_id", "secret_id", H.hex_dump(H.rabin_key(F.col("data"))).alias("key"))
+
+
+@query(S + _BYTES.format("0") + "SELECT doc_id, secret_id, ((max(size) + sum((size - i) * v)) % 65521 * 65536 + (1 + sum(v)) % 65521)::BIGINT AS adler32 FROM y GROUP BY doc_id, secret_id")
 def adler32_sums(spark, sf_dir):
     return _doc(_secrets(spark, sf_dir)).select("doc_id", "secret_id", H.adler32(F.col("data")).alias("adler32"))
 
 
 @query()
 def aes_cbc(spark, sf_dir):
-    """Whole blocks of each document, encrypted under its MD5."""
+    """Each document, filled up to whole blocks with zeros, encrypted under its MD5."""
     files = _doc(document_files(table(spark, sf_dir, "documents")))
-    blocks = F.substring(F.col("content"), F.lit(1), (F.floor(F.col("file_size") / 16) * 16).cast("int"))
+    blocks = F.concat("content", F.unhex(F.repeat(F.lit("00"), F.pmod(-F.col("file_size"), F.lit(16)).cast("int"))))
     return files.select("doc_id", F.md5(H.cbc_zero_iv(blocks, F.unhex(F.md5("content")))).alias("digest"))
 
 
@@ -186,9 +218,11 @@ def unique_bytes_sent(spark, sf_dir):
     return dedup.upload_totals(dedup.first_stage(_shares(spark, sf_dir)))
 
 
-@query(S + "SELECT sum(size)::BIGINT AS total_bytes, sum(CASE WHEN owned THEN 0 ELSE size END)::BIGINT AS unique_bytes, 0::BIGINT AS zero_bytes FROM c")
+@query(S + "SELECT sum(size)::BIGINT AS total_bytes, sum(CASE WHEN owned THEN 0 ELSE size END)::BIGINT AS unique_bytes, coalesce(sum(CASE WHEN d = unhex(repeat('00', size)) THEN size END), 0)::BIGINT AS zero_bytes FROM c")
 def client_report(spark, sf_dir):
-    return metrics.client_report(dedup.first_stage(_shares(spark, sf_dir)).withColumn("is_zero", F.lit(False)))
+    found = _secrets(spark, sf_dir).withColumn("is_zero", chunks.is_zero(F.col("data")))
+    shares = found.select("*", F.lit(0).alias("cloud"), dedup.fingerprint(F.col("data")).alias("share_fp"), F.col("secret_size").alias("share_size"), packing.fixed_fragments(F.col("secret_id"), CHUNK, FRAGMENT).alias("fragment"))
+    return metrics.client_report(dedup.first_stage(shares.drop("data")))
 
 
 @query(S + "SELECT fp AS share_fp, max(size)::INTEGER AS share_size, array_to_string(list_sort(list(DISTINCT user_id)), ',') AS users, count(DISTINCT user_id)::BIGINT AS num_users FROM h GROUP BY fp")
@@ -269,9 +303,9 @@ def size_format(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.size_text(n).alias("size"), T.duration_text(n).alias("duration"))
 
 
-@query(S + ", n AS (SELECT unnest(range(0, 3))::INTEGER AS cloud) SELECT cloud, sum(16 * ((CASE WHEN (size + 16) % 48 = 0 THEN size ELSE 48 * ((size + 16) // 48 + 1) - 16 END + 16) // 48))::BIGINT AS share_bytes, sum(size)::BIGINT AS secret_bytes FROM h, n GROUP BY cloud")
+@query(S + ", n AS (SELECT unnest(range(0, 4))::INTEGER AS cloud) SELECT cloud, sum(16 * ((CASE WHEN (size + 16) % 48 = 0 THEN size ELSE 48 * ((size + 16) // 48 + 1) - 16 END + 16) // 48))::BIGINT AS share_bytes, sum(size)::BIGINT AS secret_bytes FROM h, n GROUP BY cloud")
 def totals_by_cloud(spark, sf_dir):
-    shares = codec.encode_shares(_secrets(spark, sf_dir), CodecSpec("none")).where("cloud < 3")
+    shares = codec.encode_shares(_secrets(spark, sf_dir), CodecSpec("none"))
     return shares.groupBy("cloud").agg(F.sum("share_size").alias("share_bytes"), F.sum("secret_size").alias("secret_bytes"))
 
 
@@ -376,6 +410,51 @@ def recipe_bytes(spark, sf_dir):
     return whole.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(shown).alias("digest"), checked.alias("checked"))
 
 
+def _le(x: str, n: int = 4) -> str:
+    """Hex of a number's bytes, the lowest first."""
+    return f"printf('{'%02X' * n}', {', '.join(f'(({x})::BIGINT >> {8 * i}) & 255' for i in range(n))})"
+
+
+_ENTRY = "fp || " + " || ".join(_le(c) for c in ("secret_id", "size", "size"))
+
+
+@query(S + f"""SELECT doc_id, md5(upper({_le('max(user_id)')} || '00000000' || {_le('max(file_size)', 8)} || {_le('count(*)')} || '00000000' || string_agg({_ENTRY}, '' ORDER BY secret_id))) AS digest,
+24 + 44 * count(*) AS bytes, count(*)::BIGINT AS n FROM h GROUP BY doc_id""")
+def recipe_file(spark, sf_dir):
+    """Whole recipes as packed bytes, and what is unpacked of them."""
+    entries = _doc(recipes.recipe_entries(_shares(spark, sf_dir)))
+    packed = entries.withColumn("data", L.pack_entry(F.col("share_fp"), F.col("secret_id"), F.col("secret_size"), F.col("share_size")))
+    heads = _doc(document_files(table(spark, sf_dir, "documents"))).select("doc_id", "user_id", "file_size")
+    whole = recipes.reassemble(packed, ["doc_id"]).join(heads, "doc_id")
+    n = (F.octet_length("content") / L.ENTRY_BYTES).cast("int")
+    whole = whole.withColumn("r", L.pack_recipe(F.col("user_id"), F.col("file_size"), n, F.col("content")))
+    back = whole.withColumn("u", L.unpack_recipe(F.col("r"))).where("u.user_id = user_id AND u.file_size = file_size")
+    return back.select("doc_id", F.md5(F.hex("r")).alias("digest"), F.octet_length("r").cast("long").alias("bytes"), F.size("u.entries").cast("long").alias("n"))
+
+
+@query(S + f"""SELECT doc_id, fragment, md5(upper({_le("length('/documents/' || doc_id)")} || '00000000' || {_le('max(file_size)', 8)} || {_le('min(secret_id)')} || '00000000' || {_le('min(secret_id) * 1024', 8)} || {_le('count(*)')} || '00000000' || {_le('sum(size)', 8)}
+|| hex(encode('/documents/' || doc_id)) || string_agg({_ENTRY}, '' ORDER BY secret_id))) AS digest, sum(secret_id)::BIGINT AS checked FROM h GROUP BY doc_id, fragment""")
+def file_share_bytes(spark, sf_dir):
+    """What a client sends of each fragment, as packed bytes, and a sum over what is unpacked of them."""
+    shares = _doc(_shares(spark, sf_dir)).withColumn("data", L.pack_entry(F.col("share_fp"), F.col("secret_id"), F.col("secret_size"), F.col("share_size")))
+    sums = shares.groupBy("doc_id", "fragment", "file_name", "file_size").agg(F.min("secret_id").alias("past"), F.count("*").cast("int").alias("coming"), F.sum("share_size").alias("coming_bytes"))
+    whole = recipes.reassemble(shares, ["doc_id", "fragment"], "secret_id").join(sums, ["doc_id", "fragment"])
+    packed = whole.withColumn("x", L.pack_file_share(F.col("file_name"), F.col("file_size"), F.col("past"), F.col("past") * CHUNK, F.col("coming"), F.col("coming_bytes"), F.col("content")))
+    back = packed.withColumn("u", L.unpack_file_share(F.col("x"))).where("u.file_name = file_name AND u.coming = coming AND u.past_bytes = past * 1024")
+    checked = F.aggregate("u.entries", F.lit(0).cast("long"), lambda a, e: a + e["secret_id"])
+    return back.select("doc_id", "fragment", F.md5(F.hex("x")).alias("digest"), checked.alias("checked"))
+
+
+@query(S + f"""SELECT fp AS share_fp, md5(upper({_le('max(size)')} || {_le('count(DISTINCT user_id)')} || '00' || '00000000000000' || {_le('0', 8)} || repeat('00', 32) || hex(encode('abcdefghijklmnop')) || {_le('max(size) * 3', 8)}
+|| array_to_string(list_transform(list_sort(list(DISTINCT user_id)), lambda u: {_le('u')}), ''))) AS digest, sum(DISTINCT user_id)::BIGINT AS checked FROM h GROUP BY fp""")
+def share_index_bytes(spark, sf_dir):
+    """Index entries as packed bytes, and a sum over what is unpacked of them."""
+    index = dedup.share_index(_shares(spark, sf_dir))
+    packed = index.withColumn("x", L.pack_share_index(F.col("share_size"), F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit("abcdefghijklmnop"), F.col("share_size") * 3, F.col("users")))
+    back = packed.withColumn("u", L.unpack_share_index(F.col("x"))).where("u.share_size = share_size AND u.num_users = num_users AND u.offset = share_size * 3 AND u.container = 'abcdefghijklmnop'")
+    return back.select("share_fp", F.md5(F.hex("x")).alias("digest"), F.aggregate("u.users", F.lit(0).cast("long"), lambda a, u: a + u).alias("checked"))
+
+
 @query(S + "SELECT doc_id, (secret_id // 3 - CASE WHEN secret_id > 0 AND secret_id % 3 = 0 AND size + 12 <= 4095 - 3 * 1036 THEN 1 ELSE 0 END)::INTEGER AS frame, count(*)::BIGINT AS n_shares, sum(size + 12)::BIGINT AS bytes FROM h GROUP BY ALL")
 def restore_frames(spark, sf_dir):
     """The frames in which a file is sent back: shares with a head of 12 bytes, flushed before they would fill 4 KiB."""
@@ -416,19 +495,22 @@ def restore_order(spark, sf_dir):
     return entries.groupBy("doc_id").agg(ordered.alias("x")).select("doc_id", F.array_join("x.share_fp", ",").alias("fps"))
 
 
-@query("SELECT 0::BIGINT AS n_wrong")
+@query("SELECT count(*)::BIGINT AS n_files, 0::BIGINT AS n_wrong, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents WHERE text <> ''")
 def restore_roundtrip(spark, sf_dir):
-    """Files whose restored digest isn't the original's: none."""
+    """Restored files and their bytes, and those whose digest isn't the original's."""
     docs = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
-    return docs.exceptAll(restore_plain(spark, sf_dir)).agg(F.count("*").alias("n_wrong"))
+    found = _secrets(spark, sf_dir)
+    whole = recipes.restore(_doc(recipes.recipe_entries(dedup.plain_shares(found))), _stored(found), ["doc_id"]).select("doc_id", F.md5("content").alias("restored"), F.octet_length("content").alias("n"))
+    wrong = F.count_if(~F.col("digest").eqNullSafe(F.col("restored")))
+    return whole.join(docs, "doc_id", "full").agg(F.count("restored").alias("n_files"), wrong.alias("n_wrong"), F.sum("n").alias("bytes"))
 
 
-@query("SELECT 0 AS found WHERE false")
+@query(S + "SELECT doc_id, secret_id, fp AS share_fp FROM h WHERE fp < '1'")
 def restore_missing(spark, sf_dir):
-    """Recipe entries whose share isn't stored: none, by an anti join."""
+    """Recipe entries whose share isn't stored, where a sixteenth of the shares is lost, by an anti join."""
     found = _secrets(spark, sf_dir)
-    lost = recipes.recipe_entries(dedup.plain_shares(found)).join(_stored(found), ["cloud", "share_fp"], "left_anti")
-    return lost.select(F.lit(0).alias("found"))
+    lost = recipes.recipe_entries(dedup.plain_shares(found)).join(_stored(found).where("share_fp >= '1'"), ["cloud", "share_fp"], "left_anti")
+    return _doc(lost).select("doc_id", "secret_id", "share_fp")
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -439,6 +521,56 @@ def store_roundtrip(spark, sf_dir):
     return store.restore().select(F.element_at(F.split("file_name", "/"), 3).cast("long").alias("doc_id"), F.md5("content").alias("digest"))
 
 
+def _versions(docs: DataFrame) -> DataFrame:
+    """Of three documents the second is changed, the third emptied."""
+    text = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("changed "), "text")).when(F.col("doc_id") % 3 == 2, "").otherwise(F.col("text"))
+    return docs.withColumn("text", text)
+
+
+_VERSIONS = "CASE doc_id % 3 WHEN 1 THEN 'changed ' || text WHEN 2 THEN '' ELSE text END"
+
+
+@query(f"SELECT doc_id, octet_length(encode({_VERSIONS}))::BIGINT AS bytes, md5({_VERSIONS}) AS digest FROM documents")
+def store_reingest(spark, sf_dir):
+    """A store that is opened again takes the documents anew, of three the first as it was: the last versions come back, out of containers."""
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "store")
+    DedupStore(spark, folder, StoreConfig(ChunkSpec("fixed", 2048))).ingest(document_files(docs))
+    store = DedupStore(spark, folder, StoreConfig(ChunkSpec("fixed", 2048)))
+    store.ingest(document_files(_versions(docs)))
+    whole = store.restore()
+    return whole.select(F.element_at(F.split("file_name", "/"), 3).cast("long").alias("doc_id"), F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE octet_length(encode(text)) END::BIGINT AS bytes, (CASE WHEN doc_id % 2 = 0 THEN 0 ELSE (octet_length(encode(text)) + 2047) // 2048 END)::BIGINT AS num_shares FROM documents")
+def store_empty_files(spark, sf_dir):
+    """The recipes of a store in which every other file is empty, or null, and the bytes that come back."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 != 2, F.col("text")))
+    store = DedupStore(spark, new_folder(spark, "store"), StoreConfig(ChunkSpec("fixed", 2048), delta=False))
+    store.ingest(document_files(docs))
+    bytes_ = store.restore().select("user_id", "file_name", F.octet_length("content").cast("long").alias("bytes"))
+    found = store.files().join(bytes_, ["user_id", "file_name"])
+    return found.select(F.element_at(F.split("file_name", "/"), 3).cast("long").alias("doc_id"), "bytes", "num_shares")
+
+
+@query((S + """SELECT 0 AS cloud, count(*)::BIGINT AS total, count(*) FILTER (dup_class = 'new')::BIGINT AS n_new, count(*) FILTER (dup_class = 'intra')::BIGINT AS intra_dup,
+sum(size)::BIGINT AS secret_bytes, coalesce(sum(size) FILTER (dup_class = 'new'), 0)::BIGINT AS new_bytes, coalesce(sum(size) FILTER (dup_class <> 'new'), 0)::BIGINT AS dedup_bytes,
+(24 * (SELECT count(*) FROM f) + 44 * count(*))::BIGINT AS recipe_bytes FROM k""").replace("1024", "2048").replace("1023", "2047"))
+def store_report(spark, sf_dir):
+    """The report of a store, with the bytes of its recipes; bytes stored and bytes saved by deltas are those of new shares."""
+    store = DedupStore(spark, new_folder(spark, "store"), StoreConfig(ChunkSpec("fixed", 2048)))
+    store.ingest(document_files(table(spark, sf_dir, "documents")))
+    return store.report().select("cloud", "total", (F.col("n_unique") + F.col("delta")).alias("n_new"), "intra_dup", "secret_bytes", (F.col("share_bytes") + F.col("delta_saved")).alias("new_bytes"), "dedup_bytes", "recipe_bytes")
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, md5(text) AS md5 FROM documents")
+def store_export(spark, sf_dir):
+    """Restored files, each written as a file of its own, a part at a time."""
+    store = DedupStore(spark, new_folder(spark, "store"), StoreConfig(ChunkSpec("fixed", 2048)))
+    store.ingest(document_files(table(spark, sf_dir, "documents")))
+    written = export_files(store.restored_parts(), new_folder(spark, "export"))
+    return written.select(F.element_at(F.split("file_name", "/"), 3).cast("long").alias("doc_id"), "bytes", "md5")
+
+
 @query("SELECT page_id, md5(html) AS digest FROM pages")
 def store_roundtrip_coded(spark, sf_dir):
     """Pages through content-defined chunks, convergent dispersal and deltas of shares, out of three of the four clouds."""
@@ -551,11 +683,12 @@ def kv_custom_order(spark, sf_dir):
     return _log(spark, sf_dir).scan(order=F.reverse(F.col("key").cast("string")), limit=20).select("key", "value")
 
 
-@query("SELECT count(*)::BIGINT AS n_keys, count(*)::BIGINT AS n_found FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("SELECT (o_custkey % 2 = 0) AS put_in, count(*)::BIGINT AS n_keys, (o_custkey % 2 = 0) AS all_found, (o_custkey % 2 = 1) AS few_found FROM (SELECT DISTINCT o_custkey FROM orders) GROUP BY o_custkey % 2")
 def kv_bloom(spark, sf_dir):
-    """Keys that were put in, and how many the filter finds: all."""
+    """A filter of the even keys, probed with all: it finds all of those and, for 20 bits a key, under 1 % of the odd ones."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
-    return bloom_probe(keys, bloom_build(keys)).agg(F.count("*").alias("n_keys"), F.count_if("may_contain").alias("n_found"))
+    probed = bloom_probe(keys, bloom_build(keys.where("key % 2 = 0"))).groupBy((F.col("key") % 2 == 0).alias("put_in")).agg(F.count("*").alias("n_keys"), F.count_if("may_contain").alias("n"))
+    return probed.select("put_in", "n_keys", (F.col("n") == F.col("n_keys")).alias("all_found"), (F.col("n") < F.col("n_keys") / 100).alias("few_found"))
 
 
 # similarity and deltas
@@ -650,13 +783,13 @@ def delta_listing(spark, sf_dir):
     return found.select("share_fp", "n", "i.*")
 
 
-@query(S.replace("1024", "2048").replace("1023", "2047") + "SELECT doc_id, true AS same FROM f WHERE octet_length(b) >= 2048")
+@query(S.replace("1024", "2048").replace("1023", "2047") + "SELECT doc_id, CASE WHEN octet_length(b) >= 1024 THEN true END AS same FROM f")
 def delta_merged(spark, sf_dir):
-    """Each document of 2048 bytes or more, with a line more, and one more still: a delta merged out of two makes the second out of the document."""
+    """Each document, with a line more, and one more still: a delta merged out of two makes the second out of the document; null below the least base."""
     base = F.encode("text", "UTF-8")
     once, twice = F.encode(F.concat(F.lit("a first line\n"), "text"), "UTF-8"), F.encode(F.concat(F.lit("a first line\n"), "text", F.lit("\na last line")), "UTF-8")
-    rows = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 2048).select("doc_id", base.alias("base"), once.alias("once"), twice.alias("twice"))
-    merged = D.delta_merge(D.delta_encode(F.col("base"), F.col("once")), D.delta_encode(F.col("once"), F.col("twice")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", base.alias("base"), once.alias("once"), twice.alias("twice"))
+    merged = D.delta_merge(D.delta_encode(F.col("base"), F.col("once")), D.delta_encode(F.col("once"), F.col("twice")))  # null where a base is too short
     return rows.select("doc_id", (D.delta_decode(F.col("base"), merged) == F.col("twice")).alias("same"))
 
 
@@ -685,6 +818,14 @@ def caont_encode(spark, sf_dir):
     return _doc(shares).select("doc_id", "secret_id", "cloud", "share_size", F.sha2("data", 256).alias("share_fp"))
 
 
+@query(S.replace("1024", "8192").replace("1023", "8191") + """, n AS (SELECT unnest(range(0, 4))::INTEGER AS cloud)
+SELECT doc_id, secret_id, cloud, (((CASE WHEN (size + 16) % 48 = 0 THEN size ELSE 48 * ((size + 16) // 48 + 1) - 16 END) + 16) // 3)::INTEGER AS share_size FROM h, n""")
+def caont_sizes(spark, sf_dir):
+    """The size of each share of each secret, as its bytes have it."""
+    shares = codec.encode_shares(_secrets(spark, sf_dir, ChunkSpec("fixed", 8192)), CodecSpec())
+    return _doc(shares).select("doc_id", "secret_id", "cloud", F.octet_length("data").alias("share_size"))
+
+
 @query(S.replace("1024", "8192").replace("1023", "8191") + "SELECT fp, count(*)::BIGINT AS n_secrets, 4::BIGINT AS n_shares FROM h GROUP BY fp")
 def caont_convergence(spark, sf_dir):
     """Secrets by content, and their different shares: four, one in each cloud, however often a secret comes."""
@@ -723,12 +864,31 @@ def name_shares(spark, sf_dir):
     return codec.encode_names(document_files(table(spark, sf_dir, "documents")))
 
 
-@query(S + """, a AS (SELECT *, CASE WHEN (size + 16) % 48 = 0 THEN size ELSE 48 * ((size + 16) // 48 + 1) - 16 END AS n FROM h),
-p AS (SELECT doc_id, secret_id, n, d || unhex(repeat('00', (n - size)::INTEGER)) || unhex('01' || repeat('00', 15)) AS x FROM a), q AS (SELECT unnest(range(0, 3)) AS cloud)
-SELECT doc_id, secret_id, cloud::INTEGER AS cloud, md5(x[cloud * (n + 16) // 3 + 1 : (cloud + 1) * (n + 16) // 3]) AS digest FROM p, q""")
+@query("SELECT '/documents/' || doc_id AS file_name, '/documents/' || doc_id AS opened FROM documents")
+def name_roundtrip(spark, sf_dir):
+    """File names out of three of the names under which the clouds know them."""
+    spec = CodecSpec("caont_name")
+    names = codec.encode_names(document_files(table(spark, sf_dir, "documents")), spec)
+    shares = names.withColumns({"data": F.unhex("share"), "secret_size": (F.octet_length("file_name") + 1).cast("int")})
+    opened = codec.decode_shares(shares, ["file_name"], spec, [0, 1, 3])
+    return opened.select("file_name", F.decode(F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 1), "UTF-8").alias("opened"))
+
+
+#: Products of a byte with the two factors of the parity share other than 1, as sums of those of its bits; 142 and 244 are the inverses of 2 and 3.
+_TIMES = """g AS (SELECT c, 0 AS k, c AS v FROM (VALUES (142), (244)) AS t(c) UNION ALL SELECT c, k + 1, CASE WHEN v >= 128 THEN xor(v * 2, 285) ELSE v * 2 END FROM g WHERE k < 7),
+m AS (SELECT c, list(p ORDER BY x) AS t FROM (SELECT c, x, coalesce(bit_xor(v) FILTER ((x >> k) & 1 = 1), 0) AS p FROM g, unnest(range(0, 256)) AS r(x) GROUP BY c, x) GROUP BY c)"""
+
+
+@query(S.replace("WITH f", "WITH RECURSIVE f") + ", " + _TIMES + """, a AS (SELECT *, CASE WHEN (size + 16) % 48 = 0 THEN size ELSE 48 * ((size + 16) // 48 + 1) - 16 END AS n FROM h),
+p AS (SELECT doc_id, secret_id, n, d || unhex(repeat('00', (n - size)::INTEGER)) || unhex('01' || repeat('00', 15)) AS x FROM a), q AS (SELECT unnest(range(0, 3)) AS cloud),
+z AS (SELECT doc_id, secret_id, (n + 16) // 3 AS w, list_transform(range(0, n + 16), lambda i: ('0x' || hex(x[i + 1 : i + 1]))::INTEGER) AS v FROM p),
+r AS (SELECT doc_id, secret_id, array_to_string(list_transform(range(0, w), lambda i: printf('%02X', xor(xor(v[i + 1], t2.t[v[w + i + 1] + 1]), t3.t[v[2 * w + i + 1] + 1]))), '') AS parity
+      FROM z, (SELECT t FROM m WHERE c = 142) t2, (SELECT t FROM m WHERE c = 244) t3)
+SELECT doc_id, secret_id, cloud::INTEGER AS cloud, md5(x[cloud * (n + 16) // 3 + 1 : (cloud + 1) * (n + 16) // 3]) AS digest FROM p, q
+UNION ALL SELECT doc_id, secret_id, 3, md5(unhex(parity)) FROM r""")
 def none_shares(spark, sf_dir):
-    """Shares without encryption: three are parts of the secret."""
-    shares = codec.encode_shares(_secrets(spark, sf_dir), CodecSpec("none")).where("cloud < 3")
+    """Shares without encryption: three are parts of the secret, the fourth is their parity."""
+    shares = codec.encode_shares(_secrets(spark, sf_dir), CodecSpec("none"))
     return _doc(shares).select("doc_id", "secret_id", "cloud", F.md5("data").alias("digest"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,40 +12,79 @@ from pyspark.sql import functions as F
 from loam.functions.chunking import ChunkSpec
 from loam.functions.features import super_features
 from loam.operators import dedup, metrics, packing, recipes, similarity
-from loam.operators.chunks import secrets
+from loam.operators.chunks import part_secrets, secrets
 from loam.operators.codec import CodecSpec, decode_shares, encode_shares
+from loam.sources.files import PART_BYTES
+from loam.sources.shared import Folder
+
+#: Bytes of a lane, and consecutive shares of a file that stay in one lane.
+LANE_BYTES, RUN_SHARES = 1 << 30, 4096
 
 
 @dataclass(frozen=True)
 class StoreConfig:
+    """lanes: sequences of containers that are filled side by side; None: one for each LANE_BYTES of an ingest."""
+
     chunks: ChunkSpec = ChunkSpec()
     codec: CodecSpec | None = None
     delta: bool = True
     features: str = "finesse"
-    lanes: int = 16
+    lanes: int | None = None
 
 
 class DedupStore:
-    """Tables below a folder that driver and executors share: entries, recipes, stored, containers, shares.
+    """Tables below a folder that driver and executors share, a part for each ingest:
 
-    An ingest appends; what earlier ones stored is not stored again, and can be a file's share, but deltas have bases of their own ingest. All tables
-    have the cloud as a column, as every cloud has an index of its own.
-    """
+    files (a row for each upload and cloud: its recipe's head), entries (recipes), shares (a row for each unique share: delta, lane, container, offset,
+    length), containers (the shares' places), payloads (the containers' bytes) and classes (every share with its class and sizes). All have the cloud as a
+    column, as every cloud has an index of its own.
 
-    def __init__(self, spark: SparkSession, folder: str, config: StoreConfig = StoreConfig()) -> None:
-        self.spark, self.folder, self.config = spark, folder.rstrip("/"), config
-        self.ingests = 0
+    An ingest writes its parts below a folder of its own attempt, which counts once its commit is written, as the last thing: an ingest that failed
+    leaves nothing that is read, and the next takes its number. A store can be opened again by another session; its configuration is kept with it, and
+    has to be the same. What earlier ingests stored is not stored again, and can be a file's share, but deltas have bases of their own ingest. The bytes
+    of duplicates are written to the attempt's work folder only, which goes with the commit.
+    """
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+    TABLES = ("files", "entries", "shares", "containers", "payloads", "classes")
 
-    def _append(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("append").parquet(f"{self.folder}/{name}")
-        return df
+    def __init__(self, spark: SparkSession, folder: str, config: StoreConfig = StoreConfig(), clean: bool = False) -> None:
+        """clean: removes whatever the folder has. ValueError if the store there was made with another configuration."""
+        self.spark, self.folder, self.config = spark, folder.rstrip("/"), config
+        self.disk = Folder(spark, self.folder)
+        if clean:
+            self.disk.remove("")
+        made = json.dumps(asdict(config) | {"lanes": None}, sort_keys=True)
+        kept = self.disk.read("config.json")
+        if kept is None:
+            self.disk.create("config.json", made)
+        elif kept != made:
+            raise ValueError(f"the store in {folder} was made with {kept}")
+
+    @property
+    def ingests(self) -> int:
+        """How many ingests are committed."""
+        return len(self._commits())
+
+    def _commits(self) -> list[str]:
+        """The attempts that count, in order."""
+        numbers = sorted(int(x) for x in self.disk.names("commits"))
+        if numbers != list(range(len(numbers))):
+            raise ValueError(f"commits {numbers} of {self.folder} have gaps")
+        return [self.disk.read(f"commits/{n}") for n in numbers]
+
+    def _table(self, name: str, until: int | None = None) -> DataFrame:
+        """The rows of all committed ingests, or of those before `until`, with their number in `ingest`."""
+        commits = self._commits()[:until]
+        if not commits:
+            raise ValueError(f"nothing has been stored in {self.folder}")
+        base = f"{self.folder}/{name}"
+        paths = [f"{base}/ingest={n}/attempt={a}" for n, a in enumerate(commits)]
+        return self.spark.read.option("basePath", base).parquet(*paths).drop("attempt")
 
     def shares(self, files: DataFrame) -> DataFrame:
-        """Shares with their bytes."""
-        found = secrets(files, self.config.chunks)
+        """Shares with their bytes, of files in rows, or in parts (with columns part, n_parts)."""
+        in_parts = "part" in files.columns
+        found = part_secrets(files, self.config.chunks, PART_BYTES) if in_parts else secrets(files, self.config.chunks)
         if self.config.codec is None:
             found = found.withColumns({"cloud": F.lit(0), "share_size": F.col("secret_size")})
         else:
@@ -51,68 +92,113 @@ class DedupStore:
         return found.withColumn("share_fp", dedup.fingerprint(F.col("data")))
 
     def ingest(self, files: DataFrame) -> None:
-        """Stores `files` (see sources.files.FILES); seq has to be larger than in earlier ingests for a name's new version to hold."""
-        n = self.ingests
-        whole = f"{self.folder}/shares/ingest={n}"
-        self.shares(files).write.parquet(whole)  # chunked, encoded and hashed once
-        whole = self.spark.read.parquet(whole)
+        """Stores `files` (see sources.files.FILES), whose seq tells them apart; of a user's name the version with the largest seq of the last ingest
+        that has one holds. Null contents are stored as empty ones. Large files may come in parts (sources.files.folder_parts). Raises, and stores
+        nothing, if another ingest was committed meanwhile.
+        """
+        n, attempt = self.ingests, uuid.uuid4().hex
+        work = f"{self.folder}/work/{attempt}"
+
+        def once(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{work}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            path = f"{self.folder}/{name}/ingest={n}/attempt={attempt}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        files = files.withColumns({"content": F.coalesce("content", F.lit(b"")), "file_size": F.coalesce("file_size", F.lit(0).cast("long"))})
+        whole = once(self.shares(files), "shares")  # chunked, encoded and hashed once
         shares = whole.drop("data")
-        classes = dedup.classify(shares)
-        unique = dedup.unique_shares(shares)
-        if n:
-            known = self._table("stored").select("cloud", F.col("share_fp"))
-            unique = unique.join(known, ["cloud", "share_fp"], "left_anti")
-            old = known.withColumn("known", F.lit(True))
-            classes = classes.join(old, ["cloud", "share_fp"], "left")
-            classes = classes.withColumn("dup_class", F.when((F.col("dup_class") == "new") & F.col("known"), "inter").otherwise(F.col("dup_class"))).drop("known")
-        place = ["cloud", "share_fp", "seq", "secret_id"]
-        data = whole.join(unique.select(*place), place, "left_semi").groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data"))
+        clouds = 1 if self.config.codec is None else self.config.codec.n
+        firsts = files.where("part = 0") if "part" in files.columns else files
+        heads = firsts.select("user_id", "file_name", "seq", "file_size", F.explode(F.sequence(F.lit(0), F.lit(clouds - 1))).alias("cloud"))
+        put(recipes.heads(heads, shares), "files")
+        put(recipes.recipe_entries(shares), "entries")
+        owners = self._table("classes", n).select("cloud", "share_fp", "user_id") if n else None
+        classes = once(dedup.classify(shares, owners), "classes")
+        unique = dedup.unique_shares(classes.where("dup_class = 'new'").select("cloud", "share_fp", "seq", "secret_id", "share_size"))
+        data = whole.join(unique.select("cloud", "share_fp", "seq", "secret_id"), ["cloud", "share_fp", "seq", "secret_id"], "left_semi")
+        data = once(data.groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data")), "data")
         if self.config.delta:
-            path = f"{self.folder}/features/ingest={n}"  # used many times: computed once
-            data.select("cloud", "share_fp", super_features(F.col("data"), self.config.features).alias("features")).write.parquet(path)
-            features = self.spark.read.parquet(path)
+            features = once(data.select("cloud", "share_fp", super_features(F.col("data"), self.config.features).alias("features")), "features")
             stored = similarity.with_deltas(similarity.select_bases(unique.join(features, ["cloud", "share_fp"])), data).drop("features")
+            stored = once(stored.select("cloud", "share_fp", "seq", "secret_id", "share_size", "delta_depth", "delta_size", "base_fp", F.col("stored").alias("data")), "stored")
+            sizes, data = stored.drop("data").withColumn("length", F.coalesce(F.col("delta_size").cast("int"), "share_size")), stored.select("cloud", "share_fp", "data")
         else:
             none = {"delta_depth": F.lit(0), "delta_size": F.lit(None).cast("long"), "base_fp": F.lit(None).cast("string")}
-            stored = unique.join(data, ["cloud", "share_fp"]).withColumns(none).withColumnRenamed("data", "stored")
-        self._append(stored.select("cloud", "share_fp", "seq", "secret_id", "share_size", "delta_depth", "delta_size", "base_fp", "stored").withColumn("ingest", F.lit(n)), "stored")
-        mine = self._table("stored").where(F.col("ingest") == n)
-        lanes = F.pmod(F.xxhash64("seq"), F.lit(self.config.lanes))
-        sized = mine.select("cloud", "share_fp", "seq", "secret_id", F.octet_length("stored").alias("length"))
-        self._append(packing.containers(sized, ["seq", "secret_id"], lanes).withColumn("ingest", F.lit(n)), "containers")
-        self._append(recipes.recipe_entries(shares), "entries")
-        self._append(recipes.recipes(shares), "recipes")
-        sizes = mine.select("cloud", "share_fp", "delta_size")
-        firsts = classes.where("dup_class = 'new'").join(sizes, ["cloud", "share_fp"], "left")
-        self._append(firsts.unionByName(classes.where("dup_class != 'new'").withColumn("delta_size", F.lit(None).cast("long"))), "classes")
-        self.ingests += 1
+            sizes = unique.withColumns(none).withColumn("length", F.col("share_size"))
+        lanes = self.config.lanes or max(1, -(-(sizes.agg(F.sum("length")).first()[0] or 0) // LANE_BYTES))
+        run = F.pmod(F.xxhash64("seq", F.floor(F.col("secret_id") / RUN_SHARES)), F.lit(lanes))
+        places = put(packing.containers(sizes, ["seq", "secret_id"], run), "containers")
+        put(sizes.drop("length").join(places, ["cloud", "share_fp"]), "shares")
+        put(packing.container_payloads(places, data), "payloads")
+        first = classes.where("dup_class = 'new'").join(sizes.select("cloud", "share_fp", "delta_size"), ["cloud", "share_fp"], "left")
+        slim = first.unionByName(classes.where("dup_class != 'new'").withColumn("delta_size", F.lit(None).cast("long")))
+        put(slim.select("cloud", "share_fp", "user_id", "secret_size", "share_size", "dup_class", "delta_size"), "classes")
+        if not self.disk.create(f"commits/{n}", attempt):
+            self.disk.remove(f"work/{attempt}")
+            raise RuntimeError(f"ingest {n} of {self.folder} was committed by another")
+        self.disk.remove(f"work/{attempt}")
+
+    def vacuum(self) -> None:
+        """Removes what ingests that failed have left. None may be running."""
+        self.disk.remove("work")
+        commits = self._commits()
+        for name in self.TABLES:
+            for part in self.disk.names(name):
+                n = int(part.partition("=")[2])
+                for attempt in self.disk.names(f"{name}/{part}"):
+                    if n >= len(commits) or attempt != f"attempt={commits[n]}":
+                        self.disk.remove(f"{name}/{part}/{attempt}")
 
     def index(self) -> DataFrame:
         """Every share with its size, owners, delta and container."""
-        entry = self._table("stored").drop("stored", "seq", "secret_id", "share_size").join(self._table("containers").drop("ingest"), ["cloud", "share_fp"]).drop("ingest")
+        entry = self._table("shares").drop("ingest", "seq", "secret_id", "share_size")
         return dedup.share_index(self._table("classes")).join(entry, ["cloud", "share_fp"])
 
     def report(self) -> DataFrame:
-        return metrics.dedup_report(self._table("classes"), ["cloud"])
+        """The report of all ingests, for each cloud, with the bytes of recipes."""
+        entries = self._table("entries").groupBy("cloud").agg(F.count("*").alias("n"))
+        heads = self._table("files").groupBy("cloud").agg(F.count("*").alias("m"))
+        found = metrics.dedup_report(self._table("classes"), ["cloud"]).join(heads, "cloud").join(entries, "cloud", "left")
+        return found.withColumn("recipe_bytes", metrics.recipe_bytes(F.col("m"), F.coalesce("n", F.lit(0)))).drop("n", "m")
 
     def files(self) -> DataFrame:
         """The last version of each file."""
-        return recipes.latest(self._table("recipes"))
+        return recipes.latest(self._table("files"), ["ingest", "seq"])
 
-    def restore(self, files: DataFrame | None = None, clouds: list[int] | None = None) -> DataFrame:
-        """(user_id, file_name, content) of the last version of all files, or of those of `files` (user_id, file_name)."""
-        wanted = self.files()
-        if files is not None:
-            wanted = wanted.join(files.select("user_id", "file_name").distinct(), ["user_id", "file_name"], "left_semi")
+    def restored_parts(self, files: DataFrame | None = None, clouds: list[int] | None = None) -> DataFrame:
+        """(user_id, file_name, pos, data): the secrets of the last version of all files, or of those of `files` (user_id, file_name), out of containers.
+
+        `pos` orders a file's; an empty one has a row with null data. Shares that aren't there raise when it is run.
+        """
         codec = self.config.codec
         chosen = [0] if codec is None else clouds or list(range(codec.k))
-        wanted = wanted.where(F.col("cloud").isin(chosen))
-        names = wanted.select("recipe_fp", "cloud", "seq", "user_id", "file_name")
-        entries = self._table("entries").join(names, ["recipe_fp", "cloud", "seq"])
-        data = similarity.resolve_deltas(self._table("stored"))
-        parts = recipes.fetch(entries, data)
+        wanted = self._wanted(files).where(F.col("cloud").isin(chosen))
+        key = ["recipe_fp", "cloud", "ingest", "seq"]
+        entries = self._table("entries").join(wanted.select(*key, "user_id", "file_name"), key).drop("ingest", "seq")
+        index = self._table("shares")
+        if files is not None:  # just the shares of these files, and their bases
+            own = index.join(entries.select("cloud", "share_fp").distinct(), ["cloud", "share_fp"], "left_semi")
+            bases = own.where("base_fp is not null").select("cloud", F.col("base_fp").alias("share_fp"))
+            index = index.join(own.select("cloud", "share_fp").union(bases).distinct(), ["cloud", "share_fp"], "left_semi")
+        stored = packing.read_slices(index, self._table("payloads"), ["ingest", "cloud", "lane", "container"]).withColumnRenamed("data", "stored")
+        parts = recipes.fetch(entries, similarity.resolve_deltas(stored))
         if codec is not None:
             parts = decode_shares(parts.select("user_id", "file_name", "pos", "secret_size", "cloud", "data"), ["user_id", "file_name", "pos"], codec, chosen)
-        whole = recipes.reassemble(parts, ["user_id", "file_name"])
-        empty = wanted.select("user_id", "file_name").distinct()
-        return empty.join(whole, ["user_id", "file_name"], "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+        empty = wanted.where((F.col("num_shares") == 0) & (F.col("cloud") == chosen[0]))
+        return parts.select("user_id", "file_name", "pos", "data").union(empty.select("user_id", "file_name", F.lit(0), F.lit(None).cast("binary")))
+
+    def _wanted(self, files: DataFrame | None) -> DataFrame:
+        if files is None:
+            return self.files()
+        return self.files().join(files.select("user_id", "file_name").distinct(), ["user_id", "file_name"], "left_semi")
+
+    def restore(self, files: DataFrame | None = None, clouds: list[int] | None = None) -> DataFrame:
+        """(user_id, file_name, content) of the last version of all files, or of those of `files` (user_id, file_name). For files too large for a row
+        see restored_parts and sources.files.export_files.
+        """
+        whole = recipes.reassemble(self.restored_parts(files, clouds), ["user_id", "file_name"])
+        return whole.withColumn("content", F.coalesce("content", F.lit(b"")))

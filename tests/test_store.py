@@ -130,7 +130,7 @@ def test_store(spark, tmp_path, config):
     store.ingest(files_of(spark, FILES))
     newer = files_of(spark, [(1, "/one", BIG[:5000]), (9, "/other", BIG[100:20_000])]).withColumn("seq", F.col("seq") + 100)
     store.ingest(newer)
-    want = {(u, n): c for u, n, c in FILES if n != "/empty"} | {(1, "/one"): BIG[:5000], (9, "/other"): BIG[100:20_000]}
+    want = {(u, n): c for u, n, c in FILES} | {(1, "/one"): BIG[:5000], (9, "/other"): BIG[100:20_000]}
     assert {(r.user_id, r.file_name): bytes(r.content) for r in store.restore().collect()} == want
     one = spark.createDataFrame([(3, "/big")], "user_id int, file_name string")
     clouds = [1, 2, 4] if config.codec else None
@@ -194,3 +194,94 @@ def test_layout(spark):
     packed = df.withColumn("p", pack_entry(F.col("f"), F.col("a"), F.col("b"), F.col("c")))
     got = packed.withColumn("u", unpack_entry(F.col("p"))).collect()
     assert [tuple(r.u) for r in got[:2]] == rows[:2] and got[2].p is None and len(got[0].p) == 44
+
+
+def test_a_store_that_is_opened_again(spark, tmp_path):
+    """Changed, unchanged and empty files, in three sessions' ingests; read from containers, and without duplicates on disk."""
+    at, config = f"file://{tmp_path}/store", StoreConfig(ChunkSpec("fixed", 4096))
+    (tmp_path / "in").mkdir()
+    names = {"same": BIG[:20_000], "changed": BIG[:5000], "empty": b"", "filled": b""} | {f"copy{i}": BIG for i in range(10)}
+    for name, content in names.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    DedupStore(spark, at, config).ingest(S.folder_files(spark, f"{tmp_path}/in", 7))
+    names |= {"changed": BIG[10_000:15_000], "filled": b"now it has", "new": BIG[39_000:]}
+    for name in ("changed", "filled", "new"):
+        (tmp_path / "in" / name).write_bytes(names[name])
+    store = DedupStore(spark, at, config)
+    assert store.ingests == 1
+    store.ingest(S.folder_files(spark, f"{tmp_path}/in", 7))
+    restored = lambda s: {r.file_name.rpartition("/")[2]: bytes(r.content) for r in s.restore().collect()}
+    assert restored(DedupStore(spark, at, config)) == names
+    (tmp_path / "in" / "changed").write_bytes(b"")
+    store.ingest(S.folder_files(spark, f"{tmp_path}/in", 7))
+    assert restored(store) == names | {"changed": b""} and store.ingests == 3
+    held = sum(p.stat().st_size for p in (tmp_path / "store").rglob("*.parquet"))
+    assert held < 200_000 and not list((tmp_path / "store" / "work").glob("*"))  # 40 kB once, and the tables
+    assert store._table("payloads").agg(F.sum(F.octet_length("payload"))).first()[0] < 80_000
+    again = store._table("classes").where("ingest > 0").groupBy("dup_class").count().collect()
+    assert {r.dup_class: r["count"] for r in again}["new"] < 10 and "inter" not in {r.dup_class for r in again}
+    with pytest.raises(ValueError):
+        DedupStore(spark, at, StoreConfig(ChunkSpec("fixed", 8192)))
+    assert DedupStore(spark, at, StoreConfig(ChunkSpec("fixed", 8192)), clean=True).ingests == 0
+
+
+def test_an_ingest_that_fails_leaves_nothing(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    store = DedupStore(spark, at, StoreConfig(ChunkSpec("fixed", 4096)))
+    with pytest.raises(ValueError):
+        store.restore()
+    store.ingest(files_of(spark, FILES))
+    broken = files_of(spark, [(1, "/one", b"z"), (1, "/bad", b"x")]).withColumn("file_size", F.when(F.col("file_name") == "/bad", F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("file_size")))
+    with pytest.raises(Exception, match="lost"):
+        store.ingest(broken)
+    assert store.ingests == 1 and {r.file_name: bytes(r.content) for r in store.restore().collect()} == {n: c for _, n, c in FILES}
+    late = DedupStore(spark, at, store.config)
+    late.disk.create = lambda name, text: False  # as if another had been first
+    with pytest.raises(RuntimeError):
+        late.ingest(files_of(spark, [(1, "/one", b"z")]))
+    store.vacuum()
+    assert not list((tmp_path / "store" / "work").glob("*")) and [p.name for p in (tmp_path / "store" / "classes").glob("*/*")] == [f"attempt={store._commits()[0]}"]
+    store.ingest(files_of(spark, [(1, "/one", b"z")]))
+    assert {r.file_name: bytes(r.content) for r in DedupStore(spark, at, store.config).restore().collect()}["/one"] == b"z"
+
+
+def test_files_in_parts(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from loam.plans import store as store_
+
+    monkeypatch.setattr(store_, "PART_BYTES", 8192)
+    monkeypatch.setattr(S, "WRITE_BYTES", 5000)
+    (tmp_path / "in").mkdir()
+    names = {"big": BIG, "exact": BIG[:16384], "less": BIG[:100], "empty": b""}
+    for name, content in names.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    parts = S.folder_parts(spark, f"file://{tmp_path}/in", 3, 8192)
+    assert parts.where("octet_length(content) > 8192").count() == 0 and parts.where("endswith(file_name, 'big')").count() == 5
+    for i, chunks in enumerate([ChunkSpec("fixed", 4096), ChunkSpec("cdc", 1024, 256, 4096, 48)]):
+        store = DedupStore(spark, f"file://{tmp_path}/store{i}", StoreConfig(chunks))
+        store.ingest(parts)
+        assert {r.file_name.rpartition("/")[2]: bytes(r.content) for r in store.restore().collect()} == names
+        out = S.export_files(store.restored_parts(), f"file://{tmp_path}/out{i}").collect()
+        assert {r.file_name.rpartition("/")[2]: (r.bytes, r.md5) for r in out} == {n: (len(c), hashlib.md5(c).hexdigest()) for n, c in names.items()}
+        for r in out:
+            assert S.arrow_path(r.path)[0].open_input_file(S.arrow_path(r.path)[1]).read() == names[r.file_name.rpartition("/")[2]]
+    whole = secrets(S.folder_files(spark, f"file://{tmp_path}/in", 3), ChunkSpec("fixed", 4096))
+    from loam.operators.chunks import part_secrets
+
+    assert sorted(map(tuple, part_secrets(parts, ChunkSpec("fixed", 4096), 8192).drop("seq").collect())) == sorted(map(tuple, whole.drop("seq").collect()))
+    with pytest.raises(ValueError):
+        part_secrets(parts, ChunkSpec("fixed", 5000), 8192)
+    bad = spark.createDataFrame([(1, "/a/../../b", 0, bytearray(b"x"))], "user_id int, file_name string, pos int, data binary")
+    with pytest.raises(Exception, match="leads out"):
+        S.export_files(bad, f"file://{tmp_path}/out").collect()
+
+
+def test_resumed_recipes(spark):
+    rows = [("f", 0, 0, 0, "a"), ("f", 0, 0, 1, "b"), ("f", 0, 2, 2, "c"), ("g", 0, 0, 0, "a"), ("f", 1, 0, 0, "z")]
+    entries = spark.createDataFrame(rows, "recipe_fp string, cloud int, past int, secret_id int, share_fp string")
+    got = {(r.recipe_fp, r.cloud, r.pos): r.share_fp for r in recipes.resumed(entries).collect()}
+    assert got == {("f", 0, 0): "a", ("f", 0, 1): "b", ("f", 0, 2): "c", ("g", 0, 0): "a", ("f", 1, 0): "z"}
+    for wrong in (("f", 0, 4, 4, "x"), ("h", 0, 1, 1, "x"), ("f", 0, 1, 1, "x")):
+        with pytest.raises(Exception, match="no recipe to resume"):
+            recipes.resumed(entries.union(spark.createDataFrame([wrong], entries.schema))).collect()
