@@ -245,7 +245,7 @@ def _wide_search(radius: int):
     def whole(rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         """All runs of some rows at once."""
         group = pa.concat_tables(rows)
-        keys = np.stack([group[c].to_numpy().astype(np.int64) for c in ("mask", "key", "p", "q")])
+        keys = np.stack([group[c].to_numpy().astype(np.int64) for c in ("mask", "key")])
         run = np.cumsum(np.r_[False, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
         several = (np.bincount(run) > 1)[run]
         if several.any():
@@ -263,7 +263,7 @@ def _wide_search(radius: int):
             held.append(pa.Table.from_batches([batch]))
             if sum(x.num_rows for x in held) >= ROWS // 4:
                 group = pa.concat_tables(held)
-                keys = np.stack([group[c].to_numpy().astype(np.int64) for c in ("mask", "key", "p", "q")])
+                keys = np.stack([group[c].to_numpy().astype(np.int64) for c in ("mask", "key")])
                 last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1
                 if last:
                     yield from whole([group.slice(0, last)])
@@ -293,8 +293,7 @@ def wide_links(codes: DataFrame, similarity: float, miss: float = 0.005) -> Data
 
     So wide a radius has no exact index; a table looks at some bits only, and links the codes that agree in these and are within the radius. Bits a
     table looks at: enough for 512 codes a bucket on average, and 12 at least. Tables: see tables_for; 45 up to 2 million codes, then more, as about the
-    power 0.3 of the number of codes: 84 at 16 million, 241 at 10^9. A pair is never dropped for its bucket's size: crowded buckets are cut into blocks, and each two blocks meet in a
-    task of their own.
+    power 0.3 of the number of codes: 84 at 16 million, 241 at 10^9. A pair is never dropped for its bucket's size: see star_links for crowded ones.
     """
     n, radius = codes.count(), bit_radius(similarity)
     bits = min(40, max(12, (n // 512).bit_length()))
@@ -307,46 +306,60 @@ def wide_links(codes: DataFrame, similarity: float, miss: float = 0.005) -> Data
     spread = codes.mapInArrow(_tables(patterns, True), "mask int, key bigint, node bigint, code binary")
     keys = codes.mapInArrow(_tables(patterns, False), "mask int, key bigint")
     crowded = checkpointed(keys.groupBy("mask", "key").count().where(F.col("count") > CROWD).select("mask", "key", F.ceil(F.col("count") / CROWD).cast("int").alias("m")))
-    small = crowded.limit(20_001).count() <= 20_000
-    met = spread.join(F.broadcast(crowded) if small else crowded, ["mask", "key"], "left")
-    own = F.pmod(F.xxhash64("code"), F.coalesce("m", F.lit(1))).cast("int")
-    met = met.withColumn("a", own).withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1)))
-    met = met.select("mask", "key", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "node", "code")
-    dealt = met.repartition("mask", "key", "p", "q").sortWithinPartitions("mask", "key", "p", "q")
-    return dealt.mapInArrow(_wide_search(radius), "u bigint, v bigint")
+    few = crowded.limit(FEW + 1).count()
+    if not few:
+        dealt = spread.repartition("mask", "key").sortWithinPartitions("mask", "key")
+        return dealt.mapInArrow(_wide_search(radius), "u bigint, v bigint")
+    shared = F.broadcast(crowded) if few <= FEW else crowded
+    dealt = spread.join(shared, ["mask", "key"], "left_anti").repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return dealt.mapInArrow(_wide_search(radius), "u bigint, v bigint").union(star_links(spread, crowded, ["mask", "key"], radius, None))
 
 
-#: Documents, and shingles, of a block in which candidates are confirmed, on average: larger groups are cut into blocks, and every two meet.
-GROUP, GROUP_SHINGLES = 2048, 1 << 22
+#: Documents, and shingles, of a block in which candidates are confirmed, on average.
+GROUP, GROUP_SHINGLES = 512, 1 << 22
+#: Members of a large group with which all others are compared first; large groups that are sent to all tasks (more are joined).
+LEADERS, FEW = 4, 20_000
 
 
-def confirmed_edges(codes: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+def confirmed_edges(codes: np.ndarray, sets: list[np.ndarray] | None, radius: int, similarity: float | None, label: np.ndarray | None = None, of: int | None = None) -> list[tuple[int, int]]:
     """Edges (i, j) that connect just the sets that pairs of at least that Jaccard similarity, with codes within `radius`, connect.
 
-    Of pairs that are connected already none is measured again, so that a group of copies costs as many measurements as it has sets.
+    Of pairs that are connected already, at first those with the same label, none is measured again, so that a group of copies costs as many
+    measurements as it has sets. `of`: only pairs of one of the first so many. Without sets, codes within the radius are enough.
     """
-    size = np.array([len(x) for x in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.cumsum(size) - size
-    label, held, found = np.arange(len(sets)), np.zeros(int(ids.max(initial=-1)) + 1, bool), []
-    for i in range(len(sets) - 1):
-        rest = np.arange(i + 1, len(sets))
-        small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
-        rest = rest[(label[rest] != label[i]) & (small >= similarity * large - 1e-9)]
+    label, found = np.arange(len(codes)) if label is None else label.copy(), []
+    if sets is not None:
+        size = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        held = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    for i in range(len(codes) - 1 if of is None else of):
+        rest = np.arange(i + 1, len(codes))
+        rest = rest[label[rest] != label[i]]
+        if sets is not None:
+            small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+            rest = rest[small >= similarity * large - 1e-9]
         rest = rest[np.bitwise_count(codes[rest] ^ codes[i]).sum(axis=1, dtype=np.int64) <= radius]
         if not len(rest):
             continue
-        own = ids[start[i] : start[i] + size[i]]
-        held[own] = True
-        common = np.array([np.count_nonzero(held[ids[start[j] : start[j] + size[j]]]) for j in rest])
-        held[own] = False
-        near = rest[common >= similarity * (size[i] + size[rest] - common) - 1e-9]
-        roots, first = np.unique(label[near], return_index=True)
-        found += [(i, int(j)) for j in near[first]]
+        if sets is not None:
+            own = ids[start[i] : start[i] + size[i]]
+            held[own] = True
+            common = np.array([np.count_nonzero(held[ids[start[j] : start[j] + size[j]]]) for j in rest])
+            held[own] = False
+            rest = rest[common >= similarity * (size[i] + size[rest] - common) - 1e-9]
+        roots, first = np.unique(label[rest], return_index=True)
+        found += [(i, int(j)) for j in rest[first]]
         label[np.isin(label, roots)] = label[i]
     return found
 
 
+def _members(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray] | None]:
+    """(nodes, codes, sets) of rows."""
+    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, 4)
+    return rows["node"].to_numpy(), codes, [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()] if "shingles" in rows.column_names else None
+
+
 def _confirm(radius: int, similarity: float):
     def of_run(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
@@ -359,21 +372,114 @@ def _confirm(radius: int, similarity: float):
         key, held = None, []
         for batch in batches:
             for at in range(batch.num_rows):
-                root, p, q, node, code, shingles = (batch.column(c)[at].as_py() for c in range(6))
-                if (root, p, q) != key:
+                root, node, code, shingles = (batch.column(c)[at].as_py() for c in range(4))
+                if root != key:
                     yield from of_run(held)
-                    key, held = (root, p, q), []
+                    key, held = root, []
                 held.append((node, code, shingles))
         yield from of_run(held)
 
     return runs
 
 
+def _star(group: list[str], radius: int, similarity: float | None):
+    def match(rows: pa.Table, leaders: pa.Table) -> pa.Table:
+        """Each member with the leaders that it is linked with, as bits and nodes; a leader is linked with itself."""
+        made = pa.table({"bits": pa.array([], pa.int32()), "links": pa.array([], pa.list_(pa.int64()))})
+        if rows.num_rows:
+            node, codes, sets = _members(rows)
+            mask, links = np.zeros(len(node), np.int32), [[] for _ in node]
+            seen = {}
+            for j, x in enumerate(leaders["leaders"][0].as_py()):
+                bit = seen.setdefault(x["node"], j)  # a leader twice is one
+                if bit != j:
+                    continue
+                code = np.frombuffer(x["code"], ">u8").astype(np.uint64)
+                near = np.flatnonzero(np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64) <= radius)
+                if sets is not None:
+                    own = np.frombuffer(x["shingles"], np.uint64)
+                    size = np.array([len(sets[i]) for i in near], np.int64)
+                    near, size = (y[np.minimum(size, len(own)) >= similarity * np.maximum(size, len(own)) - 1e-9] for y in (near, size))
+                    common = np.array([len(np.intersect1d(sets[i], own, assume_unique=True)) for i in near], np.int64)
+                    near = near[common >= similarity * (size + len(own) - common) - 1e-9]
+                mask[near] |= 1 << j
+                mask[node == x["node"]] |= 1 << j
+                for i in near:
+                    if node[i] != x["node"]:
+                        links[i].append(x["node"])
+            made = pa.table({"bits": pa.array(mask), "links": pa.array(links, pa.list_(pa.int64()))})
+        return pa.table([*(rows[c] for c in (*group, "node")), made["bits"], made["links"]], [*group, "node", "bits", "links"])
+
+    return match
+
+
+def main_class(masks_: list[int], counts: list[int]) -> int:
+    """The leaders of the class with the most members, as bits: leaders that a member is linked with, are in one class."""
+    classes: list[list[int]] = []  # bits, members
+    for mask, n in zip(masks_, counts):
+        joined = [c for c in classes if c[0] & mask]
+        classes = [c for c in classes if not c[0] & mask] + [[mask | sum(c[0] for c in joined), n + sum(c[1] for c in joined)]] * (mask != 0)
+    return max(classes, key=lambda c: (c[1], -c[0]), default=[0, 0])[0]
+
+
+def _rest(radius: int, similarity: float | None):
+    def match(open_: pa.Table, rows: pa.Table) -> pa.Table:
+        """Edges of the members outside the main class, among one another and with all others."""
+        found: list[tuple[int, int]] = []
+        if open_.num_rows and rows.num_rows:
+            both = pa.concat_tables([x.select([c for c in ("node", "code", "shingles") if c in x.column_names]) for x in (open_, rows)])
+            node, codes, sets = _members(both)
+            main = np.r_[np.zeros(open_.num_rows, bool), rows["main"].to_numpy()]
+            label = np.unique(node, return_inverse=True)[1]
+            label[main] = -1
+            found = [(int(node[j]), int(node[i])) for i, j in confirmed_edges(codes, sets, radius, similarity, label, open_.num_rows)]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["u", "v"])
+
+    return match
+
+
+def star_links(rows: DataFrame, large: DataFrame, group: list[str], radius: int, similarity: float | None) -> DataFrame:
+    """Edges (u, v) that connect, in each group of `rows` (group, node, code, maybe shingles) that is in `large` (group, m), just what links connect.
+
+    All members, in `m` blocks, are compared with a few leaders of their group. Members that are linked, through leaders, with most others are the main
+    class, and needn't be compared with one another; each member outside it is compared with all others, block by block. So a group of copies of
+    one text, however many, costs a few comparisons for each, and no link is lost in others.
+    """
+    few = F.broadcast(large) if large.limit(FEW + 1).count() <= FEW else large
+    payload = [c for c in ("node", "code", "shingles") if c in rows.columns]
+    rows = kept(rows.join(few, group).select(*group, *payload, "m"), "large")
+    lead = rows.groupBy(*group).agg(*[F.min_by(F.struct(*payload), F.xxhash64("node", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)], F.max("m").alias("m"))
+    lead = lead.select(*group, F.array(*[f"l{j}" for j in range(LEADERS)]).alias("leaders"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("a"))
+    block = F.pmod(F.xxhash64("node", F.lit(-1)), F.col("m")).cast("int")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in group)
+    met = rows.withColumn("a", block).select(*group, "a", *payload).groupBy(*group, "a").cogroup(lead.groupBy(*group, "a"))
+    star = kept(met.applyInArrow(_star(group, radius, similarity), f"{kinds}, node bigint, bits int, links array<bigint>"), "star")
+
+    @F.arrow_udf("int")
+    def most(masks_: pa.Array, counts: pa.Array) -> pa.Array:
+        return pa.array([main_class(a, b) for a, b in zip(masks_.to_pylist(), counts.to_pylist())], pa.int32())
+
+    counts = star.groupBy(*group, "bits").agg(F.count("*").alias("n")).groupBy(*group).agg(F.collect_list(F.struct("bits", "n")).alias("x"))
+    main = counts.select(*group, most("x.bits", "x.n").alias("_main"))
+    linked = star.select(F.col("node").alias("u"), F.explode("links").alias("v"))
+    placed = kept(star.join(main, group).select(*group, "node", (F.col("bits").bitwiseAND(F.col("_main")) != 0).alias("main")), "placed")
+    rest = placed.where("NOT main")
+    if rest.isEmpty():
+        return linked
+    sizes = rest.groupBy(*group).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("k"))
+    every = kept(rows.join(sizes, group).join(placed, [*group, "node"]), "every")
+    each = every.withColumn("a", block).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(*group, "a", "b", *payload, "main")
+    own = F.pmod(F.xxhash64("node", F.lit(-2)), F.col("k")).cast("int")
+    open_ = every.where("NOT main").withColumn("b", own).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(*[F.col(c).alias(c) for c in (*group, "a", "b", *payload)])
+    keys = [*group, "a", "b"]
+    return linked.union(open_.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(_rest(radius, similarity), "u bigint, v bigint"))
+
+
 def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
     """Edges (u, v) between documents of `docs` (id, text) whose shingle sets have the Jaccard similarity; looked for in each group of `candidates`.
 
     candidates: (node, root), a row for each id but the root of each group. The sets are made again from the texts of the groups' documents alone, as
-    64-bit hashes, and each pair of a group that is within `radius` bits is measured, or connected by such pairs.
+    64-bit hashes, and each pair of a group that is within `radius` bits is measured, or connected by such pairs (see star_links for large groups).
     """
 
     @F.arrow_udf("struct<key: binary, code: binary, n: int, shingles: binary>")
@@ -387,11 +493,12 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, radius:
     sets = sets.groupBy("node", "root", "s.key").agg(F.first("s.code").alias("code"), F.first("s.n").alias("n"), F.first("s.shingles").alias("shingles"))
     sets = kept(sets, "shingles")
     blocks = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("m"))
-    met = sets.join(blocks.withColumn("m", F.greatest("m", F.lit(1))), "root")
-    met = met.withColumn("a", F.pmod(F.xxhash64("key"), F.col("m")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    met = met.select("root", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "node", "code", "shingles")
-    dealt = met.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
-    return dealt.mapInArrow(_confirm(radius, similarity), "u bigint, v bigint")
+    large = checkpointed(blocks.where("m > 1"))
+    few = large.limit(FEW + 1).count()
+    small = sets.join(F.broadcast(large) if few <= FEW else large, "root", "left_anti") if few else sets
+    dealt = small.select("root", "node", "code", "shingles").repartition("root").sortWithinPartitions("root")
+    found = dealt.mapInArrow(_confirm(radius, similarity), "u bigint, v bigint")
+    return found.union(star_links(sets.select("root", "node", "code", "shingles"), large, ["root"], radius, similarity)) if few else found
 
 
 def bit_chance(similarity: float) -> float:

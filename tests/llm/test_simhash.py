@@ -164,3 +164,45 @@ def test_pairs_near_the_threshold(spark):
     near, far = [i for i, x in pairs if x >= 0.8], [i for i, x in pairs if x < 0.8]
     assert min(len(near), len(far)) >= 40
     assert sum(i in left for i in near) <= 1 and all(i in left for i in far)
+
+
+def test_main_class():
+    assert S.main_class([0b1, 0b10, 0b11, 0b100, 0], [5, 2, 1, 7, 50]) == 0b11
+    assert S.main_class([0b1, 0b100], [3, 4]) == 0b100 and S.main_class([0b1, 0b10], [4, 4]) == 0b1 and S.main_class([0], [9]) == 0
+
+
+@pytest.mark.parametrize("similarity", [0.8, None])
+def test_star_links_connect_as_all_pairs(spark, monkeypatch, similarity):
+    """Two large groups, of copies and of chains, against all pairs: of sets, and of codes alone."""
+    monkeypatch.setattr(S, "GROUP", 7)
+    rng = np.random.default_rng(20)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for i in range(60):
+            words = list(base)
+            if i % 5 == 4:  # a step further than the last of its kind
+                base2 = words = list(rows[-5][2] if i > 4 and g else base)
+                for at in rng.choice(150, 5, replace=False):
+                    base2[at] = f"x{rng.integers(10**6)}"
+            else:
+                words[int(rng.integers(150))] = f"y{rng.integers(10**6)}"
+            rows.append((g, len(rows), words))
+    rows += [(0, 1000 + i, [f"alone{i}w{k}" for k in range(150)]) for i in range(20)]
+    sets = {i: S.shingle_set(" ".join(w).encode(), 5, 42) for _, i, w in rows}
+    codes = {i: S.wide_fingerprint(x) for i, x in sets.items()}
+    schema = "root bigint, node bigint, code binary" + ", shingles binary" * (similarity is not None)
+    data = [(g, i, bytearray(codes[i]), bytearray(sets[i].tobytes()))[: 4 if similarity else 3] for g, i, _ in rows]
+    df = spark.createDataFrame(data, schema)
+    large = spark.createDataFrame([(0, 5), (1, 3)], "root bigint, m int")
+    radius = 56 if similarity else 30
+    got = {r.node: r.root for r in S.components(S.star_links(df, large, ["root"], radius, similarity)).collect()}
+    far = lambda a, b: (int.from_bytes(codes[a], "big") ^ int.from_bytes(codes[b], "big")).bit_count()
+    near = lambda a, b: far(a, b) <= radius and (similarity is None or len(np.intersect1d(sets[a], sets[b])) >= similarity * len(np.union1d(sets[a], sets[b])))
+    want = {i: i for _, i, _ in rows}
+    for g, i, _ in rows:
+        for h, j, _ in rows:
+            if j < i and g == h and want[i] != want[j] and near(i, j):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if x == high else x for k, x in want.items()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) >= 22
