@@ -330,6 +330,21 @@ def recipe_entries(spark, sf_dir):
     return recipes.recipe_entries(_shares(spark, sf_dir)).select("recipe_fp", "pos", "share_fp", "share_size")
 
 
+@query(S + f"SELECT {RFP} AS recipe_fp, secret_id::BIGINT AS pos, fp AS share_fp FROM h")
+def recipe_resume(spark, sf_dir):
+    """Recipes out of fragments of four shares, each of which says how many came before it."""
+    entries = recipes.recipe_entries(_shares(spark, sf_dir)).drop("pos").withColumn("past", F.col("secret_id") - F.col("secret_id") % 4)
+    return recipes.resumed(entries).select("recipe_fp", F.col("pos").cast("long").alias("pos"), "share_fp")
+
+
+@query(S + f"SELECT {RFP} AS recipe_fp, max(file_size) AS file_size, count(*)::BIGINT AS num_shares FROM h WHERE doc_id = 7 GROUP BY file_name, user_id")
+def recipe_read(spark, sf_dir):
+    """The recipe of one file, by its name and user."""
+    files = document_files(table(spark, sf_dir, "documents"))
+    one = files.where("seq = 7").select("file_name", "user_id").first()
+    return recipes.read_recipe(recipes.recipes(_shares(spark, sf_dir)), one.file_name, one.user_id).select("recipe_fp", "file_size", "num_shares")
+
+
 @query(S + f"SELECT {RFP} AS recipe_fp, max(file_size) AS file_size, count(*)::BIGINT AS num_shares FROM h GROUP BY file_name, user_id HAVING count(*) = (max(file_size) + 1023) // 1024")
 def recipe_complete(spark, sf_dir):
     return recipes.complete(recipes.recipes(_shares(spark, sf_dir)), CHUNK).select("recipe_fp", "file_size", "num_shares")
@@ -562,6 +577,14 @@ def store_report(spark, sf_dir):
     return store.report().select("cloud", "total", (F.col("n_unique") + F.col("delta")).alias("n_new"), "intra_dup", "secret_bytes", (F.col("share_bytes") + F.col("delta_saved")).alias("new_bytes"), "dedup_bytes", "recipe_bytes")
 
 
+@query(S.replace("1024", "2048").replace("1023", "2047") + "SELECT (SELECT count(*) FROM documents)::BIGINT AS files, count(*)::BIGINT AS shares, count(DISTINCT fp)::BIGINT AS read_shares, sum(size)::BIGINT AS bytes FROM h")
+def store_restore_report(spark, sf_dir):
+    """What a restore of all files reads; seconds are left out here."""
+    store = DedupStore(spark, new_folder(spark, "store"), StoreConfig(ChunkSpec("fixed", 2048)))
+    store.ingest(document_files(table(spark, sf_dir, "documents")))
+    return store.restore_report().select("files", "shares", (F.col("unique_shares") + F.col("delta_shares")).alias("read_shares"), "bytes")
+
+
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, md5(text) AS md5 FROM documents")
 def store_export(spark, sf_dir):
     """Restored files, each written as a file of its own, a part at a time."""

@@ -41,7 +41,7 @@ class DedupStore:
 
     An ingest writes its parts below a folder of its own attempt, which counts once its commit is written, as the last thing: an ingest that failed
     leaves nothing that is read, and the next takes its number. A store can be opened again by another session; its configuration is kept with it, and
-    has to be the same. What earlier ingests stored is not stored again, and can be a file's share, but deltas have bases of their own ingest. The bytes
+    has to be the same. `laps` adds up the seconds of this object's ingests by step. What earlier ingests stored is not stored again, and can be a file's share, but deltas have bases of their own ingest. The bytes
     of duplicates are written to the attempt's work folder only, which goes with the commit.
     """
 
@@ -49,7 +49,7 @@ class DedupStore:
 
     def __init__(self, spark: SparkSession, folder: str, config: StoreConfig = StoreConfig(), clean: bool = False) -> None:
         """clean: removes whatever the folder has. ValueError if the store there was made with another configuration."""
-        self.spark, self.folder, self.config = spark, folder.rstrip("/"), config
+        self.spark, self.folder, self.config, self.laps = spark, folder.rstrip("/"), config, metrics.Laps()
         self.disk = Folder(spark, self.folder)
         if clean:
             self.disk.remove("")
@@ -109,33 +109,44 @@ class DedupStore:
             return self.spark.read.schema(df.schema).parquet(path)
 
         files = files.withColumns({"content": F.coalesce("content", F.lit(b"")), "file_size": F.coalesce("file_size", F.lit(0).cast("long"))})
-        whole = once(self.shares(files), "shares")  # chunked, encoded and hashed once
+        with self.laps("chunk, encode, hash"):
+            whole = once(self.shares(files), "shares")  # once
         shares = whole.drop("data")
         clouds = 1 if self.config.codec is None else self.config.codec.n
         firsts = files.where("part = 0") if "part" in files.columns else files
         heads = firsts.select("user_id", "file_name", "seq", "file_size", F.explode(F.sequence(F.lit(0), F.lit(clouds - 1))).alias("cloud"))
-        put(recipes.heads(heads, shares), "files")
-        put(recipes.recipe_entries(shares), "entries")
+        with self.laps("recipes"):
+            put(recipes.heads(heads, shares), "files")
+            put(recipes.recipe_entries(shares), "entries")
         owners = self._table("classes", n).select("cloud", "share_fp", "user_id") if n else None
-        classes = once(dedup.classify(shares, owners), "classes")
+        with self.laps("classify"):
+            classes = once(dedup.classify(shares, owners), "classes")
         unique = dedup.unique_shares(classes.where("dup_class = 'new'").select("cloud", "share_fp", "seq", "secret_id", "share_size"))
         data = whole.join(unique.select("cloud", "share_fp", "seq", "secret_id"), ["cloud", "share_fp", "seq", "secret_id"], "left_semi")
-        data = once(data.groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data")), "data")
+        with self.laps("unique bytes"):
+            data = once(data.groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data")), "data")
         if self.config.delta:
-            features = once(data.select("cloud", "share_fp", super_features(F.col("data"), self.config.features).alias("features")), "features")
+            with self.laps("super-features"):
+                features = once(data.select("cloud", "share_fp", super_features(F.col("data"), self.config.features).alias("features")), "features")
             stored = similarity.with_deltas(similarity.select_bases(unique.join(features, ["cloud", "share_fp"])), data).drop("features")
-            stored = once(stored.select("cloud", "share_fp", "seq", "secret_id", "share_size", "delta_depth", "delta_size", "base_fp", F.col("stored").alias("data")), "stored")
+            with self.laps("deltas"):
+                stored = once(stored.select("cloud", "share_fp", "seq", "secret_id", "share_size", "delta_depth", "delta_size", "base_fp", F.col("stored").alias("data")), "stored")
             sizes, data = stored.drop("data").withColumn("length", F.coalesce(F.col("delta_size").cast("int"), "share_size")), stored.select("cloud", "share_fp", "data")
         else:
             none = {"delta_depth": F.lit(0), "delta_size": F.lit(None).cast("long"), "base_fp": F.lit(None).cast("string")}
             sizes = unique.withColumns(none).withColumn("length", F.col("share_size"))
         lanes = self.config.lanes or max(1, -(-(sizes.agg(F.sum("length")).first()[0] or 0) // LANE_BYTES))
         run = F.pmod(F.xxhash64("seq", F.floor(F.col("secret_id") / RUN_SHARES)), F.lit(lanes))
-        places = put(packing.containers(sizes, ["seq", "secret_id"], run), "containers")
-        put(sizes.drop("length").join(places, ["cloud", "share_fp"]), "shares")
-        put(packing.container_payloads(places, data), "payloads")
+        with self.laps("containers"):
+            places = put(packing.containers(sizes, ["seq", "secret_id"], run), "containers")
+            put(sizes.drop("length").join(places, ["cloud", "share_fp"]), "shares")
+            put(packing.container_payloads(places, data), "payloads")
         first = classes.where("dup_class = 'new'").join(sizes.select("cloud", "share_fp", "delta_size"), ["cloud", "share_fp"], "left")
         slim = first.unionByName(classes.where("dup_class != 'new'").withColumn("delta_size", F.lit(None).cast("long")))
+        with self.laps("commit"):
+            self._finish(put, slim, n, attempt)
+
+    def _finish(self, put, slim: DataFrame, n: int, attempt: str) -> None:
         put(slim.select("cloud", "share_fp", "user_id", "secret_size", "share_size", "dup_class", "delta_size"), "classes")
         if not self.disk.create(f"commits/{n}", attempt):
             self.disk.remove(f"work/{attempt}")
@@ -165,6 +176,32 @@ class DedupStore:
         found = metrics.dedup_report(self._table("classes"), ["cloud"]).join(heads, "cloud").join(entries, "cloud", "left")
         return found.withColumn("recipe_bytes", metrics.recipe_bytes(F.col("m"), F.coalesce("n", F.lit(0)))).drop("n", "m")
 
+    def restore_report(self, files: DataFrame | None = None, clouds: list[int] | None = None) -> DataFrame:
+        """What a restore of all files, or of those of `files`, reads, and the seconds of its steps; the restored bytes are made, and not kept.
+
+        One row: files, shares (as often as they come), unique and delta shares read, bytes restored; seconds of the recipes, of the index, of the shares
+        stored whole, of those stored as deltas with their bases, and of the whole restore. Steps run one after the other, so they don't add up to it.
+        """
+        laps, codec = metrics.Laps(), self.config.codec
+        chosen = [0] if codec is None else clouds or list(range(codec.k))
+        with laps("recipes"):
+            wanted = self._wanted(files).where(F.col("cloud").isin(chosen))
+            entries = self._table("entries").join(wanted.select("recipe_fp", "cloud", "ingest", "seq"), ["recipe_fp", "cloud", "ingest", "seq"])
+            n_files, n_shares = wanted.where(F.col("cloud") == chosen[0]).count(), entries.count()
+        with laps("index"):
+            own = self._table("shares").join(entries.select("cloud", "share_fp").distinct(), ["cloud", "share_fp"], "left_semi")
+            n_unique, n_delta = own.agg(F.count_if(F.col("delta_depth") == 0), F.count_if(F.col("delta_depth") > 0)).first()
+        run = lambda df: df.write.format("noop").mode("overwrite").save()
+        with laps("whole shares"):
+            run(self._bytes(own.where("delta_depth = 0")))
+        with laps("delta shares"):
+            run(similarity.resolve_deltas(self._bytes(self._and_bases(own.where("delta_depth > 0")))))
+        with laps("restore"):
+            n_bytes = self.restored_parts(files, clouds).agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        seconds = {f"{k.replace(' ', '_')}_s": float(v) for k, v in laps.seconds.items()}
+        row = {"files": n_files, "shares": n_shares, "unique_shares": n_unique, "delta_shares": n_delta, "bytes": n_bytes, **seconds}
+        return self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'double' if k.endswith('_s') else 'bigint'}" for k in row))
+
     def files(self) -> DataFrame:
         """The last version of each file."""
         return recipes.latest(self._table("files"), ["ingest", "seq"])
@@ -181,16 +218,22 @@ class DedupStore:
         entries = self._table("entries").join(wanted.select(*key, "user_id", "file_name"), key).drop("ingest", "seq")
         index = self._table("shares")
         if files is not None:  # just the shares of these files, and their bases
-            own = index.join(entries.select("cloud", "share_fp").distinct(), ["cloud", "share_fp"], "left_semi")
-            bases = own.where("base_fp is not null").select("cloud", F.col("base_fp").alias("share_fp"))
-            index = index.join(own.select("cloud", "share_fp").union(bases).distinct(), ["cloud", "share_fp"], "left_semi")
-        stored = packing.read_slices(index, self._table("payloads"), ["ingest", "cloud", "lane", "container"]).withColumnRenamed("data", "stored")
-        parts = recipes.fetch(entries, similarity.resolve_deltas(stored))
+            index = self._and_bases(index.join(entries.select("cloud", "share_fp").distinct(), ["cloud", "share_fp"], "left_semi"))
+        parts = recipes.fetch(entries, similarity.resolve_deltas(self._bytes(index)))
         if codec is not None:
             parts = decode_shares(parts.select("user_id", "file_name", "pos", "secret_size", "cloud", "data"), ["user_id", "file_name", "pos"], codec, chosen)
         empty = wanted.where((F.col("num_shares") == 0) & (F.col("cloud") == chosen[0]))
         return parts.select("user_id", "file_name", "pos", "data").union(empty.select("user_id", "file_name", F.lit(0), F.lit(None).cast("binary")))
 
+    def _and_bases(self, shares: DataFrame) -> DataFrame:
+        """Rows of the index of shares, and those of the shares that these are deltas of."""
+        bases = shares.where("base_fp is not null").select("cloud", F.col("base_fp").alias("share_fp"))
+        return self._table("shares").join(shares.select("cloud", "share_fp").union(bases).distinct(), ["cloud", "share_fp"], "left_semi")
+
+    def _bytes(self, shares: DataFrame) -> DataFrame:
+        """Rows of the index of shares with what is stored of each, cut out of the containers."""
+        return packing.read_slices(shares, self._table("payloads"), ["ingest", "cloud", "lane", "container"]).withColumnRenamed("data", "stored")
+
     def _wanted(self, files: DataFrame | None) -> DataFrame:
         if files is None:
             return self.files()

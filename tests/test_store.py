@@ -137,6 +137,10 @@ def test_store(spark, tmp_path, config):
     assert [bytes(r.content) for r in store.restore(one, clouds).collect()] == [BIG]
     for r in store.report().collect():
         assert r.total == r.n_unique + r.delta + r.duplicate and r.duplicate == r.intra_dup + r.inter_dup
+    assert {"chunk, encode, hash", "recipes", "classify", "containers", "commit"} <= set(store.laps.seconds)
+    found = store.restore_report(one, clouds).first()
+    assert (found.files, found.bytes) == (1, len(BIG)) and found.unique_shares + found.delta_shares >= 3 and found.restore_s > 0
+    assert store.restore_report().first().files == len(want)
     index = store.index()
     assert index.select("cloud", "share_fp").distinct().count() == index.count()
     packed = store._table("containers").groupBy("ingest", "cloud", "lane", "container").agg(F.max(F.col("offset") + F.col("length")).alias("end"), F.sum("length").alias("sum"))
