@@ -26,6 +26,12 @@ CHUNK_BYTES = 2 << 20
 BUCKET_WORDS = 2_000_000
 
 
+#: Bytes above which a word is long.
+LONG_WORD = 128
+#: The lowest i bytes of a number.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits, in place."""
     h ^= h >> np.uint64(30)
@@ -86,14 +92,22 @@ class Chunk:
 
     @cached_property
     def words(self) -> np.ndarray:
-        """The hash of each word; equal words are found first, and hashed once."""
-        offsets = np.r_[self.start, len(self.data)].astype(np.int64)  # each with the white space behind it
-        every = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(self.data)]).dictionary_encode()
-        of = every.indices.to_numpy()
-        first = np.empty(len(every.dictionary), np.int64)
-        first[of[::-1]] = np.arange(len(of))[::-1]
-        digest, seed, data = xxhash.xxh3_64_intdigest, self.seeds[0], self.data
-        return np.array([digest(data[a:b], seed) for a, b in zip(self.start[first].tolist(), self.end[first].tolist())], np.uint64)[of]
+        """The hash of each word: of its length, then of eight bytes after eight; of long words their XXH3."""
+        size, odd, data = self.end - self.start, np.uint64(self.seeds[1]), self.data + bytes(8)
+        eights = np.ndarray((len(self.data) + 1,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+        found = _mixed(size.astype(np.uint64) * odd + np.uint64(self.seeds[0]))
+        at, left, live = self.start, size, np.arange(len(size))
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            found[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]], self.seeds[0])
+        if (size > LONG_WORD).any():
+            live = live[size <= LONG_WORD]
+            at, left = at[live], left[live]
+        while len(live):
+            part = eights[at] & _LOW[np.minimum(left, 8)]
+            found[live] = _mixed(found[live] * odd + part)
+            more = left > 8
+            at, left, live = at[more] + 8, left[more] - 8, live[more]
+        return found
 
     def anchors(self, block: int) -> tuple[np.ndarray, ...]:
         """Every rolling block: positions in the order of their hashes, these, where a new one begins, flags of each distinct one.
