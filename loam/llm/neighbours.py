@@ -18,25 +18,37 @@ CELL_VECTORS, CELL_QUERIES = 20_000, 2_000
 SAMPLE = 200
 
 
-def hadamard(rows: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of each row, scaled to be orthogonal; the length is a power of two."""
-    n, d = rows.shape
-    h = 1
+def hadamard(columns: np.ndarray) -> np.ndarray:
+    """The fast Walsh-Hadamard transform of each column, in place, scaled to be orthogonal; their length is a power of two."""
+    d, h = len(columns), 1
     while h < d:
-        pairs = rows.reshape(n, -1, 2, h)
-        rows = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(n, d)
+        pairs = columns.reshape(-1, 2, h, columns.shape[1])
+        first, second = pairs[:, 0], pairs[:, 1]
+        difference = first - second
+        first += second
+        second[...] = difference
         h *= 2
-    return rows / np.sqrt(d)
+    columns /= np.sqrt(d)
+    return columns
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """The vectors as columns of length 1, filled up with zeros to a power of two components."""
+    x = np.zeros((1 << (vectors.shape[1] - 1).bit_length(), len(vectors)))
+    x[: vectors.shape[1]] = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    return x
+
+
+def rotated(unit: np.ndarray, seed: int) -> np.ndarray:
+    """The columns after a pseudo-rotation: three times random signs and a Hadamard transform."""
+    for s in np.random.default_rng(seed).choice([-1.0, 1.0], (3, len(unit))):
+        unit = hadamard(unit * s[:, None])
+    return unit
 
 
 def axes(vectors: np.ndarray, seed: int) -> np.ndarray:
     """(n, 2d): how near each vector, as a unit vector, is to each signed axis after a pseudo-rotation."""
-    d = 1 << (vectors.shape[1] - 1).bit_length()
-    x = np.zeros((len(vectors), d))
-    x[:, : vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (3, d))
-    for s in signs:
-        x = hadamard(x * s)
+    x = rotated(units(vectors), seed).T
     return np.concatenate([x, -x], axis=1)
 
 
@@ -48,7 +60,7 @@ def probes(vectors: np.ndarray, table_: int, hashes: int, n: int, seed: int) ->
     cells = np.zeros((len(vectors), 1), np.int64)
     loss = np.zeros((len(vectors), 1))
     for k in range(hashes):
-        near = axes(vectors, (seed * 1009 + table_) * 101 + k)
+        near = axes(vectors, _seed(table_, k, seed))
         width = near.shape[1]
         own = (near.max(axis=1, keepdims=True) - near) ** 2
         loss = (loss[:, :, None] + own[:, None, :]).reshape(len(vectors), -1)
@@ -58,15 +70,28 @@ def probes(vectors: np.ndarray, table_: int, hashes: int, n: int, seed: int) ->
     return cells
 
 
+def _seed(table_: int, k: int, seed: int) -> int:
+    return (seed * 1009 + table_) * 101 + k
+
+
 def codes(vectors: np.ndarray, table_: int, hashes: int, seed: int) -> np.ndarray:
-    """(rows, hashes): the nearest axis of each hash of a table."""
-    return np.stack([axes(vectors, (seed * 1009 + table_) * 101 + k).argmax(axis=1) for k in range(hashes)], axis=1).astype(np.uint16)
+    """(rows, hashes): the nearest signed axis of each hash of a table."""
+    unit, found = units(vectors), np.empty((len(vectors), hashes), np.uint16)
+    for k in range(hashes):
+        x = rotated(unit, _seed(table_, k, seed))
+        axis = np.abs(x).argmax(axis=0)
+        found[:, k] = axis + len(x) * (x[axis, np.arange(x.shape[1])] < 0)
+    return found
 
 
 def losses(vectors: np.ndarray, table_: int, hashes: int, seed: int) -> np.ndarray:
     """(rows, hashes, 2d): by how much, squared, each axis is less near than the nearest."""
-    near = np.stack([axes(vectors, (seed * 1009 + table_) * 101 + k) for k in range(hashes)], axis=1)
-    return ((near.max(axis=2, keepdims=True) - near) ** 2).astype(np.float32)
+    unit, found = units(vectors), []
+    for k in range(hashes):
+        x = rotated(unit, _seed(table_, k, seed)).T
+        top = np.abs(x).max(axis=1, keepdims=True)
+        found.append(np.concatenate([(top - x) ** 2, (top + x) ** 2], axis=1).astype(np.float32))
+    return np.stack(found, axis=1)
 
 
 def _cells(code: np.ndarray, width: int) -> np.ndarray:
