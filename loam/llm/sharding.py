@@ -54,6 +54,12 @@ def add_shard(docs: DataFrame, shards: int, id_col: str = "doc_id", name: str =
     return docs.withColumn(name, jump_hash(stable_key(docs, id_col), shards))
 
 
+def _bucket(buckets: int) -> Column:
+    """A number below `buckets` of a row's id, size and CRC, null ids as such."""
+    text = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size"), F.col("crc"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets
+
+
 def slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
     """(id, size, text_crc32, shard, slot, grown_shard) of every row of `docs`.
 
@@ -68,7 +74,7 @@ def slots(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     key = stable_key(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), key.alias("key"))
     entries = rows.groupBy("id", "size", "crc", "key").agg(F.count("*").alias("n"))
-    entries = entries.select("*", jump_hash(F.col("key"), shards).alias("shard"), F.pmod(F.xxhash64("id", "size", "crc"), F.lit(buckets)).alias("bucket"))
+    entries = entries.select("*", jump_hash(F.col("key"), shards).alias("shard"), _bucket(buckets).alias("bucket"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = entries.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     within = F.sum("n").over(Window.partitionBy("shard", "bucket").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1))
@@ -85,4 +91,20 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_sharding": op6_sharding}
-ORACLE_SQL: dict[str, str] = {}
+_JUMPS = """SELECT doc_id, size, crc, doc_id::HUGEINT AS key, -1::BIGINT AS shard, 0::BIGINT AS ahead FROM c
+      UNION ALL
+      SELECT doc_id, size, crc, key, ahead, floor((ahead + 1)::DOUBLE * (2147483648.0::DOUBLE / ((key // 8589934592) + 1)::DOUBLE))::BIGINT
+      FROM (SELECT * REPLACE ((key * {0} + 1) % 18446744073709551616 AS key) FROM {1}) WHERE ahead < {2}"""
+#: CRC-32 by the remainders of the 256 bytes; jumps of equal rows are made once.
+ORACLE_SQL: dict[str, str] = {
+    "op6_sharding": f"""WITH RECURSIVE r AS (SELECT x, x::BIGINT AS v, 0 AS k FROM unnest(range(0, 256)) AS u(x) UNION ALL SELECT x, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM r WHERE k < 8),
+t AS (SELECT list(v ORDER BY x) AS t FROM r WHERE k = 8),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+e AS (SELECT doc_id, octet_length(b)::BIGINT + 1 AS size, xor(list_reduce(list_transform(range(0, octet_length(b)), lambda i: ('0x' || hex(b[i + 1 : i + 1]))::BIGINT), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, t),
+c AS (SELECT DISTINCT doc_id, size, crc FROM e),
+g AS ({_JUMPS.format(MULTIPLIER, "g", 16)}),
+h AS ({_JUMPS.format(MULTIPLIER, "h", 17)}),
+s AS (SELECT e.doc_id, e.size, e.crc, g.shard, h.shard AS grown, ('0x' || substr(md5(e.doc_id || '|' || e.size || '|' || e.crc), 1, 8))::BIGINT % 1024 AS bucket
+      FROM e JOIN g ON e.doc_id = g.doc_id AND e.size = g.size AND e.crc = g.crc AND g.ahead >= 16 JOIN h ON e.doc_id = h.doc_id AND e.size = h.size AND e.crc = h.crc AND h.ahead >= 17)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, crc) - 1 AS slot, grown::INTEGER AS grown_shard FROM s"""
+}
