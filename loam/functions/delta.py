@@ -66,14 +66,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def instructions(base: bytes, source: bytes) -> list[Op]:
+def instructions(base: bytes, source: bytes, within: bool = False) -> list[Op]:
     """Makes `source` out of `base`: blocks of the base that occur in the source are extended both ways.
 
-    The blocks of the base and every window of the source have keys, looked up all at once; only where one is found bytes are compared.
+    The blocks of the base and every window of the source have keys, looked up all at once; only where one is found bytes are compared. within: blocks
+    of the source count too, for places behind their beginning; offsets beyond the base are of the source, and a copy may run into what it makes.
     """
-    if len(base) < BLOCK or len(source) < BLOCK:
+    whole = base + source if within else base
+    if len(whole) < BLOCK or len(source) < BLOCK:
         return _literal(source)
-    old, new = np.frombuffer(base, np.uint8), np.frombuffer(source, np.uint8)
+    old, new = np.frombuffer(whole, np.uint8), np.frombuffer(source, np.uint8)
     keys, offsets = np.unique(_block_keys(old, BLOCK), return_index=True)  # the first block of each key
     wanted = _block_keys(new, 1)
     slot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -83,7 +85,7 @@ def instructions(base: bytes, source: bytes) -> list[Op]:
     added = k = 0
     while k < len(hits):
         at, found = int(hits[k]), int(places[k])
-        if base[found : found + BLOCK] != source[at : at + BLOCK]:
+        if found >= len(base) + at or whole[found : found + BLOCK] != source[at : at + BLOCK]:
             k += 1
             continue
         back = _common(new[added:at][::-1], old[:found][::-1])

@@ -11,6 +11,7 @@ from loam.functions import delta as D
 from loam.functions import hashing as H
 from loam.functions import layout as L
 from loam.functions import text as T
+from loam.functions import vcdiff
 from loam.functions.chunking import ChunkSpec
 from loam.functions.features import super_features
 from loam.operators import chunks, codec, dedup, metrics, packing, recipes, similarity
@@ -806,6 +807,14 @@ def delta_listing(spark, sf_dir):
     return found.select("share_fp", "n", "i.*")
 
 
+@query(S.replace("1024", "2048").replace("1023", "2047") + "SELECT DISTINCT fp AS share_fp, size::BIGINT AS bytes FROM h")
+def delta_listing_sums(spark, sf_dir):
+    """The bytes that the instructions of each share's delta make; whole shares as they are."""
+    listed = D.delta_instructions(F.when(F.col("delta_depth") > 0, F.col("stored")))
+    made = F.aggregate(listed, F.lit(0).cast("long"), lambda a, i: a + i["length"])
+    return _deltas(spark, sf_dir).select("share_fp", F.coalesce(made, F.col("share_size").cast("long")).alias("bytes"))
+
+
 @query(S.replace("1024", "2048").replace("1023", "2047") + "SELECT doc_id, CASE WHEN octet_length(b) >= 1024 THEN true END AS same FROM f")
 def delta_merged(spark, sf_dir):
     """Each document, with a line more, and one more still: a delta merged out of two makes the second out of the document; null below the least base."""
@@ -816,13 +825,30 @@ def delta_merged(spark, sf_dir):
     return rows.select("doc_id", (D.delta_decode(F.col("base"), merged) == F.col("twice")).alias("same"))
 
 
-@query()
+_CHANGED = "substr(text, 4) || ' ' || text || ' end'"
+
+
+@query(f"SELECT doc_id, md5({_CHANGED}) AS digest, octet_length(encode({_CHANGED}))::BIGINT AS size, 'doc ' || doc_id AS app FROM documents")
+def vcdiff_roundtrip(spark, sf_dir):
+    """Each document's change as a delta of RFC 3284 with an application header: the changed text, its size by the windows, and the header."""
+    docs = table(spark, sf_dir, "documents")
+    base, source = F.encode("text", "UTF-8"), F.encode(F.concat(F.substring("text", 4, 1 << 30), F.lit(" "), "text", F.lit(" end")), "UTF-8")
+    deltas = docs.select("doc_id", base.alias("b"), vcdiff.vcdiff_encode(base, source, F.encode(F.concat(F.lit("doc "), "doc_id"), "UTF-8")).alias("d"))
+    found = deltas.withColumn("h", vcdiff.vcdiff_header(F.col("d")))
+    size = F.aggregate("h.windows", F.lit(0).cast("long"), lambda a, w: a + w["size"])
+    return found.select("doc_id", F.md5(vcdiff.vcdiff_decode(F.col("b"), F.col("d"))).alias("digest"), size.alias("size"), F.decode("h.app", "UTF-8").alias("app"))
+
+
+@query((S + """SELECT count(*)::BIGINT AS total, count(*) FILTER (dup_class = 'new')::BIGINT AS n_new, count(*) FILTER (dup_class = 'intra')::BIGINT AS intra_dup, count(*) FILTER (dup_class = 'inter')::BIGINT AS inter_dup,
+sum(size)::BIGINT AS secret_bytes, coalesce(sum(size) FILTER (dup_class = 'new'), 0)::BIGINT AS new_bytes, coalesce(sum(size) FILTER (dup_class <> 'new'), 0)::BIGINT AS dedup_bytes FROM k""").replace("1024", "2048").replace("1023", "2047"))
 def delta_report(spark, sf_dir):
+    """The report with deltas; of new shares what is stored and what deltas save, together."""
     found = _secrets(spark, sf_dir, ChunkSpec("fixed", 2048))
     classes = dedup.classify(dedup.plain_shares(found))
     sizes = _deltas(spark, sf_dir).select("cloud", "share_fp", "delta_size")
     new = classes.where("dup_class = 'new'").join(sizes, ["cloud", "share_fp"])
-    return metrics.dedup_report(new.unionByName(classes.where("dup_class != 'new'").withColumn("delta_size", F.lit(None).cast("long"))))
+    report = metrics.dedup_report(new.unionByName(classes.where("dup_class != 'new'").withColumn("delta_size", F.lit(None).cast("long"))))
+    return report.select("total", (F.col("n_unique") + F.col("delta")).alias("n_new"), "intra_dup", "inter_dup", "secret_bytes", (F.col("share_bytes") + F.col("delta_saved")).alias("new_bytes"), "dedup_bytes")
 
 
 # codecs
@@ -835,15 +861,9 @@ def _coded(spark, sf_dir, spec: CodecSpec, clouds: list[int] | None = None) -> D
     return whole.select(F.col("seq").alias("doc_id"), F.md5("content").alias("digest"))
 
 
-@query()
-def caont_encode(spark, sf_dir):
-    shares = codec.encode_shares(_secrets(spark, sf_dir, ChunkSpec("fixed", 8192)), CodecSpec())
-    return _doc(shares).select("doc_id", "secret_id", "cloud", "share_size", F.sha2("data", 256).alias("share_fp"))
-
-
 @query(S.replace("1024", "8192").replace("1023", "8191") + """, n AS (SELECT unnest(range(0, 4))::INTEGER AS cloud)
 SELECT doc_id, secret_id, cloud, (((CASE WHEN (size + 16) % 48 = 0 THEN size ELSE 48 * ((size + 16) // 48 + 1) - 16 END) + 16) // 3)::INTEGER AS share_size FROM h, n""")
-def caont_sizes(spark, sf_dir):
+def caont_encode(spark, sf_dir):
     """The size of each share of each secret, as its bytes have it."""
     shares = codec.encode_shares(_secrets(spark, sf_dir, ChunkSpec("fixed", 8192)), CodecSpec())
     return _doc(shares).select("doc_id", "secret_id", "cloud", F.octet_length("data").alias("share_size"))
@@ -882,9 +902,12 @@ def crsss_roundtrip(spark, sf_dir):
     return _coded(spark, sf_dir, CodecSpec("crsss"), [1, 2, 3])
 
 
-@query()
+@query("""WITH f AS (SELECT '/documents/' || doc_id AS file_name, length('/documents/' || doc_id) + 1 AS size FROM documents), n AS (SELECT unnest(range(0, 4))::INTEGER AS cloud)
+SELECT file_name, cloud, ((CASE WHEN (size + 16) % 48 = 0 THEN size ELSE 48 * ((size + 16) // 48 + 1) - 16 END + 16) // 3)::INTEGER AS share_bytes FROM f, n""")
 def name_shares(spark, sf_dir):
-    return codec.encode_names(document_files(table(spark, sf_dir, "documents")))
+    """The sizes of the names under which the clouds know each file; name_roundtrip opens them."""
+    names = codec.encode_names(document_files(table(spark, sf_dir, "documents")))
+    return names.select("file_name", "cloud", (F.length("share") / 2).cast("int").alias("share_bytes"))
 
 
 @query("SELECT '/documents/' || doc_id AS file_name, '/documents/' || doc_id AS opened FROM documents")

@@ -192,3 +192,124 @@ def test_names(spark):
     assert [r.t for r in sizes.select(T.size_text(F.col("s")).alias("t")).collect()] == ["0G 0M 0K", "0G 0M 0K", "3G 5M 7K"]
     names = spark.createDataFrame([(0,), (27,), (26**3,)], "o bigint").select(T.container_name(F.col("o")).alias("c"))
     assert [r.c for r in names.collect()] == ["a" * 16, "bb" + "a" * 14, "aaab" + "a" * 12]
+
+
+def slow_fingerprints(data):
+    """Rabin fingerprints of the last 48 bytes at each byte, byte at a time."""
+    from loam.functions.hashing import POLYNOMIAL, WINDOW, poly_mod
+
+    gone = [poly_mod(b << 8 * WINDOW, POLYNOMIAL) for b in range(256)]
+    top = [poly_mod(b << 63, POLYNOMIAL) for b in range(256)]
+    found, f = [], 0
+    for i, b in enumerate(data):
+        f = (f << 8 | b) ^ (gone[data[i - WINDOW]] if i >= WINDOW else 0)
+        f = f & (1 << 63) - 1 ^ top[f >> 63]
+        found.append(f)
+    return found
+
+
+def test_features_and_keys_of_the_table_byte_at_a_time(spark, sf):
+    """Keys and both kinds of super-features of every chunk of the table, against sequential calculations."""
+    import xxhash
+
+    from loam.functions.features import LINEAR_MAPS
+    from loam.plans.queries import QUERIES
+
+    def hashed(a, b):
+        return int.from_bytes(xxhash.xxh64_digest(a.to_bytes(8, "little") + b.to_bytes(8, "little"), 12345678), "big", signed=True)
+
+    chunks = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r.text.encode()
+        chunks |= {(r.doc_id, size, i): text[i * size : (i + 1) * size] for size in (1024, 2048) for i in range(-(-len(text) // size))}
+    keys = {(r.doc_id, r.secret_id): r.key for r in QUERIES["rabin_key"](spark, sf).collect()}
+    prints = {x: slow_fingerprints(x) for x in set(chunks.values())}
+    for (doc, size, i), x in chunks.items():
+        if size == 1024:
+            top = max(prints[x])
+            assert keys[doc, i] == ((top ^ top >> 32) & 0xFFFFFFFF).to_bytes(4, "little").hex() * 4
+    names = {hashlib.sha256(x).hexdigest(): x for (_, size, _), x in chunks.items() if size == 2048}
+    for query in ("super_features_finesse", "super_features_ntransform"):
+        rows = QUERIES[query](spark, sf).collect()
+        assert {r.share_fp for r in rows} == set(names)
+        for r in rows:
+            x, n = names[r.share_fp], len(names[r.share_fp])
+            if n < 48:
+                want = (None,) * 3
+            elif query.endswith("finesse"):
+                part = n // 6
+                tops = [max(prints[x][47 + m * part : 48 + (m + 1) * part], default=0) for m in range(6)]
+                want = tuple(map(hashed, sorted(tops[:3], reverse=True), sorted(tops[3:], reverse=True)))
+            else:
+                tops = [max((f * a + b) % 2**32 for f in prints[x][47:]) for a, b in LINEAR_MAPS]
+                want = tuple(map(hashed, tops[::2], tops[1::2]))
+            assert (r.sf1, r.sf2, r.sf3) == want
+
+
+def slow_instructions(base, source):
+    """Blocks of 16 bytes of the base, looked for and extended byte at a time."""
+    ops, at, added, index = [], 0, 0, {}
+    for i in reversed(range(0, len(base) - 15, 16)):
+        index[base[i : i + 16]] = i
+
+    def literal(x):
+        i = start = 0
+        while i < len(x):
+            end = next((j for j in range(i, len(x)) if x[j] != x[i]), len(x))
+            if end - i >= 24:
+                ops.extend([D.Op("ADD", 0, i - start, x[start:i])] * (start < i) + [D.Op("RUN", 0, end - i, x[i : i + 1])])
+                start = end
+            i = end
+        ops.extend([D.Op("ADD", 0, len(x) - start, x[start:])] * (start < len(x)))
+
+    while at + 16 <= len(source):
+        found = index.get(source[at : at + 16])
+        if found is None:
+            at += 1
+            continue
+        back = 0
+        while back < min(at - added, found) and source[at - back - 1] == base[found - back - 1]:
+            back += 1
+        ahead = 16
+        while at + ahead < len(source) and found + ahead < len(base) and source[at + ahead] == base[found + ahead]:
+            ahead += 1
+        literal(source[added : at - back])
+        ops.append(D.Op("COPY", found - back, back + ahead, b""))
+        at = added = at + ahead
+    literal(source[added:])
+    return ops
+
+
+@given(st.lists(st.one_of(st.tuples(st.integers(0, 999), st.integers(0, 300)), st.binary(max_size=30), st.integers(20, 40)), max_size=8), st.integers(0, 5))
+@settings(max_examples=200, deadline=None)
+def test_instructions_byte_at_a_time(parts, seed):
+    rng = random.Random(seed)
+    base = bytes(rng.choice(b"ab") for _ in range(500)) + rng.randbytes(500)
+    source = b"".join(base[p[0] : p[0] + p[1]] if isinstance(p, tuple) else b"z" * p if isinstance(p, int) else p for p in parts)
+    found = D.instructions(base, source)
+    assert found == slow_instructions(base, source) and D.apply(base, found) == source
+
+
+def test_deltas_of_the_table_byte_at_a_time(spark, sf):
+    """Every delta of the table is what the calculation byte at a time gives for the same base."""
+    from loam.plans.queries import QUERIES
+
+    names = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r.text.encode()
+        names |= {hashlib.sha256(x).hexdigest(): x for i in range(0, len(text), 2048) if (x := text[i : i + 2048])}
+    rows = QUERIES["delta_encode"](spark, sf).collect()
+    assert {r.share_fp for r in rows} == set(names)
+    for r in rows:
+        if r.base_fp:
+            assert r.delta_size == len(D.pack(slow_instructions(names[r.base_fp], names[r.share_fp]))) <= r.share_size
+    assert any(r.base_fp for r in rows)
+
+
+def test_merged_deltas_of_many_instructions():
+    rng = random.Random(3)
+    a = rng.randbytes(20_000)
+    b = b"".join(x for i in range(0, 20_000, 40) for x in (a[i : i + 40], rng.randbytes(2)))
+    c = b"".join(x for i in range(0, len(b), 60) for x in (b[i : i + 60], rng.randbytes(1)))
+    merged = D.merge(D.instructions(a, b), D.instructions(b, c))
+    assert D.apply(a, merged) == c
