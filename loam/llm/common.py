@@ -9,6 +9,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,3 +80,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of one value above which it is hot.
+HOT = 1_000_000
+
+
+def join_hot(rows: DataFrame, classes: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """`rows` joined to `classes` (on, n and others; n: how many of `rows` have the value), without n.
+
+    Values that over HOT rows have are few, one for each so many rows, and sent to all tasks, so that none gets all rows of one. The others are shuffled.
+    Both are read twice.
+    """
+    hot, other = classes.where(F.col("n") > HOT).drop("n"), classes.where(F.col("n") <= HOT).drop("n")
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(other, on, how))

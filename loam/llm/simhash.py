@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import checkpointed, kept, table
+from loam.llm.common import checkpointed, join_hot, kept, table
 from loam.llm.components import components
 
 #: Codes under a leaf and nodes under an upper node of the index.
@@ -208,17 +208,18 @@ def links(codes: DataFrame, radius: int = 2, blocks: int = 6) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint BIGINT, component_id) for every row of `docs`: component_id is the smallest id reachable over links of near fingerprints.
 
-    Null, empty and white texts have fingerprint 0 and are linked like any other. Equal fingerprints are one node, however many rows have them: rows
-    meet only in the aggregation of their smallest id (combined before the shuffle) and in a join that adaptive execution may split. Null ids are kept
-    as rows, and count as no id; a component of null ids only has a null component_id. Other columns of `docs` are not read. No rows: no rows.
+    Null, empty and white texts have fingerprint 0 and are linked like any other; a text of any length is one task's, which holds its shingles' hashes.
+    Equal fingerprints are one node, however many rows have them: rows meet only in the aggregation of their smallest id (combined before the shuffle)
+    and in a join that sends hot fingerprints to all tasks. Null ids are kept as rows, and count as no id; a component of null ids only has a null
+    component_id. Other columns of `docs` are not read. No rows: no rows.
     """
     marked = kept(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("code")), "simhash")
-    codes = marked.groupBy("code").agg(F.min("id").alias("first"))
+    codes = marked.groupBy("code").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     roots = components(links(codes, radius, blocks)).withColumnRenamed("node", "code")
     named = codes.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("code", "component_id")
-    return marked.join(classes, "code").select(F.col("id").alias(id_col), F.col("code").alias("fingerprint"), "component_id")
+    classes = kept(named.join(least, "root").select("code", "component_id", "n"), "classes")
+    return join_hot(marked, classes, "code").select(F.col("id").alias(id_col), F.col("code").alias("fingerprint"), "component_id")
 
 
 #: Codes of a table's bucket above which it is searched in blocks, two at a time.
@@ -533,12 +534,12 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
 
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = kept(own.select("id", wide("text").alias("s")).select("id", "s.key", "s.code"), "wide")
-    classes = checkpointed(marked.groupBy("key").agg(F.min("id").cast("long").alias("node"), F.min("code").alias("code")))
+    classes = checkpointed(marked.groupBy("key").agg(F.min("id").cast("long").alias("node"), F.min("code").alias("code"), F.count("*").alias("n")))
     radius = bit_radius(similarity)
     candidates = components(wide_links(classes.select("node", "code"), similarity))
     roots = components(confirmed_links(own, candidates, words, radius, similarity))
-    firsts = classes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("first"))
-    gone = marked.join(firsts, "key").where("id != first").select(F.col("id").alias(id_col)).distinct()
+    firsts = kept(classes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("first"), "n"), "firsts")
+    gone = join_hot(marked.select("id", "key"), firsts, "key").where("id != first").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

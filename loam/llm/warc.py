@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import checkpointed, kept, partitions, shared_folder, table
+from loam.llm.common import checkpointed, join_hot, kept, partitions, shared_folder, table
 
 #: Payloads below this many bytes are always stored.
 REVISIT_FROM = 1000
@@ -61,6 +61,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Spark's text writer makes the files, with the two line ends that close a record as its line separator, so that any store it writes to will do. A
     file has FILE_BYTES of payload at most, or one record: pages over PAGE_BYTES have files of their own, of as few records as the largest page demands.
+    A page of any length is a row and a record, which tasks hold one at a time.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -370,7 +371,8 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     responses = records.where("type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
     revisits = records.where("type = 'revisit'").select("type", "record_id", "refers_to")
     full = records.where("type = 'response'").select("type", "record_id", "refers_to", "payload_bytes", "payload_digest")
-    full = full.unionByName(revisits.join(responses, "refers_to", "left").select(full.columns))
+    classes = responses.join(revisits.groupBy("refers_to").agg(F.count("*").alias("n")), "refers_to", "right")
+    full = full.unionByName(join_hot(revisits, classes, "refers_to", "left").select(full.columns))
     kind = pages.schema[id_col].dataType
     page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*):[0-9a-f]{40}>$", 1), F.lit("null")).cast(kind)
     return full.select(page("record_id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
