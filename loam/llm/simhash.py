@@ -319,7 +319,7 @@ def wide_links(codes: DataFrame, similarity: float, miss: float = 0.005) -> Data
 #: Documents, and shingles, of a block in which candidates are confirmed, on average.
 GROUP, GROUP_SHINGLES = 512, 1 << 22
 #: Members of a large group with which all others are compared first; large groups that are sent to all tasks (more are joined).
-LEADERS, FEW = 4, 20_000
+LEADERS, FEW = 16, 20_000
 
 
 def confirmed_edges(codes: np.ndarray, sets: list[np.ndarray] | None, radius: int, similarity: float | None, label: np.ndarray | None = None, of: int | None = None) -> list[tuple[int, int]]:
