@@ -62,26 +62,41 @@ def poly_mul_mod(a: int, b: int, p: int) -> int:
 
 
 @cache
-def _byte_tables() -> np.ndarray:
-    """[t][b]: what byte b adds to a window's fingerprint t bytes later."""
-    tables = np.zeros((WINDOW, 256), np.uint64)
-    for t in range(WINDOW):
-        bit = [poly_mod(1 << 8 * t + k, POLYNOMIAL) for k in range(8)]
-        for b in range(256):
-            tables[t, b] = np.bitwise_xor.reduce(np.array([x for k, x in enumerate(bit) if b >> k & 1] or [0], np.uint64))
+def _times(bytes_: int) -> np.ndarray:
+    """[k][b]: byte b at place k of a number, as polynomial, times x to the power of 8 * `bytes_`."""
+    tables = np.zeros((8, 256), np.uint64)
+    for k in range(8):
+        bit = [np.uint64(poly_mod(1 << 8 * (bytes_ + k) + j, POLYNOMIAL)) for j in range(8)]
+        for j in range(8):  # sums of what the lower bits give
+            tables[k, 1 << j : 2 << j] = tables[k, : 1 << j] ^ bit[j]
     return tables
 
 
-def rabin_fingerprints(data: np.ndarray) -> np.ndarray:
-    """At each byte, the Rabin fingerprint, below 2^63, of the up to 48 bytes that end there."""
-    at, found, part = data.astype(np.intp), np.zeros(len(data), np.uint64), np.empty(len(data), np.uint64)
-    for t, table in enumerate(_byte_tables()[: len(data)]):
-        n = len(data) - t
-        np.take(table, at[:n], out=part[:n], mode="clip")
-        found[t:] ^= part[:n]
+def _later(f: np.ndarray, bytes_: int) -> np.ndarray:
+    """The fingerprints with so many bytes of zero behind them."""
+    digits = np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8).T.astype(np.intp, order="C")
+    found, part = np.zeros(len(f), np.uint64), np.empty(len(f), np.uint64)
+    for table, at in zip(_times(bytes_), digits):
+        found ^= np.take(table, at, out=part, mode="clip")
     return found
 
 
+def rabin_fingerprints(data: np.ndarray) -> np.ndarray:
+    """At each byte, the Rabin fingerprint, below 2^63, of the up to 48 bytes that end there.
+
+    Windows of 16 bytes are put together out of halves, by shifts; 48 bytes are three of those.
+    """
+    f = np.concatenate([np.zeros(WINDOW - 1, np.uint64), data])
+    for n in (1, 2, 4):
+        f[n:] |= f[:-n] << np.uint64(8 * n)
+    f ^= (f >> np.uint64(63)) * np.uint64(POLYNOMIAL)
+    f[8:] ^= _later(f[:-8], 8)
+    two, three = f.copy(), None
+    two[16:] ^= _later(f[:-16], 16)
+    three = two[32:] if len(two) > 32 else two[:0]
+    return (three ^ _later(f[: len(three)], 32))[WINDOW - 1 - 32 :]
+
+
 def rabin_key_of(data: bytes) -> bytes:
     """A 16-byte key that similar data is likely to share: the largest fingerprint, folded to 32 bits, four times."""
     top = int(rabin_fingerprints(np.frombuffer(data, np.uint8)).max(initial=0))

@@ -718,14 +718,16 @@ def kv_bloom(spark, sf_dir):
 # similarity and deltas
 
 
-def _featured(spark, sf_dir, method: str = "finesse") -> tuple[DataFrame, DataFrame]:
-    """(unique shares of 2 KiB with features, their bytes)."""
+def _featured(spark, sf_dir, method: str = "finesse") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unique shares of 2 KiB with features, their bytes, all shares): chunked, hashed and searched for features once."""
+    path = new_folder(spark, "features")
     found = _secrets(spark, sf_dir, ChunkSpec("fixed", 2048))
-    data = _stored(found)
-    path = new_folder(spark, "features")  # used many times: computed once
-    data.select("cloud", "share_fp", super_features(F.col("data"), method).alias("features")).write.parquet(path)
-    features = spark.read.parquet(path)
-    return dedup.unique_shares(dedup.plain_shares(found)).join(features, ["cloud", "share_fp"]), data
+    found.withColumns({"cloud": F.lit(0), "share_fp": dedup.fingerprint(F.col("data")), "share_size": F.col("secret_size")}).write.parquet(f"{path}/shares")
+    whole = spark.read.parquet(f"{path}/shares")
+    data = whole.groupBy("cloud", "share_fp").agg(F.any_value("data").alias("data"))
+    data.withColumn("features", super_features(F.col("data"), method)).write.parquet(f"{path}/unique")
+    unique, shares = spark.read.parquet(f"{path}/unique"), whole.drop("data")
+    return dedup.unique_shares(shares).join(unique.drop("data"), ["cloud", "share_fp"]), unique.drop("features"), shares
 
 
 @query()
@@ -779,7 +781,7 @@ def delta_chain(spark, sf_dir):
 
 
 def _deltas(spark, sf_dir) -> DataFrame:
-    shares, data = _featured(spark, sf_dir)
+    shares, data, _ = _featured(spark, sf_dir)
     return similarity.with_deltas(similarity.select_bases(shares), data)
 
 
@@ -796,7 +798,7 @@ def delta_roundtrip(spark, sf_dir):
 @query()
 def delta_strict(spark, sf_dir):
     """Deltas as a server makes that takes shares one by one."""
-    shares, data = _featured(spark, sf_dir)
+    shares, data, _ = _featured(spark, sf_dir)
     return similarity.strict_deltas(shares.join(data, ["cloud", "share_fp"])).select("share_fp", "base_fp", "delta_depth", "delta_size")
 
 
@@ -843,9 +845,9 @@ def vcdiff_roundtrip(spark, sf_dir):
 sum(size)::BIGINT AS secret_bytes, coalesce(sum(size) FILTER (dup_class = 'new'), 0)::BIGINT AS new_bytes, coalesce(sum(size) FILTER (dup_class <> 'new'), 0)::BIGINT AS dedup_bytes FROM k""").replace("1024", "2048").replace("1023", "2047"))
 def delta_report(spark, sf_dir):
     """The report with deltas; of new shares what is stored and what deltas save, together."""
-    found = _secrets(spark, sf_dir, ChunkSpec("fixed", 2048))
-    classes = dedup.classify(dedup.plain_shares(found))
-    sizes = _deltas(spark, sf_dir).select("cloud", "share_fp", "delta_size")
+    unique, data, shares = _featured(spark, sf_dir)
+    classes = dedup.classify(shares)
+    sizes = similarity.with_deltas(similarity.select_bases(unique), data).select("cloud", "share_fp", "delta_size")
     new = classes.where("dup_class = 'new'").join(sizes, ["cloud", "share_fp"])
     report = metrics.dedup_report(new.unionByName(classes.where("dup_class != 'new'").withColumn("delta_size", F.lit(None).cast("long"))))
     return report.select("total", (F.col("n_unique") + F.col("delta")).alias("n_new"), "intra_dup", "inter_dup", "secret_bytes", (F.col("share_bytes") + F.col("delta_saved")).alias("new_bytes"), "dedup_bytes")
