@@ -78,6 +78,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed_by(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out and sorted by a column, and reliably checkpointed so: joins on the column shuffle and sort the other side only.
+
+    How a checkpoint is dealt out is known to later plans only if it wasn't planned adaptively, which is so for this one plan; other plans of the
+    session that are made just then aren't either, which changes no result.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    shared_folder(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(partitions(spark), key).sortWithinPartitions(key).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

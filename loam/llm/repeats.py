@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import checkpointed, partitions, table
+from loam.llm.common import checkpointed, checkpointed_by, partitions, table
 
 #: Bytes of words after which a chunk is closed; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     Any repeated window holds, in its own document, one whole block at a multiple of (window + 1) / 2 words, which the other place's rolling blocks hit.
     Hit blocks are extended to windows, which are compared by 96 bits. Hashes are seeded, with a number drawn for each run if `seed` is None, so that no
     text can be made to collide with another. A task holds one chunk, and so one document, at a time, however long. The chunks, compressed, are dealt out and checkpointed once; both exchanges
-    bring their answers to them.
+    bring their answers to where they are.
     """
     if window < 1:
         raise ValueError("window must be positive")
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     chunks = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_chunks(id_type), f"chunk bigint, ids array<{id_ddl}>, sizes array<int>, packed binary")
-    chunks = checkpointed(chunks.repartition(partitions(spark), "chunk"))
+    chunks = checkpointed_by(chunks, "chunk")
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     n = max(partitions(spark), -(-total // BUCKET_WORDS))
 

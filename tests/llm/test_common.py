@@ -36,3 +36,12 @@ def test_tables_of_another_thread_stay(spark):
     assert gone and mine.count() == 3 and C.mark() == start
     C.dropped(spark, start - 1)
     assert C.mark() == start - 1
+
+
+def test_a_checkpoint_that_joins_without_a_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 10).alias("k"), F.lit("x").alias("v"))
+    kept = C.checkpointed_by(df, "k")
+    other = spark.range(10).select(F.col("id").alias("k")).groupBy("k").count().hint("merge")
+    plan = kept.join(other, "k")._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 100 and plan.count("Exchange") <= 2 and "Exchange" not in plan.split("Scan ExistingRDD")[0]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and kept.join(other, "k").count() == 100
