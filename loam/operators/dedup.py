@@ -7,7 +7,7 @@ joins, which adaptive execution may split; no window runs over all its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["cloud", "share_fp"]
@@ -66,17 +66,29 @@ def first_stage(shares: DataFrame, index: DataFrame | None = None) -> DataFrame:
     return found.select(*shares.columns, "owned")
 
 
-def second_stage(shares: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Rows of `first_stage` with what happens to each: `skip` (owned), `duplicate` (the share is there already) or `store`."""
+def second_stage(shares: DataFrame, index: DataFrame | None = None, visibility: str = "immediate", puts: int = 513) -> DataFrame:
+    """Rows of `first_stage` with what happens to each: `skip` (owned), `duplicate` (the share is there already) or `store`.
+
+    visibility: `immediate`, or `batched`, as of a server whose writes are seen only after every `puts` of them and at the end of a fragment: what repeats
+    among writes that are seen together is stored each time.
+    """
+    if visibility not in ("immediate", "batched"):
+        raise ValueError(f"no visibility {visibility!r}")
     sent = shares.where(~F.col("owned"))
-    first = sent.groupBy(*KEY).agg(F.min(place()).alias("first"))
+    if visibility == "batched":
+        turn = F.row_number().over(Window.partitionBy("cloud", "user_id", "file_name", "seq", "fragment").orderBy("secret_id"))  # a fragment's
+        sent = sent.withColumn("_at", _numbered("seq", "fragment") * F.lit(1 << 20).cast("decimal(8,0)") + F.floor((turn - 1) / puts).cast("decimal(7,0)"))
+    else:
+        sent = sent.withColumn("_at", place())
+    first = sent.groupBy(*KEY).agg(F.min("_at").alias("first"))
     if index is not None:
         first = first.join(index.select(*KEY, F.lit(True).alias("known")), KEY, "left")
     else:
         first = first.withColumn("known", F.lit(False))
-    joined = shares.join(first, KEY, "left")
-    what = F.when(F.col("owned"), "skip").when(F.coalesce("known", F.lit(False)) | (place() > F.col("first")), "duplicate").otherwise("store")
-    return joined.select(*shares.columns, what.alias("action"))
+    joined = sent.join(first, KEY, "left")
+    what = F.when(F.coalesce("known", F.lit(False)) | (F.col("_at") > F.col("first")), "duplicate").otherwise("store")
+    skipped = shares.where("owned").withColumn("action", F.lit("skip"))
+    return joined.select(*shares.columns, what.alias("action")).unionByName(skipped)
 
 
 def user_refs(index: DataFrame) -> DataFrame:

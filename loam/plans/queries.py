@@ -203,6 +203,14 @@ def inter_user_status(spark, sf_dir):
     return _doc(dedup.second_stage(dedup.first_stage(_shares(spark, sf_dir)))).select("doc_id", "secret_id", "action")
 
 
+@query(S + """, t AS (SELECT *, doc_id * 1000000 + fragment * 100 + (row_number() OVER (PARTITION BY doc_id, fragment ORDER BY secret_id) - 1) // 3 AS turn FROM c WHERE NOT owned),
+u AS (SELECT *, min(turn) OVER (PARTITION BY fp) AS first FROM t)
+SELECT doc_id, secret_id, CASE WHEN turn > first THEN 'duplicate' ELSE 'store' END AS action FROM u UNION ALL SELECT doc_id, secret_id, 'skip' FROM c WHERE owned""")
+def inter_user_batched(spark, sf_dir):
+    """As inter_user_status, of a server whose writes are seen three at a time."""
+    return _doc(dedup.second_stage(dedup.first_stage(_shares(spark, sf_dir)), None, "batched", 3)).select("doc_id", "secret_id", "action")
+
+
 @query(S + "SELECT doc_id, secret_id, fp AS share_fp, dup_class FROM k")
 def dup_class(spark, sf_dir):
     return _doc(dedup.classify(_shares(spark, sf_dir))).select("doc_id", "secret_id", "share_fp", "dup_class")
@@ -827,6 +835,15 @@ def delta_merged(spark, sf_dir):
     return rows.select("doc_id", (D.delta_decode(F.col("base"), merged) == F.col("twice")).alias("same"))
 
 
+@query("SELECT doc_id, kind, CASE WHEN octet_length(encode(text)) >= 1024 THEN md5('more ' || text) END AS digest FROM documents, (VALUES ('zlib'), ('lzma')) AS t(kind)")
+def delta_secondary(spark, sf_dir):
+    """Deltas that are compressed once more, by either method, and what they give back; null below the least base."""
+    base, source = F.encode("text", "UTF-8"), F.encode(F.concat(F.lit("more "), "text"), "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", base.alias("b"), source.alias("s"))
+    parts = [docs.select("doc_id", F.lit(kind).alias("kind"), F.md5(D.delta_decode(F.col("b"), D.delta_encode(F.col("b"), F.col("s"), kind), kind)).alias("digest")) for kind in ("zlib", "lzma")]
+    return parts[0].union(parts[1])
+
+
 _CHANGED = "substr(text, 4) || ' ' || text || ' end'"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import delta as D
+from loam.functions import vcdiff
 from loam.functions.chunking import ChunkSpec, cut_points
 from loam.functions.features import METHODS
 from loam.functions.hashing import rabin_key_of
@@ -23,17 +24,19 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TA
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Scalars rabin_key, delta_encode, delta_decode and super_features_<method>, and the table functions fixed_chunks and cdc_chunks (content, avg)."""
+    """Scalars rabin_key, delta_encode, delta_decode, vcdiff_encode, vcdiff_decode and super_features_<method>, and the table functions fixed_chunks and cdc_chunks (content, avg)."""
 
     def scalar(name: str, kind: str, arrow: pa.DataType, f) -> None:
         def apply(*columns: pa.Array) -> pa.Array:
             return pa.array([None if None in row else f(*row) for row in zip(*(c.to_pylist() for c in columns))], arrow)
 
-        spark.udf.register(name, F.arrow_udf((_two if name.startswith("delta") else _one)(apply), kind))
+        spark.udf.register(name, F.arrow_udf((_two if name.startswith(("delta", "vcdiff")) else _one)(apply), kind))
 
     scalar("rabin_key", "binary", pa.binary(), rabin_key_of)
     scalar("delta_encode", "binary", pa.binary(), D.encode)
     scalar("delta_decode", "binary", pa.binary(), D.decode)
+    scalar("vcdiff_encode", "binary", pa.binary(), vcdiff.encode)
+    scalar("vcdiff_decode", "binary", pa.binary(), vcdiff.decode)
     for method, f in METHODS.items():
         scalar(f"super_features_{method}", "array<bigint>", pa.list_(pa.int64()), f)
 

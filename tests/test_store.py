@@ -186,6 +186,8 @@ def test_sql_functions(spark, sf):
     assert all(r.n == 16 for r in got) and {r.f for r in got} <= {3, None}
     back = spark.sql("SELECT count(*) AS n FROM (SELECT encode(text, 'UTF-8') AS a, encode(concat('x', text), 'UTF-8') AS b FROM documents) WHERE delta_decode(a, delta_encode(a, b)) = b")
     assert back.first().n == spark.table("documents").count()
+    back = spark.sql("SELECT count(*) AS n FROM documents WHERE vcdiff_decode(encode('some text', 'UTF-8'), vcdiff_encode(encode('some text', 'UTF-8'), encode(text, 'UTF-8'))) = encode(text, 'UTF-8')")
+    assert back.first().n == spark.table("documents").count()
     cut = spark.sql("SELECT count(*) AS n, max(c.secret_size) AS m FROM documents, LATERAL cdc_chunks(encode(text, 'UTF-8'), 256) c").first()
     assert cut.n > 200 and cut.m <= 512
 
