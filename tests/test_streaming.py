@@ -35,3 +35,20 @@ def test_owners(spark, sf, tmp_path):
     last = spark.table("owners").groupBy("cloud", "share_fp").agg(F.max_by("users", "num_users").alias("users"))
     want = {(r.cloud, r.share_fp): sorted(r.users) for r in dedup.share_index(shares(docs)).collect()}
     assert {(r.cloud, r.share_fp): r.users for r in last.collect()} == want
+
+
+def test_runs_are_merged_by_levels(spark, sf, tmp_path, monkeypatch):
+    """Eleven batches, three runs of a level to one of the next, and more later: the index as of the batch, out of few runs."""
+    from loam.streaming import ingest
+
+    monkeypatch.setattr(ingest, "FAN", 3)
+    docs = parts(spark, sf, f"{tmp_path}/in", 11)
+    stream = lambda: shares(stream_files(spark, f"{tmp_path}/in", docs.schema))
+    rows = lambda df: sorted(map(tuple, df.select("cloud", "share_fp", "share_size", "users").collect()))
+    assert rows(run_index(stream(), f"{tmp_path}/index")) == rows(dedup.share_index(shares(docs)))
+    runs = {p.name for p in (tmp_path / "index" / "runs").iterdir()}
+    assert {"2-0", "0-9", "0-10"} <= runs and not runs & {"0-0", "0-1", "0-2"} and len(runs) <= 9
+    more = docs.withColumns({"doc_id": F.col("doc_id") + 10_000, "source": F.lit("src77")}).where("doc_id % 5 = 0")
+    more.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert rows(run_index(stream(), f"{tmp_path}/index")) == rows(dedup.share_index(shares(docs.unionByName(more))))
+    assert ingest.read_index(spark, f"{tmp_path}/none") is None
