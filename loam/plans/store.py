@@ -118,7 +118,7 @@ class DedupStore:
         with self.laps("recipes"):
             put(recipes.heads(heads, shares), "files")
             put(recipes.recipe_entries(shares), "entries")
-        owners = self._table("classes", n).select("cloud", "share_fp", "user_id") if n else None
+        owners = self._table("classes", n).where("dup_class != 'intra'").select("cloud", "share_fp", "user_id") if n else None  # each owner once
         with self.laps("classify"):
             classes = once(dedup.classify(shares, owners), "classes")
         unique = dedup.unique_shares(classes.where("dup_class = 'new'").select("cloud", "share_fp", "seq", "secret_id", "share_size"))
