@@ -130,15 +130,11 @@ def _groups(filled: bytes, spec: CodecSpec) -> np.ndarray:
     w, own = spec.word, spec.k - spec.r
     n, hashed = w * own, hashlib.md5 if spec.security == "low" else hashlib.sha256
     words = np.frombuffer(filled, np.uint8).reshape(-1, own, w).transpose(1, 0, 2).reshape(own, -1)
-    begun = [hashed(filled[i : i + n]) for i in range(0, len(filled), n)]
+    groups = [filled[i : i + n] for i in range(0, len(filled), n)]
 
     def row(j: int) -> bytes:
-        out = []
-        for h in begun:
-            h = h.copy()
-            h.update(bytes([j]))
-            out.append(h.digest())
-        return b"".join(out)
+        end = bytes([j])
+        return b"".join([hashed(g + end).digest() for g in groups])
 
     hashes = np.frombuffer(b"".join(row(j) for j in range(spec.r)), np.uint8).reshape(spec.r, -1)
     return np.concatenate([words, hashes])
